@@ -28,13 +28,14 @@ def _struct(cols):
     return F.struct(*[F.col(c) for c in cols])
 
 
-def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=(),
+def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=(), firsts=(),
                 index: bool = True, order_desc: bool = False) -> DataFrame:
-    """Running index / sums / lags per key, exact and skew-safe.
+    """Running index / sums / lags / first values per key, exact and skew-safe.
 
     ``order`` must make rows unique within a key (end it with a row key).
+    ``firsts`` adds ``<c>_first``: the value on the first row of the key.
     """
-    sums, lags = list(sums), list(lags)
+    sums, lags, firsts = list(sums), list(lags), list(firsts)
     sort_cols = [F.col(k).asc_nulls_first() for k in keys] + [
         (F.col(o).desc_nulls_last() if order_desc else F.col(o).asc_nulls_first()) for o in order]
     # 1. Range partition on the full sort key and pin the partition contents
@@ -52,6 +53,8 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
     aggs = [F.count(F.lit(1)).alias("_n")] + [F.sum(c).alias(f"_s_{c}") for c in sums]
     for c in lags:
         aggs.append((F.min_by(c, last_by) if order_desc else F.max_by(c, last_by)).alias(f"_l_{c}"))
+    for c in firsts:
+        aggs.append((F.max_by(c, last_by) if order_desc else F.min_by(c, last_by)).alias(f"_f_{c}"))
     # Null-safe keys: a null key is a key like any other.
     cond = [ranged[_PID] == bkeys[_PID]] + [ranged[k].eqNullSafe(bkeys[k]) for k in keys]
     bstats = (ranged.join(F.broadcast(bkeys), cond, "left_semi")
@@ -65,6 +68,8 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.lag(f"_l_{c}", 1).over(wk).alias(f"_lagin_{c}") for c in lags],
+        *[F.first(f"_f_{c}").over(wk.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias(f"_first_{c}")
+          for c in firsts],
     )
     offs = offs.where((F.col("_off_n") > 0))
 
@@ -77,6 +82,7 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
         (F.row_number().over(wl) - 1).alias("_lidx"),
         *[F.sum(c).over(run).alias(f"_lsum_{c}") for c in sums],
         *[F.lag(c, 1).over(wl).alias(f"_llag_{c}") for c in lags],
+        *[F.first(c).over(run).alias(f"_lfirst_{c}") for c in firsts],
     )
     ocond = [local[_PID] == offs[_PID]] + [local[k].eqNullSafe(offs[k]) for k in keys]
     joined = local.join(F.broadcast(offs), ocond, "left")
@@ -88,4 +94,7 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
     for c in lags:
         first_here = local["_lidx"] == 0
         out_cols.append(F.when(first_here, offs[f"_lagin_{c}"]).otherwise(local[f"_llag_{c}"]).alias(f"{c}_prev"))
+    for c in firsts:
+        out_cols.append(F.when(offs["_off_n"].isNotNull(), offs[f"_first_{c}"]).otherwise(local[f"_lfirst_{c}"])
+                        .alias(f"{c}_first"))
     return joined.select(*out_cols)
