@@ -3,7 +3,8 @@
 Learnt tables (caps, merges, impute groups, encoder maps, rules) are keyed by
 categories, so they stay small; still, a side is broadcast only after its row
 count has been checked against a bound.  Beyond the bound the join falls back
-to a shuffle join (and AQE may still pick a broadcast at run time).
+to a shuffle join (and AQE may still pick a broadcast at run time, from the
+measured size).
 """
 
 from __future__ import annotations
@@ -17,8 +18,14 @@ BROADCAST_MAX_ROWS = 1_000_000
 
 def checked_broadcast(small: DataFrame, known_rows: int | None = None,
                       max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    rows = small.count() if known_rows is None else known_rows
-    return F.broadcast(small) if rows <= max_rows else small
+    """Broadcast hint when the row count is known and within the bound.
+
+    With no known count no hint is given: AQE measures the side at run time
+    and broadcasts it only under ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    if known_rows is not None and known_rows <= max_rows:
+        return F.broadcast(small)
+    return small
 
 
 def lookup_join(big: DataFrame, small: DataFrame, on, how: str = "left",

@@ -111,21 +111,46 @@ def cap_metrics(df: DataFrame, scalar: dict, by_type: DataFrame, by_type_rows: i
     ).select("segment", "s.metric", "s.value")
 
 
-def merge_expressions(df: DataFrame, merges: list[tuple]) -> dict:
-    """Merges as (is_zero, column, seq, old, new); one folded CASE per column.
+def resolve_merges(merges: list[tuple]) -> dict:
+    """Final value of every replaced category, per (segment, column).
 
-    Replacements run in seq order per (segment, column) and see earlier
-    replacements, so A -> B then B -> C sends A to C.
+    Replacements run in seq order and see earlier ones, so A -> B then B -> C
+    sends A to C.  Resolved on the merge list itself (pairs of categories),
+    which keeps the column expression one flat CASE whatever the chain length.
     """
+    chains: dict = {}
+    for seg_flag, col, seq, old, new in merges:
+        chains.setdefault((bool(seg_flag), col), []).append((seq, str(old), str(new)))
+    resolved = {}
+    for key, steps in chains.items():
+        steps.sort()
+        values = {v for _, o, n in steps for v in (o, n)}
+        final = {}
+        for v in values:
+            cur = v
+            for _, o, n in steps:
+                if cur == o:
+                    cur = n
+            if cur != v:
+                final[v] = cur
+        resolved[key] = final
+    return resolved
+
+
+def merge_expressions(df: DataFrame, merges: list[tuple]) -> dict:
+    """Merges as (is_zero, column, seq, old, new) -> one CASE per column."""
     types = dict(df.dtypes)
     exprs = {}
-    for seg_flag, col, _seq, old, new in sorted(merges, key=lambda m: (m[1], m[2], m[0])):
-        if col not in types:
+    for (seg_flag, col), final in sorted(resolve_merges(merges).items()):
+        if col not in types or not final:
             continue
-        cur = exprs.get(col, F.col(col))
-        hit = (F.col(SEG) == F.lit(bool(seg_flag))) & (cur.cast("string") == F.lit(str(old)))
-        exprs[col] = F.when(hit, F.lit(str(new)).cast(types[col])).otherwise(cur)
-    return exprs
+        cur = exprs.get(col)
+        text = F.col(col).cast("string")
+        for old, new in sorted(final.items()):
+            hit = (F.col(SEG) == F.lit(seg_flag)) & (text == F.lit(old))
+            cur = (cur if cur is not None else F).when(hit, F.lit(new).cast(types[col]))
+        exprs[col] = cur
+    return {c: e.otherwise(F.col(c)) for c, e in exprs.items()}
 
 
 def apply_merges(df: DataFrame, merges: list[tuple]) -> DataFrame:

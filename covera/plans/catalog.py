@@ -16,7 +16,9 @@ from covera.functions.columns import begin_year, make_key, month_index
 from covera.operators import clean, encode, impute, outliers, rules, state, stats
 from covera.operators.quantiles import exact_quantiles, value_ranks
 from covera.plans.processor import PolicyProcessorModel, ProcessorParams
-from covera.sources.fixtures import (FIXTURE_MERGES, FIXTURE_RULES, FIXTURE_TIE, make_map_table, policies)
+from covera.session import cut_lineage
+from covera.sources.fixtures import (FIXTURE_MAKE_MAP, FIXTURE_MERGES, FIXTURE_RULES, FIXTURE_TIE, make_map_table,
+                                     policies)
 
 TIE = FIXTURE_TIE
 SEG = outliers.SEG
@@ -30,38 +32,52 @@ def _r(c, name=None):
     return col.alias(name or c) if isinstance(c, str) or name else col
 
 
+# The closed fixture map has at most two rows per map entry.
+LOOKUP_ROWS = 2 * len(FIXTURE_MAKE_MAP)
+
+
 def _lookup(spark):
     return clean.make_lookup(make_map_table(spark))
 
 
-def k1_train(spark, sf) -> DataFrame:
-    return clean.base_clean(policies(spark, sf), _lookup(spark), True, TIE)
+def k1_train(spark, sf, keep: bool = False) -> DataFrame:
+    """Base clean (train).  ``keep`` materialises it once for queries that reuse it."""
+    out = clean.base_clean(policies(spark, sf), _lookup(spark), True, TIE, LOOKUP_ROWS)
+    return cut_lineage(out) if keep else out
 
 
 def k1_infer(spark, sf) -> DataFrame:
-    return clean.base_clean(policies(spark, sf), _lookup(spark), False, TIE)
+    return clean.base_clean(policies(spark, sf), _lookup(spark), False, TIE, LOOKUP_ROWS)
 
 
-def _k2_train(spark, sf):
-    k1 = k1_train(spark, sf)
-    return impute.full_clean(k1, impute.learn_impute_table(k1), True)
+def _impute_table(k1):
+    t = cut_lineage(impute.learn_impute_table(k1))
+    return t, t.count()
 
 
-def _caps(spark, sf):
-    k1 = k1_train(spark, sf)
+def _k2_train(spark, sf, keep: bool = False):
+    k1 = k1_train(spark, sf, keep=True)
+    t, n = _impute_table(k1)
+    out = impute.full_clean(k1, t, True, table_rows=n)
+    return cut_lineage(out) if keep else out
+
+
+def _caps(spark, sf, k1=None):
+    k1 = k1 if k1 is not None else k1_train(spark, sf, keep=True)
     scalar, by_type = outliers.learn_caps(k1)
-    return outliers.scalar_caps_dict(scalar), by_type
+    by_type = cut_lineage(by_type)
+    return outliers.scalar_caps_dict(scalar), by_type, by_type.count()
 
 
 def fixture_model(spark, sf) -> PolicyProcessorModel:
     """Learnt impute table, defaults and caps; hand-set merges and rules."""
-    k1 = k1_train(spark, sf)
-    lk = _lookup(spark)
-    imp = impute.learn_impute_table(k1)
-    scalar, by_type = outliers.learn_caps(k1)
+    k1 = k1_train(spark, sf, keep=True)
+    imp, imp_rows = _impute_table(k1)
+    scalar, by_type, bt_rows = _caps(spark, sf, k1)
     return PolicyProcessorModel(
-        TIE, ProcessorParams(), lk, None, imp, None, impute.defaults_dict(impute.learn_defaults(k1)),
-        outliers.scalar_caps_dict(scalar), by_type, None, list(FIXTURE_MERGES), list(FIXTURE_RULES))
+        TIE, ProcessorParams(), _lookup(spark), LOOKUP_ROWS, imp, imp_rows,
+        impute.defaults_dict(impute.learn_defaults(k1)), scalar, by_type, bt_rows,
+        list(FIXTURE_MERGES), list(FIXTURE_RULES))
 
 
 KEYS = ["OBJECT_ID", *TIE]
@@ -188,20 +204,20 @@ def e6_type_caps(spark, sf):
 
 
 def c6_capped_rows(spark, sf):
-    scalar, by_type = _caps(spark, sf)
-    out = outliers.apply_caps(_k2_train(spark, sf), scalar, by_type)
+    scalar, by_type, n = _caps(spark, sf)
+    out = outliers.apply_caps(_k2_train(spark, sf), scalar, by_type, n)
     return out.select(*KEYS, SEG, "TYPE_VEHICLE", _r("PREMIUM"))
 
 
 def k4_outlier_stage(spark, sf):
-    scalar, by_type = _caps(spark, sf)
-    out = outliers.outlier_stage(_k2_train(spark, sf), scalar, by_type, FIXTURE_MERGES)
+    scalar, by_type, n = _caps(spark, sf)
+    out = outliers.outlier_stage(_k2_train(spark, sf), scalar, by_type, FIXTURE_MERGES, n)
     return out.select(*KEYS, SEG, "TYPE_VEHICLE", "USAGE", "SEX", "INSR_TYPE")
 
 
 def k4_cap_metrics(spark, sf):
-    scalar, by_type = _caps(spark, sf)
-    return outliers.cap_metrics(_k2_train(spark, sf), scalar, by_type)
+    scalar, by_type, n = _caps(spark, sf)
+    return outliers.cap_metrics(_k2_train(spark, sf), scalar, by_type, n)
 
 
 # --- E8-E16 -----------------------------------------------------------------------------------
@@ -393,8 +409,8 @@ def j7_perfect_rules(spark, sf):
 
 
 def _k4_fixture(spark, sf):
-    scalar, by_type = _caps(spark, sf)
-    return outliers.outlier_stage(_k2_train(spark, sf), scalar, by_type, FIXTURE_MERGES)
+    scalar, by_type, n = _caps(spark, sf)
+    return outliers.outlier_stage(_k2_train(spark, sf), scalar, by_type, FIXTURE_MERGES, n)
 
 
 def j5_rule_misses(spark, sf):

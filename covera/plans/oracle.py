@@ -163,16 +163,19 @@ capped AS (
 
 
 def _merge_sql(source: str, merges=FIXTURE_MERGES, types=None) -> str:
-    """Folded CASE per column, as on the Spark side."""
+    """One CASE per column from the resolved replacement chains, as on the Spark side."""
+    from covera.operators.outliers import resolve_merges
     types = types or {"USAGE": "VARCHAR", "TYPE_VEHICLE": "VARCHAR", "SEX": "INTEGER"}
-    exprs = {}
-    for seg, col, _seq, old, new in sorted(merges, key=lambda m: (m[1], m[2], m[0])):
-        cur = exprs.get(col, col)
-        exprs[col] = (f"CASE WHEN is_zero = {'true' if seg else 'false'} AND CAST({cur} AS VARCHAR) = {_q(old)} "
-                      f"THEN CAST({_q(new)} AS {types[col]}) ELSE {cur} END")
-    if not exprs:
+    whens: dict = {}
+    for (seg, col), final in sorted(resolve_merges(merges).items()):
+        for old, new in sorted(final.items()):
+            whens.setdefault(col, []).append(
+                f"WHEN is_zero = {'true' if seg else 'false'} AND CAST({col} AS VARCHAR) = {_q(old)} "
+                f"THEN CAST({_q(new)} AS {types[col]})")
+    if not whens:
         return f"SELECT * FROM {source}"
-    return f"SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in exprs.items())}) FROM {source}"
+    return "SELECT * REPLACE (" + ", ".join(
+        f"CASE {' '.join(w)} ELSE {c} END AS {c}" for c, w in whens.items()) + f") FROM {source}"
 
 
 def _rules_ctes(source: str, rules=FIXTURE_RULES, min_conf: float = 0.9975) -> tuple[str, str, list[str]]:
