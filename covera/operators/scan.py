@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covera.session import cut_lineage
+from covera.session import cut_lineage, pinned_checkpoint
 
 _PID = "_pid"
 
@@ -59,7 +59,7 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
         (F.col(o).desc_nulls_last() if order_desc else F.col(o).asc_nulls_first()) for o in order]
     # 1. Range partition on the full sort key and pin the partition contents
     #    (sampled bounds are not stable on recompute, a checkpoint is).
-    ranged = cut_lineage(df.repartitionByRange(*sort_cols)).withColumn(_PID, F.spark_partition_id())
+    ranged = pinned_checkpoint(df.repartitionByRange(*sort_cols)).withColumn(_PID, F.spark_partition_id())
 
     # 2. Boundary keys of each partition (one row per partition).
     ends = ranged.groupBy(_PID).agg(F.min(_struct(keys)).alias("_first"), F.max(_struct(keys)).alias("_last"))

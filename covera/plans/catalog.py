@@ -335,7 +335,7 @@ _CATS = ["USAGE", "TYPE_VEHICLE", "SEX"]
 
 def _long(spark, sf):
     seg = outliers.with_segment(k1_train(spark, sf))
-    return stats.long_by_category(seg, "PREMIUM", _CATS, [SEG])
+    return stats.category_counts(stats.long_by_category(seg, "PREMIUM", _CATS, [SEG]), [SEG, "col"])
 
 
 def i1_kruskal_h(spark, sf):

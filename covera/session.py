@@ -8,6 +8,9 @@ only when the session has none *and* runs in local mode (tests, bench).
 from __future__ import annotations
 
 import tempfile
+import uuid
+
+from pyspark import StorageLevel
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,7 +58,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint (survives executor loss; never localCheckpoint)."""
+def pinned_checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable, eager checkpoint that keeps the partitioning (never localCheckpoint).
+
+    Persisted first, so the checkpoint write reads the cached rows instead of
+    recomputing the plan a second time.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise as a parquet table in the shared checkpoint folder and read it back.
+
+    One job, the lineage is cut (a lost executor re-reads the files), and
+    later reads prune columns.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    path = f"{base.rstrip('/')}/covera-tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
