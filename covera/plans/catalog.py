@@ -552,3 +552,40 @@ QUERIES = {
     "m7_lag_baseline_metrics": m7_lag_baseline_metrics,
     "n1_state_from_transform": n1_state_from_transform,
 }
+
+
+# --- M: models (rows-only checks) ----------------------------------------------------------------
+# Grid used by the registered model queries (kept small so the check stays quick);
+# the estimators' defaults are the full grids in covera.plans.models.
+CHECK_GRID = {"maxIter": [10], "maxDepth": [4], "stepSize": [0.1], "subsamplingRate": [0.8]}
+
+
+def _predictor(spark):
+    from covera.plans.predictor import PremiumPredictor
+    from covera.plans.processor import PolicyProcessor
+    return PremiumPredictor(PolicyProcessor(make_map_table(spark), TIE), KEYS, CHECK_GRID, CHECK_GRID)
+
+
+def m8_backtest(spark, sf):
+    from covera.plans.predictor import backtest
+    out = backtest(_predictor(spark), policies(spark, sf), SPLIT_YEAR)
+    return out.select("part", "n", _r("rmse"), _r("mae"), _r("r2"), _r("mape"))
+
+
+def m9_model_metrics(spark, sf):
+    yr = begin_year("INSR_BEGIN")
+    model = _predictor(spark).fit(policies(spark, sf).where(yr <= SPLIT_YEAR))
+    return model.metrics_table(spark)
+
+
+def m6_predictions(spark, sf):
+    """A4 + M6: every test row with its prediction (null where cleaning dropped it)."""
+    yr = begin_year("INSR_BEGIN")
+    p = policies(spark, sf)
+    model = _predictor(spark).fit(p.where(yr <= SPLIT_YEAR))
+    return model.predict_rows(p.where(yr > SPLIT_YEAR).drop("PREMIUM")).select(*KEYS, _r("predicted_premium"))
+
+
+QUERIES.update({
+    "m8_backtest": m8_backtest,
+})
