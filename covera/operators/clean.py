@@ -97,7 +97,8 @@ def base_clean(df: DataFrame, make_lookup_df: DataFrame, train: bool, tie: list[
     return standardise_make(out, make_lookup_df, lookup_rows)
 
 
-def base_clean_metrics(df: DataFrame, make_lookup_df: DataFrame, train: bool, tie: list[str]) -> DataFrame:
+def base_clean_metrics(df: DataFrame, make_lookup_df: DataFrame, train: bool, tie: list[str],
+                       cleaned: DataFrame | None = None) -> DataFrame:
     """Counters of the base clean as a long table (stage, metric, value).
 
     Each stage is one aggregate over the rows that reach it; the branches are
@@ -131,7 +132,7 @@ def base_clean_metrics(df: DataFrame, make_lookup_df: DataFrame, train: bool, ti
     parts.append(pre.select(F.explode(F.array(*[
         F.struct(F.lit("nans").alias("stage"), F.lit(n).alias("metric"), F.col(n).cast("long").alias("value"))
         for n in names])).alias("s")).select("s.*"))
-    cleaned = base_clean(df, make_lookup_df, train, tie)
+    cleaned = cleaned if cleaned is not None else base_clean(df, make_lookup_df, train, tie)
     parts.append(cleaned.agg(F.count_if(F.col("MAKE") == "UNKNOWN").alias("value"))
                  .select(F.lit("nans").alias("stage"), F.lit("unknown_makes").alias("metric"), "value"))
     out = parts[0]

@@ -510,3 +510,38 @@ FROM hist WHERE POLICY_IDX >= 1 AND PREMIUM_prev IS NOT NULL GROUP BY is_zero"""
 ORACLE["n1_state_from_transform"] = _sql(f"""
 SELECT is_zero, OBJECT_ID, round(PREVIOUS_PREMIUM, {R}) AS PREVIOUS_PREMIUM, TOTAL_DURATION FROM ({_state(_RULES_LAST)}) s""",
                                          _MERGED, _RULES_ON_MERGED)
+
+
+def _body(name: str, *extra: str) -> str:
+    prefix = _with(*extra).rstrip().rstrip(",")
+    return ORACLE[name][len(prefix) + 1:]
+
+
+_IMPUTE_COUNTS = " UNION ALL ".join(
+    f"SELECT 'nans' AS stage, '{c}_imputed' AS metric, CAST(count(*) FILTER (WHERE {_MISSING[c].format(c=c)}) AS BIGINT) "
+    f"AS value FROM k1_train" for c in IMPUTED)
+_REMAINING = " UNION ALL ".join(
+    f"SELECT 'remaining_nans' AS stage, '{c}' AS metric, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS value "
+    f"FROM imputed" for c, _ in K1_COLS)
+ORACLE["k8_quality_report"] = _sql(f"""
+SELECT stage, metric, value FROM ({_body("k1_clean_metrics")}) a
+UNION ALL SELECT stage, metric, value FROM ({_IMPUTE_COUNTS}) b
+UNION ALL SELECT stage, metric, value FROM ({_REMAINING}) c
+UNION ALL SELECT 'outliers' AS stage, segment || '_' || metric AS metric, value FROM ({_body("k4_cap_metrics")}) d
+UNION ALL SELECT 'apriori' AS stage, segment || '_' || CAST(seq AS VARCHAR) AS metric, misses AS value
+  FROM ({_body("j5_rule_misses", _MERGED, _RULES_ON_MERGED)}) e""", _MERGED, _RULES_ON_MERGED)
+
+# Inference transform of a batch without PREMIUM: defaults filled, no PREMIUM cap.
+_INFER_CAPPED = """
+k2i AS (SELECT * EXCLUDE (PREMIUM), coalesce(INSURED_VALUE = 0, false) AS is_zero FROM k2_infer),
+capped_i AS (
+  SELECT k.* FROM k2i k JOIN caps_by_type c ON k.is_zero = c.is_zero AND k.TYPE_VEHICLE = c.TYPE_VEHICLE
+  WHERE (k.is_zero OR coalesce(k.INSURED_VALUE < (SELECT cap FROM caps_scalar s WHERE NOT s.is_zero AND s.col = 'INSURED_VALUE'), false))
+    AND coalesce(k.SEATS_NUM < c.SEATS_NUM_cap, false) AND coalesce(k.CCM_TON < c.CCM_TON_cap, false)),"""
+_MERGED_I = f"merged_i AS ({_merge_sql('capped_i')}),"
+_RULES_I, _RULES_I_LAST, _ = _rules_ctes("merged_i")
+_RULES_I = _RULES_I.replace("rule_", "rule_i_")
+_RULES_I_LAST = _RULES_I_LAST.replace("rule_", "rule_i_")
+_K7I_COLS = [c for c in _K7_COLS if c[0] != "PREMIUM"]
+ORACLE["k7_transform_inference"] = _sql(f"SELECT {_round_all(_K7I_COLS)} FROM {_RULES_I_LAST}",
+                                        _INFER_CAPPED, _MERGED_I, _RULES_I)
