@@ -55,8 +55,8 @@ def _impute_table(k1):
     return t, t.count()
 
 
-def _k2_train(spark, sf, keep: bool = False):
-    k1 = k1_train(spark, sf, keep=True)
+def _k2_train(spark, sf, keep: bool = False, k1=None):
+    k1 = k1 if k1 is not None else k1_train(spark, sf, keep=True)
     t, n = _impute_table(k1)
     out = impute.full_clean(k1, t, True, table_rows=n)
     return cut_lineage(out) if keep else out
@@ -204,20 +204,23 @@ def e6_type_caps(spark, sf):
 
 
 def c6_capped_rows(spark, sf):
-    scalar, by_type, n = _caps(spark, sf)
-    out = outliers.apply_caps(_k2_train(spark, sf), scalar, by_type, n)
+    k1 = k1_train(spark, sf, keep=True)
+    scalar, by_type, n = _caps(spark, sf, k1)
+    out = outliers.apply_caps(_k2_train(spark, sf, k1=k1), scalar, by_type, n)
     return out.select(*KEYS, SEG, "TYPE_VEHICLE", _r("PREMIUM"))
 
 
 def k4_outlier_stage(spark, sf):
-    scalar, by_type, n = _caps(spark, sf)
-    out = outliers.outlier_stage(_k2_train(spark, sf), scalar, by_type, FIXTURE_MERGES, n)
+    k1 = k1_train(spark, sf, keep=True)
+    scalar, by_type, n = _caps(spark, sf, k1)
+    out = outliers.outlier_stage(_k2_train(spark, sf, k1=k1), scalar, by_type, FIXTURE_MERGES, n)
     return out.select(*KEYS, SEG, "TYPE_VEHICLE", "USAGE", "SEX", "INSR_TYPE")
 
 
 def k4_cap_metrics(spark, sf):
-    scalar, by_type, n = _caps(spark, sf)
-    return outliers.cap_metrics(_k2_train(spark, sf), scalar, by_type, n)
+    k1 = k1_train(spark, sf, keep=True)
+    scalar, by_type, n = _caps(spark, sf, k1)
+    return outliers.cap_metrics(_k2_train(spark, sf, k1=k1), scalar, by_type, n)
 
 
 # --- E8-E16 -----------------------------------------------------------------------------------
@@ -409,8 +412,9 @@ def j7_perfect_rules(spark, sf):
 
 
 def _k4_fixture(spark, sf):
-    scalar, by_type, n = _caps(spark, sf)
-    return outliers.outlier_stage(_k2_train(spark, sf), scalar, by_type, FIXTURE_MERGES, n)
+    k1 = k1_train(spark, sf, keep=True)
+    scalar, by_type, n = _caps(spark, sf, k1)
+    return outliers.outlier_stage(_k2_train(spark, sf, k1=k1), scalar, by_type, FIXTURE_MERGES, n)
 
 
 def j5_rule_misses(spark, sf):
