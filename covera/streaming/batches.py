@@ -45,10 +45,13 @@ def start_inference(spark: SparkSession, folder: str, model, state_base: str, ou
 
 
 def start_collection(spark: SparkSession, folder: str, store: str, checkpoint: str, trigger_once: bool = True):
-    """Append every new labelled file to the training store."""
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        policy_io.append_labelled(batch, store)
-
-    writer = policy_stream(spark, folder, labelled=True).writeStream.foreachBatch(handle) \
-        .option("checkpointLocation", checkpoint)
+    """A2 as a stream: every new labelled file is appended to the training store.
+
+    A plain file sink (exactly-once through its commit log), columns selected
+    by name and typed like the batch path.
+    """
+    cols = [F.col(c).cast(t).alias(c) for c, t in CORE_TYPES.items()]
+    writer = (policy_stream(spark, folder, labelled=True).select(*cols).writeStream
+              .format("parquet").option("path", store).option("checkpointLocation", checkpoint)
+              .outputMode("append"))
     return (writer.trigger(availableNow=True) if trigger_once else writer).start()
