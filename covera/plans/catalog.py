@@ -562,12 +562,13 @@ QUERIES = {
 # Grid used by the registered model queries (kept small so the check stays quick);
 # the estimators' defaults are the full grids in covera.plans.models.
 CHECK_GRID = {"maxIter": [10], "maxDepth": [4], "stepSize": [0.1], "subsamplingRate": [0.8]}
+CHECK_NEURAL_GRID = {"learningRate": [0.01], "maxIter": [20], "hidden": [[50, 100, 50]], "alpha": [0.01]}
 
 
 def _predictor(spark):
     from covera.plans.predictor import PremiumPredictor
     from covera.plans.processor import PolicyProcessor
-    return PremiumPredictor(PolicyProcessor(make_map_table(spark), TIE), KEYS, CHECK_GRID, CHECK_GRID)
+    return PremiumPredictor(PolicyProcessor(make_map_table(spark), TIE), KEYS, CHECK_GRID, CHECK_NEURAL_GRID)
 
 
 def m8_backtest(spark, sf):
