@@ -19,7 +19,8 @@ def value_counts(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
               .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def value_ranks(df: DataFrame, value: str, groups: list[str], counted: bool = False) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, groups: list[str], counted: bool = False,
+                mode: str = "auto") -> DataFrame:
     """per (group, value): cnt, below (rows with a smaller value), avg_rank.
 
     avg_rank is the 1-based rank of the value with ties averaged:
@@ -27,7 +28,7 @@ def value_ranks(df: DataFrame, value: str, groups: list[str], counted: bool = Fa
     (groups, value, cnt).
     """
     vc = df if counted else value_counts(df, value, groups)
-    ranked = prefix_scan(vc, groups, [value], sums=["cnt"], index=False)
+    ranked = prefix_scan(vc, groups, [value], sums=["cnt"], index=False, mode=mode)
     return ranked.select(
         *groups, value, "cnt",
         (F.col("cnt_cum") - F.col("cnt")).alias("below"),
