@@ -32,8 +32,12 @@ MISSING = {
 IMPUTED = list(MISSING)
 
 
-def learn_impute_table(k1: DataFrame) -> DataFrame:
-    """E1 + E2: (TYPE_VEHICLE, MAKE, <col>_hit, <col>_fill) for the four columns."""
+def learn_impute_table(k1: DataFrame, medians: DataFrame | None = None) -> DataFrame:
+    """E1 + E2: (TYPE_VEHICLE, MAKE, <col>_hit, <col>_fill) for the four columns.
+
+    ``medians`` (TYPE_VEHICLE, MAKE, PROD_YEAR_fill) may come from a shared
+    quantile pass; otherwise it is computed here.
+    """
     keyed = k1.where(F.col("TYPE_VEHICLE").isNotNull() & F.col("MAKE").isNotNull())
     aggs = []
     for col in ["CCM_TON", "SEATS_NUM", "INSURED_VALUE"]:
@@ -42,7 +46,9 @@ def learn_impute_table(k1: DataFrame) -> DataFrame:
         aggs.append(F.avg(F.when(present, F.col(col))).alias(f"{col}_fill"))
     aggs.append(F.count_if(~MISSING["PROD_YEAR"](F.col("PROD_YEAR"))).alias("PROD_YEAR_n"))
     means = keyed.groupBy(*GROUP).agg(*aggs)
-    medians = exact_quantiles(keyed.select(*GROUP, "PROD_YEAR"), "PROD_YEAR", GROUP, [0.5], "PROD_YEAR_fill").drop("q")
+    if medians is None:
+        medians = exact_quantiles(keyed.select(*GROUP, "PROD_YEAR"), "PROD_YEAR", GROUP, [0.5],
+                                  "PROD_YEAR_fill").drop("q")
     table = means.join(medians, GROUP, "left")
     return table.select(*GROUP, *[x for col in IMPUTED for x in (
         (F.col(f"{col}_n") > 0).alias(f"{col}_hit"), F.col(f"{col}_fill"))])
@@ -76,7 +82,7 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.agg(*out)
 
 
-def learn_defaults(k1: DataFrame) -> DataFrame:
+def learn_defaults(k1: DataFrame, medians: DataFrame | None = None) -> DataFrame:
     """E3 + E4: long table (col, num_value, text_value), one row per column.
 
     Exact medians of the numeric columns (one stacked value/count table, split
@@ -85,8 +91,9 @@ def learn_defaults(k1: DataFrame) -> DataFrame:
     stacked = k1.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("v")) for c in NUMERIC_DEFAULT_COLS
     ])).alias("s")).select("s.*")
-    med = (exact_quantiles(stacked, "v", ["col"], [0.5], "num_value")
-           .select("col", "num_value", F.lit(None).cast("string").alias("text_value")))
+    if medians is None:
+        medians = exact_quantiles(stacked, "v", ["col"], [0.5], "num_value")
+    med = medians.select("col", "num_value", F.lit(None).cast("string").alias("text_value"))
     modes = k1.agg(*[F.mode(F.col(c), True).alias(c) for c in MODE_DEFAULT_COLS])
     modes_long = modes.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("col"), F.lit(None).cast("double").alias("num_value"), F.col(c).alias("text_value"))

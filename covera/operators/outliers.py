@@ -27,7 +27,7 @@ def with_segment(df: DataFrame) -> DataFrame:
     return df if SEG in df.columns else df.withColumn(SEG, is_zero("INSURED_VALUE"))
 
 
-def learn_caps(k1: DataFrame, q: float = 0.99) -> tuple[DataFrame, DataFrame]:
+def learn_caps(k1: DataFrame, q: float = 0.99, caps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """E5 + E6 in one stacked exact-quantile pass.
 
     Returns (caps_scalar(is_zero, col, cap), caps_by_type(is_zero, TYPE_VEHICLE,
@@ -40,7 +40,8 @@ def learn_caps(k1: DataFrame, q: float = 0.99) -> tuple[DataFrame, DataFrame]:
                  F.when(~F.col(SEG), F.col("INSURED_VALUE")).alias("v")),
     ] + [F.struct(F.lit(c).alias("col"), F.col("TYPE_VEHICLE").alias("vt"), F.col(c).alias("v")) for c in TYPE_CAPPED]
     stacked = seg.select(SEG, F.explode(F.array(*items)).alias("s")).select(SEG, "s.*")
-    caps = exact_quantiles(stacked, "v", [SEG, "col", "vt"], [q], "cap").drop("q")
+    if caps is None:  # (is_zero, col, vt, cap) may come from a shared quantile pass
+        caps = exact_quantiles(stacked, "v", [SEG, "col", "vt"], [q], "cap").drop("q")
     scalar = caps.where(F.col("col").isin("PREMIUM", "INSURED_VALUE")).select(SEG, "col", "cap")
     types = seg.where(F.col("TYPE_VEHICLE").isNotNull()).select(SEG, "TYPE_VEHICLE").distinct()
     by_type = (caps.where(F.col("col").isin(*TYPE_CAPPED))
@@ -162,3 +163,37 @@ def outlier_stage(df: DataFrame, scalar: dict, by_type: DataFrame, merges: list[
                   by_type_rows: int | None = None, inclusive: bool = False) -> DataFrame:
     """K4: caps first (on unmerged types), then merges."""
     return apply_merges(apply_caps(df, scalar, by_type, by_type_rows, inclusive), merges)
+
+
+def fit_quantiles(k1: DataFrame, cap_q: float = 0.99) -> dict:
+    """Every quantile the fit needs, in one stacked exact pass.
+
+    Impute medians (PROD_YEAR per type and make), default medians (numeric
+    columns) and caps (per segment, column and type) share one value/count
+    table, one materialisation and one ranking scan.  Returns the three
+    tables in the shapes learn_impute_table, learn_defaults and learn_caps take.
+    """
+    from covera.schema import NUMERIC_DEFAULT_COLS
+    seg = with_segment(k1)
+    s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(None).cast("string"))
+    items = [F.struct(F.lit("impute").alias("kind"), s("TYPE_VEHICLE").alias("a"), s("MAKE").alias("b"),
+                      F.lit("").alias("c"), F.col("PROD_YEAR").cast("double").alias("v"))]
+    items += [F.struct(F.lit("default").alias("kind"), F.lit(c).alias("a"), F.lit("").alias("b"), F.lit("").alias("c"),
+                       F.col(c).cast("double").alias("v")) for c in NUMERIC_DEFAULT_COLS]
+    items += [F.struct(F.lit("cap").alias("kind"), F.col(SEG).cast("string").alias("a"), F.lit("PREMIUM").alias("b"),
+                       F.lit("").alias("c"), F.col("PREMIUM").cast("double").alias("v")),
+              F.struct(F.lit("cap").alias("kind"), F.col(SEG).cast("string").alias("a"),
+                       F.lit("INSURED_VALUE").alias("b"), F.lit("").alias("c"),
+                       F.when(~F.col(SEG), F.col("INSURED_VALUE")).cast("double").alias("v"))]
+    items += [F.struct(F.lit("cap").alias("kind"), F.col(SEG).cast("string").alias("a"), F.lit(c).alias("b"),
+                       F.col("TYPE_VEHICLE").alias("c"), F.col(c).cast("double").alias("v")) for c in TYPE_CAPPED]
+    stacked = seg.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+    from covera.session import cut_lineage
+    qs = cut_lineage(exact_quantiles(stacked, "v", ["kind", "a", "b", "c"], [0.5, cap_q], "value"))
+    impute_med = qs.where((F.col("kind") == "impute") & (F.col("q") == 0.5)).select(
+        F.col("a").alias("TYPE_VEHICLE"), F.col("b").alias("MAKE"), F.col("value").alias("PROD_YEAR_fill"))
+    default_med = qs.where((F.col("kind") == "default") & (F.col("q") == 0.5)).select(
+        F.col("a").alias("col"), F.col("value").alias("num_value"))
+    caps = qs.where((F.col("kind") == "cap") & (F.col("q") == F.lit(cap_q))).select(
+        (F.col("a") == "true").alias(SEG), F.col("b").alias("col"), F.col("c").alias("vt"), F.col("value").alias("cap"))
+    return {"impute": impute_med, "defaults": default_med, "caps": caps}

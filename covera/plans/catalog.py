@@ -72,12 +72,14 @@ def _caps(spark, sf, k1=None):
 def fixture_model(spark, sf) -> PolicyProcessorModel:
     """Learnt impute table, defaults and caps; hand-set merges and rules."""
     k1 = k1_train(spark, sf, keep=True)
-    imp, imp_rows = _impute_table(k1)
-    scalar, by_type, bt_rows = _caps(spark, sf, k1)
+    qt = outliers.fit_quantiles(k1)
+    imp = cut_lineage(impute.learn_impute_table(k1, qt["impute"]))
+    scalar, by_type = outliers.learn_caps(k1, 0.99, qt["caps"])
+    by_type = cut_lineage(by_type)
     return PolicyProcessorModel(
-        TIE, ProcessorParams(), _lookup(spark), LOOKUP_ROWS, imp, imp_rows,
-        impute.defaults_dict(impute.learn_defaults(k1)), scalar, by_type, bt_rows,
-        list(FIXTURE_MERGES), list(FIXTURE_RULES))
+        TIE, ProcessorParams(), _lookup(spark), LOOKUP_ROWS, imp, imp.count(),
+        impute.defaults_dict(impute.learn_defaults(k1, qt["defaults"])), outliers.scalar_caps_dict(scalar),
+        by_type, by_type.count(), list(FIXTURE_MERGES), list(FIXTURE_RULES))
 
 
 KEYS = ["OBJECT_ID", *TIE]
