@@ -1,6 +1,6 @@
 """Base cleaning (K1) and its parts: B1-B2, B4-B7, C1-C3, D1, F1.
 
-Order of the base clean, as in the reference's data model:
+Order of the base clean:
   C1 drop null OBJECT_ID -> B1/B2 month index and duration
   -> (train) C2 DURATION > 0 -> (train) F1 de-duplicate contracts, keep the longest
   -> B7 drop unused columns -> B6 'Trade plates' reset

@@ -63,7 +63,7 @@ def _below(c, cap, inclusive: bool):
 
 def cap_flags(df: DataFrame, scalar: dict, by_type: DataFrame, by_type_rows: int | None = None,
               inclusive: bool = False) -> DataFrame:
-    """Adds one keep flag per filter, in the reference's key order:
+    """Adds one keep flag per filter, in this order:
     PREMIUM, INSURED_VALUE (non-zero segment only), SEATS_NUM, CCM_TON.
 
     The PREMIUM cap is skipped when the batch has no PREMIUM column.

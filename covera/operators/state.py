@@ -52,16 +52,16 @@ def first_policies(hist: DataFrame) -> DataFrame:
     return hist.where(F.col("POLICY_IDX") == 0)
 
 
-def later_history(hist: DataFrame, mode: str = "reference") -> DataFrame:
+def later_history(hist: DataFrame, mode: str = "skip_first") -> DataFrame:
     """Training rows of the later-policy model.
 
-    ``reference`` (Q5): the first policy is removed before the lag and the
+    ``skip_first`` (Q5): the first policy is removed before the lag and the
     running total, so the second policy has no previous premium and is lost,
     and TOTAL_DURATION leaves the first policy out.  ``full`` keeps every
     later policy with the true previous premium and the full running total.
     """
-    base = hist.where(F.col("POLICY_IDX") >= (2 if mode == "reference" else 1))
-    total = F.col("DURATION_cum") - (F.col("DURATION_first") if mode == "reference" else F.lit(0))
+    base = hist.where(F.col("POLICY_IDX") >= (2 if mode == "skip_first" else 1))
+    total = F.col("DURATION_cum") - (F.col("DURATION_first") if mode == "skip_first" else F.lit(0))
     return (base.withColumn("PREVIOUS_PREMIUM", F.col("PREMIUM_prev").cast("double"))
                 .withColumn("TOTAL_DURATION", total.cast("long"))
                 .where(F.col("PREVIOUS_PREMIUM").isNotNull())

@@ -296,7 +296,7 @@ def f3_policy_history(spark, sf):
 
 def n5_later_history(spark, sf):
     h = state.policy_history(k1_train(spark, sf), TIE)
-    return state.later_history(h, "reference").select(*KEYS, SEG, "PREMIUM", "PREVIOUS_PREMIUM", "TOTAL_DURATION")
+    return state.later_history(h, "skip_first").select(*KEYS, SEG, "PREMIUM", "PREVIOUS_PREMIUM", "TOTAL_DURATION")
 
 
 def n5_later_history_full(spark, sf):

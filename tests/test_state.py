@@ -24,9 +24,9 @@ def test_build_state_and_history(spark):
     assert st[(2, True)].TOTAL_DURATION == 12
     h = state.policy_history(k1, TIE)
     assert state.first_policies(h).count() == 2
-    ref = state.later_history(h, "reference").orderBy("START_MNTH").collect()
+    ref = state.later_history(h, "skip_first").orderBy("START_MNTH").collect()
     full = state.later_history(h, "full").orderBy("START_MNTH").collect()
-    # reference: the second policy has no lag and is lost; totals leave the first policy out
+    # skip_first: the second policy has no lag and is lost; totals leave the first policy out
     assert [(r.PREVIOUS_PREMIUM, r.TOTAL_DURATION) for r in ref] == [(110.0, 24), (120.0, 36)]
     assert [(r.PREVIOUS_PREMIUM, r.TOTAL_DURATION) for r in full] == [(100.0, 24), (110.0, 36), (120.0, 48)]
 
