@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from covera.llm import mixing, sharding
+from covera.llm import kn_quality, mixing, sharding, simhash, token_packing, unigram_pieces
 from covera.llm.common import table
 
 
@@ -11,11 +11,35 @@ def op3_sharding(spark, sf_dir):
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_sentencepiece(spark, sf_dir, model: str = "piece_bpe_32k.model"):
+    """Unigram pieces of every document, and whether they decode to its text."""
+    import public_tokenizers
+    pieces = unigram_pieces.read_pieces(public_tokenizers.path(model))
+    return unigram_pieces.encode_documents(table(spark, sf_dir, "documents"), pieces)
+
+
 def op5_mixing(spark, sf_dir):
     """All documents mixed to the source targets by pivotal dependent rounding."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op5_mixing)}
+def op6_token_packing(spark, sf_dir, tokenizer: str = "word_bpe_49k.json"):
+    """All documents as bit-packed token blocks, read back from the files."""
+    import public_tokenizers
+    return token_packing.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), end_id=2)
+
+
+def op8_simhash_dedup(spark, sf_dir):
+    """SimHash groups of all documents: three-word shingles, three bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, reach=3)
+
+
+def op9_quality_classifier(spark, sf_dir):
+    """Kneser-Ney perplexity of every document against its language's quantile."""
+    return kn_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_sentencepiece, op5_mixing, op6_token_packing, op8_simhash_dedup,
+                                   op9_quality_classifier)}
 
 ORACLE: dict[str, str] = {}
