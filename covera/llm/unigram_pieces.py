@@ -64,9 +64,12 @@ def double_array(words: list[bytes], values: list[int]) -> tuple[np.ndarray, np.
                 children[at][b] = nxt
             at = nxt
         held[at] = v
-    size = 2 * len(children) + 1024
+    size = 4 * len(children) + 1024
     base, check, value = [0] * size, [-1] * size, [-1] * size
-    check[0], free, todo = 0, 1, [(0, 0)]
+    check[0], todo = 0, [(0, 0)]
+    # Nodes with one child take the first free place; those with more search on
+    # from where earlier searches have found the array nearly full.
+    free, crowded = 258, 258  # beyond any code, so that every place will do
     while todo:
         node, state = todo.pop()
         value[state] = held.get(node, -1)
@@ -75,15 +78,21 @@ def double_array(words: list[bytes], values: list[int]) -> tuple[np.ndarray, np.
             continue
         while check[free] >= 0:
             free += 1
-        start = max(1, free - codes[0])
+        place, taken = max(free, crowded if len(codes) > 1 else 0), 0
+        first = place
         while True:
-            if start + 258 >= len(check):
+            if place + 258 >= len(check):
                 base += [0] * size
                 check += [-1] * size
                 value += [-1] * size
-            if all(check[start + c] < 0 for c in codes):
+            if check[place] >= 0:
+                taken += 1
+            elif all(check[place - codes[0] + c] < 0 for c in codes):
                 break
-            start += 1
+            place += 1
+        if len(codes) > 1 and place - first > 64 and (taken > 0.9 * (place - first) or place - first > 2_000):
+            crowded = place
+        start = place - codes[0]
         base[state] = start
         for c in codes:
             check[start + c] = state
