@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from covera.llm import kn_quality, mixing, sharding, simhash, token_packing, unigram_pieces
+from pyspark.sql import functions as F
+
+from covera.llm import kn_quality, mixing, mtree, reply_trees, sharding, simhash, token_packing, unigram_pieces
 from covera.llm.common import table
 
 
@@ -29,6 +31,11 @@ def op6_token_packing(spark, sf_dir, tokenizer: str = "word_bpe_49k.json"):
     return token_packing.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(tokenizer), end_id=2)
 
 
+def op7_exact_topk(spark, sf_dir):
+    """The 20 best inner products of every vector whose id is divisible by 20, over an M-tree of all vectors."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op8_simhash_dedup(spark, sf_dir):
     """SimHash groups of all documents: three-word shingles, three bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, reach=3)
@@ -39,7 +46,16 @@ def op9_quality_classifier(spark, sf_dir):
     return kn_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_sentencepiece, op5_mixing, op6_token_packing, op8_simhash_dedup,
-                                   op9_quality_classifier)}
+def op10_chat_format(spark, sf_dir):
+    """All conversations, and one that is made of control strings, formatted along their best path and read back."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return reply_trees.digests(given.unionByName(extra))
+
+
+QUERIES = {f.__name__: f for f in (op3_sharding, op4_sentencepiece, op5_mixing, op6_token_packing, op7_exact_topk,
+                                   op8_simhash_dedup, op9_quality_classifier, op10_chat_format)}
 
 ORACLE: dict[str, str] = {}
