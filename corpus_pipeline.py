@@ -10,10 +10,45 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from covera.llm import kn_quality, mixing, secret_forest, simhash, unigram_pieces
 from covera.llm.common import table
 from covera.session import ensure_checkpoint_dir
 
-STAGES: list = []
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the language model does not reject."""
+    return kn_quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the least doc_id."""
+    return simhash.keep_one(docs, shingle=3, reach=3)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    return secret_forest.redact(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.mix_rows(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_ids, n_chars, exact of every document."""
+    import public_tokenizers
+    pieces = unigram_pieces.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return unigram_pieces.encode_documents(docs, pieces, ("doc_id", "lang", "source"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_dedup", simhash_dedup),
+    ("secret_scan", secret_scan),
+    ("source_mix", source_mix),
+    ("sentencepiece", sentencepiece),
+]
 
 #: SQL has no language model, forest or trie; tests/llm compares the stages with brute force.
 ORACLE_SQL = None

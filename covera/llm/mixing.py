@@ -130,13 +130,13 @@ def pivotal_round(items: DataFrame, seed: int, most_items: int) -> DataFrame:
 
 
 def copies(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 11,
-           keep: list[str] | None = None) -> DataFrame:
-    """Every row with size, source_size, target and copies (0, 1 or 2 at ``most`` = 2).
+           row_hash: str | None = None) -> DataFrame:
+    """doc_id, source, _h, size, source_size, target and copies (0, 1 or 2 at ``most`` = 2) of every row.
 
-    ``keep``: further columns of the input to return, as ``_keep``.
+    ``_h`` is the column ``row_hash`` of the input, or a hash of the text.
     """
     rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
-                       F.xxhash64("text").alias("_h"))
+                       (F.xxhash64("text") if row_hash is None else F.col(row_hash)).alias("_h"))
     # Large documents first, so that small ones settle what large ones leave over.
     numbered = ordered_scan(rows, [F.col("source").asc_nulls_last(), F.col("size").desc(),
                                    F.xxhash64(F.lit(seed), "doc_id", "_h"), F.col("doc_id"), F.col("_h")])
@@ -164,3 +164,15 @@ def mix(docs: DataFrame, **kw) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row."""
     return copies(docs, **kw).select("doc_id", "size", "source_size", "target",
                                      (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix_rows(docs: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("_row"), "doc_id", "source", "text", F.xxhash64(row).alias("_hash"))
+    wanted = copies(keyed, row_hash="_hash", **kw).groupBy(F.col("doc_id").alias("_id"), "_h").agg(
+        F.sum("copies").alias("_n")).where("_n > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    # Rows equal in all columns share a key and are counted together there.
+    once = keyed.select("_row", "doc_id", "_hash").join(wanted, same).dropDuplicates(["doc_id", "_hash"])
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("_row.*")

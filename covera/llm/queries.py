@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from covera.llm import kn_quality, mixing, mtree, reply_trees, sharding, simhash, token_packing, unigram_pieces
+from covera.llm import (kn_quality, mixing, mtree, order_minhash, reply_trees, secret_forest, sharding, simhash,
+                        token_packing, unigram_pieces)
 from covera.llm.common import table
 
 
+def op1_secret_scan(spark, sf_dir):
+    """Every candidate of all documents with the forest's probability of being a secret."""
+    return secret_forest.secrets(table(spark, sf_dir, "documents"))
+
+
+def op2_order_minhash(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts."""
+    return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark, sf_dir):
     """All documents over 24 shards by proportional stratified interleaving (law: rows)."""
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=24)
@@ -55,7 +66,8 @@ def op10_chat_format(spark, sf_dir):
     return reply_trees.digests(given.unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op4_sentencepiece, op5_mixing, op6_token_packing, op7_exact_topk,
-                                   op8_simhash_dedup, op9_quality_classifier, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_order_minhash, op3_sharding, op4_sentencepiece, op5_mixing, op6_token_packing,
+    op7_exact_topk, op8_simhash_dedup, op9_quality_classifier, op10_chat_format)}
 
 ORACLE: dict[str, str] = {}
