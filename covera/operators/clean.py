@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from covera.functions.columns import (TRADE_PLATES, TRADE_PLATES_YEAR, duration, make_key,
                                       month_index)
 from covera.operators.joins import lookup_join
+from covera.session import cut_lineage
 from covera.schema import DROPPED_COLS, IDENTITY_COLS
 
 
@@ -91,51 +92,69 @@ def base_clean(df: DataFrame, make_lookup_df: DataFrame, train: bool, tie: list[
     out = with_months(drop_null_objects(df))
     if train:
         out = dedup_contracts(keep_positive_duration(out), tie)
-    out = reset_trade_plates(drop_unused(out))
+    return _finish(out, make_lookup_df, train, lookup_rows)
+
+
+def _finish(rows: DataFrame, make_lookup_df: DataFrame, train: bool, lookup_rows: int | None) -> DataFrame:
+    out = reset_trade_plates(drop_unused(rows))
     if train:
         out = drop_null_premium(out)
     return standardise_make(out, make_lookup_df, lookup_rows)
 
 
-def base_clean_metrics(df: DataFrame, make_lookup_df: DataFrame, train: bool, tie: list[str],
-                       cleaned: DataFrame | None = None) -> DataFrame:
-    """Counters of the base clean as a long table (stage, metric, value).
+#: Why a row does not reach the de-duplication; null for those that do.
+_REASON, _COPIES = "_reason", "_copies"
+
 
-    Each stage is one aggregate over the rows that reach it; the branches are
-    unioned into one job.
+def counted_contracts(df: DataFrame, tie: list[str]) -> DataFrame:
+    """One row per contract as :func:`dedup_contracts` leaves it, with the number of its rows (``_copies``),
+    and one row per reason (``_reason``: null_object, duration) that counts the rows it removed.
+
+    So all counters of the clean come from one scan, and from data rather than task counters,
+    which a repeated stage would count twice.
     """
-    months = with_months(drop_null_objects(df))
-    parts = [df.agg(F.count_if(F.col("OBJECT_ID").isNull()).alias("value"))
-               .select(F.lit("nans").alias("stage"), F.lit("null_object_removed").alias("metric"), "value")]
-    staged = months
-    if train:
-        parts.append(months.agg(F.count_if(~(F.col("DURATION") > 0) | F.col("DURATION").isNull()).alias("value"))
-                     .select(F.lit("nans").alias("stage"), F.lit("INSR_ZERO_duration_removed").alias("metric"), "value"))
-        positive = keep_positive_duration(months)
-        deduped = dedup_contracts(positive, tie)
-        parts.append(positive.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit("nans").alias("stage"), F.lit("rows_before_dedup").alias("metric"), F.col("n").alias("value")))
-        parts.append(deduped.agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit("nans").alias("stage"), F.lit("rows_after_dedup").alias("metric"), F.col("n").alias("value")))
-        staged = deduped
-    staged = drop_unused(staged)
+    months = with_months(df)
+    reason = F.when(F.col("OBJECT_ID").isNull(), "null_object").when(
+        ~F.coalesce(F.col("DURATION") > 0, F.lit(False)), "duration")
+    keyed = months.withColumn(_REASON, reason).withColumns(
+        {c: F.when(F.col(_REASON).isNull(), F.col(c)) for c in IDENTITY_COLS})
+    rest = [c for c in months.columns if c not in IDENTITY_COLS]
+    pick = F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(F.col("DURATION"), *[F.col(t) for t in tie]))
+    return keyed.groupBy(_REASON, *IDENTITY_COLS).agg(pick.alias("_kept"), F.count(F.lit(1)).alias(_COPIES)).select(
+        *IDENTITY_COLS, "_kept.*", _REASON, _COPIES)
+
+
+def base_clean_report(df: DataFrame, make_lookup_df: DataFrame, train: bool, tie: list[str],
+                      lookup_rows: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cleaned rows, counters (stage, metric, value), rows read (n)) from one scan of the input."""
     tp = F.col("TYPE_VEHICLE") == F.lit(TRADE_PLATES)
-    pre = staged.agg(
-        F.count_if(tp & F.col("CCM_TON").isNull()).alias("trade_plates_CCM_TON_nan"),
-        F.count_if(tp & F.col("SEATS_NUM").isNull()).alias("trade_plates_SEATS_NUM_nan"),
-        F.count_if(tp & F.col("PROD_YEAR").isNull()).alias("trade_plates_prod_year_nan"),
-        F.count_if(F.col("PREMIUM").isNull()).alias("premium_nan_count"),
-    )
-    names = ["trade_plates_CCM_TON_nan", "trade_plates_SEATS_NUM_nan", "trade_plates_prod_year_nan"]
+    here = F.col(_REASON).isNull()
+    counts = {f"trade_plates_{name}": F.count_if(here & tp & F.col(c).isNull())
+              for name, c in (("CCM_TON_nan", "CCM_TON"), ("SEATS_NUM_nan", "SEATS_NUM"), ("prod_year_nan", "PROD_YEAR"))}
     if train:
-        names.append("premium_nan_count")
-    parts.append(pre.select(F.explode(F.array(*[
+        staged = cut_lineage(counted_contracts(df, tie))
+        removed = lambda r: F.coalesce(F.sum(F.when(F.col(_REASON) == r, F.col(_COPIES))), F.lit(0))
+        before = F.coalesce(F.sum(F.when(here, F.col(_COPIES))), F.lit(0))
+        counts = {"null_object_removed": removed("null_object"), "INSR_ZERO_duration_removed": removed("duration"),
+                  "rows_before_dedup": before, "rows_after_dedup": F.count_if(here),
+                  "duplicates_removed": before - F.count_if(here),
+                  **counts, "premium_nan_count": F.count_if(here & F.col("PREMIUM").isNull())}
+        size = staged.agg(F.coalesce(F.sum(_COPIES), F.lit(0)).cast("long").alias("n"))
+    else:
+        staged = cut_lineage(with_months(df).withColumn(_REASON, F.when(F.col("OBJECT_ID").isNull(), "null_object")))
+        counts = {"null_object_removed": F.count_if(~here), **counts}
+        size = staged.agg(F.count(F.lit(1)).alias("n"))
+    cleaned = cut_lineage(_finish(staged.where(here).drop(_REASON, _COPIES), make_lookup_df, train, lookup_rows))
+    unknown = cleaned.agg(F.count_if(F.col("MAKE") == "UNKNOWN").alias("unknown_makes"))
+    return cleaned, _long_counts(staged.agg(*[c.alias(n) for n, c in counts.items()])).unionByName(_long_counts(unknown)), size
+
+
+def _long_counts(row: DataFrame) -> DataFrame:
+    return row.select(F.explode(F.array(*[
         F.struct(F.lit("nans").alias("stage"), F.lit(n).alias("metric"), F.col(n).cast("long").alias("value"))
-        for n in names])).alias("s")).select("s.*"))
-    cleaned = cleaned if cleaned is not None else base_clean(df, make_lookup_df, train, tie)
-    parts.append(cleaned.agg(F.count_if(F.col("MAKE") == "UNKNOWN").alias("value"))
-                 .select(F.lit("nans").alias("stage"), F.lit("unknown_makes").alias("metric"), "value"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p.select("stage", "metric", F.col("value").cast("long").alias("value")))
-    return out.select("stage", "metric", F.col("value").cast("long").alias("value"))
+        for n in row.columns])).alias("s")).select("s.*")
+
+
+def base_clean_metrics(df: DataFrame, make_lookup_df: DataFrame, train: bool, tie: list[str]) -> DataFrame:
+    """Counters of the base clean as a long table (stage, metric, value)."""
+    return base_clean_report(df, make_lookup_df, train, tie)[1]

@@ -121,9 +121,10 @@ def fill_defaults(df: DataFrame, defaults: dict) -> DataFrame:
 def full_clean(k1: DataFrame, impute_table: DataFrame, train: bool, defaults: dict | None = None,
                table_rows: int | None = None) -> DataFrame:
     """K2: D2 imputation, then C4 (train: drop any null) or K3 (inference), then B3."""
-    out = apply_impute(k1, impute_table, table_rows)
-    if train:
-        out = out.na.drop("any")
-    else:
-        out = fill_defaults(out, defaults or {})
+    return finish_clean(apply_impute(k1, impute_table, table_rows), train, defaults)
+
+
+def finish_clean(imputed: DataFrame, train: bool, defaults: dict | None = None) -> DataFrame:
+    """C4 (train: drop any null) or K3 (inference), then B3, on imputed rows."""
+    out = imputed.na.drop("any") if train else fill_defaults(imputed, defaults or {})
     return out.withColumn("OBJECT_AGE", object_age("START_MNTH", "PROD_YEAR"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from covera.operators.joins import checked_broadcast
 from covera.operators.scan import prefix_scan
+from covera.session import cut_lineage
 
 
 def value_counts(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
@@ -19,8 +20,7 @@ def value_counts(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
               .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def value_ranks(df: DataFrame, value: str, groups: list[str], counted: bool = False,
-                mode: str = "auto") -> DataFrame:
+def value_ranks(df: DataFrame, value: str, groups: list[str], counted: bool = False) -> DataFrame:
     """per (group, value): cnt, below (rows with a smaller value), avg_rank.
 
     avg_rank is the 1-based rank of the value with ties averaged:
@@ -28,7 +28,7 @@ def value_ranks(df: DataFrame, value: str, groups: list[str], counted: bool = Fa
     (groups, value, cnt).
     """
     vc = df if counted else value_counts(df, value, groups)
-    ranked = prefix_scan(vc, groups, [value], sums=["cnt"], index=False, mode=mode)
+    ranked = prefix_scan(vc, groups, [value], sums=["cnt"], index=False)
     return ranked.select(
         *groups, value, "cnt",
         (F.col("cnt_cum") - F.col("cnt")).alias("below"),
@@ -45,14 +45,15 @@ def exact_quantiles(df: DataFrame, value: str, groups: list[str], qs: list[float
     """
     for g in groups:  # like a pandas group-by, a null group key forms no group
         df = df.where(F.col(g).isNotNull())
-    ranks = value_ranks(df, value, groups)
+    ranks = cut_lineage(value_ranks(df, value, groups))  # read twice below
     sizes = ranks.groupBy(*groups).agg(F.sum("cnt").alias("_n"))
     pos = (sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
            .withColumn("_p", (F.col("_n") - 1) * F.col("q"))
            .withColumn("_lo", F.floor("_p")).withColumn("_hi", F.ceil("_p")))
-    # One row per (group, q): broadcast after a size check, so a group that
-    # holds most values is not hashed into one task.
-    hit = ranks.join(checked_broadcast(pos), groups)
+    # One row per (group, q), counted before it is broadcast, so that a group
+    # that holds most values is not hashed into one task.
+    pos = cut_lineage(pos)
+    hit = ranks.join(checked_broadcast(pos, pos.count()), groups)
     at_lo = F.min_by(value, F.when((F.col("below") <= F.col("_lo")) & (F.col("_lo") < F.col("below") + F.col("cnt")), 0).otherwise(1))
     at_hi = F.min_by(value, F.when((F.col("below") <= F.col("_hi")) & (F.col("_hi") < F.col("below") + F.col("cnt")), 0).otherwise(1))
     narrowed = hit.where(

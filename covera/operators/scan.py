@@ -9,7 +9,7 @@ the first and last key of a partition can continue into a neighbour, so the
 offset table has at most two rows per partition.
 
 Outputs, per row:
-  ``_idx``          0-based position within the key,
+  ``_idx``          0-based position within the key (a long),
   ``<c>_cum``       inclusive running sum of each column in ``sums``,
   ``<c>_prev``      value of each column in ``lags`` on the previous row of the key.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from covera.session import cut_lineage, pinned_checkpoint
+from covera.session import cut_lineage
 
 _PID = "_pid"
 
@@ -28,38 +28,20 @@ def _struct(cols):
     return F.struct(*[F.col(c) for c in cols])
 
 
-# A key with more rows than this is "hot": its scan is split across tasks.
-HOT_KEY_ROWS = 2_000_000
-
-
-def largest_key(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key (a partial aggregate, then a max)."""
-    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()
-    return int(row[0] or 0)
-
-
 def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=(), firsts=(),
-                index: bool = True, order_desc: bool = False, mode: str = "auto",
-                hot_rows: int | None = None) -> DataFrame:
+                index: bool = True, order_desc: bool = False) -> DataFrame:
     """Running index / sums / lags / first values per key, exact and skew-safe.
 
     ``order`` must make rows unique within a key (end it with a row key).
     ``firsts`` adds ``<c>_first``: the value on the first row of the key.
-    ``mode``: "window" (one task per key), "split" (range-split keys) or
-    "auto" (split only when the largest key exceeds ``hot_rows``).
+    One plan for every size: keys are always cut into range partitions.
     """
     sums, lags, firsts = list(sums), list(lags), list(firsts)
-    if mode == "auto":
-        # Materialise the input once: the size check and the scan both read it.
-        df = cut_lineage(df)
-        mode = "split" if largest_key(df, keys) > (hot_rows or HOT_KEY_ROWS) else "window"
-    if mode == "window":
-        return _window_scan(df, keys, order, sums, lags, firsts, index, order_desc)
     sort_cols = [F.col(k).asc_nulls_first() for k in keys] + [
         (F.col(o).desc_nulls_last() if order_desc else F.col(o).asc_nulls_first()) for o in order]
-    # 1. Range partition on the full sort key and pin the partition contents
-    #    (sampled bounds are not stable on recompute, a checkpoint is).
-    ranged = pinned_checkpoint(df.repartitionByRange(*sort_cols)).withColumn(_PID, F.spark_partition_id())
+    # 1. Range partition on the full sort key and write the result with its
+    #    partition number (sampled bounds are not stable on recompute, a table is).
+    ranged = cut_lineage(df.repartitionByRange(*sort_cols).withColumn(_PID, F.spark_partition_id()))
 
     # 2. Boundary keys of each partition (one row per partition).
     ends = ranged.groupBy(_PID).agg(F.min(_struct(keys)).alias("_first"), F.max(_struct(keys)).alias("_last"))
@@ -117,17 +99,3 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
         out_cols.append(F.when(offs["_off_n"].isNotNull(), offs[f"_first_{c}"]).otherwise(local[f"_lfirst_{c}"])
                         .alias(f"{c}_first"))
     return joined.select(*out_cols)
-
-
-def _window_scan(df, keys, order, sums, lags, firsts, index, order_desc):
-    """Plain per-key window: right when no key is hot."""
-    w = Window.partitionBy(*keys).orderBy(*[
-        (F.col(o).desc_nulls_last() if order_desc else F.col(o).asc_nulls_first()) for o in order])
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [F.col(c) for c in df.columns]
-    if index:
-        cols.append((F.row_number().over(w) - 1).alias("_idx"))
-    cols += [F.sum(c).over(run).alias(f"{c}_cum") for c in sums]
-    cols += [F.lag(c, 1).over(w).alias(f"{c}_prev") for c in lags]
-    cols += [F.first(c).over(run).alias(f"{c}_first") for c in firsts]
-    return df.select(*cols)

@@ -36,7 +36,7 @@ make_lookup AS (
     SELECT raw AS k, canonical AS c, 1 AS prio FROM make_raw
     UNION ALL SELECT canonical, canonical, 0 FROM make_raw) t
   WHERE k IS NOT NULL GROUP BY k),
-policies AS (
+policies AS MATERIALIZED (
   SELECT l_orderkey AS OBJECT_ID, l_linenumber % 3 AS SEX,
     upper(strftime(l_shipdate + to_months(144), '%d-%b-%y')) AS INSR_BEGIN,
     upper(strftime(l_shipdate + to_months(144 + l_linenumber * 3 - 3 + 6 * dup_seq), '%d-%b-%y')) AS INSR_END,
@@ -58,8 +58,8 @@ policies AS (
 months AS (
   SELECT *, {_month('INSR_BEGIN')} AS START_MNTH, {_month('INSR_END')} AS END_MNTH
   FROM policies WHERE OBJECT_ID IS NOT NULL),
-months2 AS (SELECT *, END_MNTH - START_MNTH AS DURATION FROM months),
-dedup AS (
+months2 AS MATERIALIZED (SELECT *, END_MNTH - START_MNTH AS DURATION FROM months),
+dedup AS MATERIALIZED (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY OBJECT_ID, START_MNTH, INSURED_VALUE, SEX, PREMIUM, INSR_TYPE
                                  ORDER BY DURATION DESC, {TIE_DESC}) AS rn
@@ -70,7 +70,7 @@ dedup AS (
 def _k1(name: str, source: str, train: bool) -> str:
     prem = "WHERE d.PREMIUM IS NOT NULL" if train else ""
     return f"""
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT d.OBJECT_ID, d.SEX, d.INSR_TYPE, d.INSURED_VALUE, d.PREMIUM,
     CASE WHEN d.TYPE_VEHICLE = 'Trade plates' AND d.PROD_YEAR IS NULL THEN 2010.0::DOUBLE ELSE d.PROD_YEAR END AS PROD_YEAR,
     CASE WHEN d.TYPE_VEHICLE = 'Trade plates' THEN 0.0::DOUBLE ELSE d.SEATS_NUM END AS SEATS_NUM,
@@ -103,21 +103,24 @@ _DEFAULTS = " UNION ALL ".join(
     [f"SELECT '{c}' AS col, NULL::DOUBLE AS num_value, (SELECT {c} FROM k1_train WHERE {c} IS NOT NULL "
      f"GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS text_value" for c in MODE_DEFAULTS])
 
+_DEFAULT_ROW = "SELECT " + ", ".join(
+    [f"max(num_value) FILTER (WHERE col = '{c}') AS {c}_d" for c in NUMERIC_DEFAULTS] +
+    [f"max(text_value) FILTER (WHERE col = '{c}') AS {c}_d" for c in MODE_DEFAULTS]) + " FROM defaults"
+
 _K2_COLS = ", ".join(f"{_fill(c)} AS {c}" for c in IMPUTED)
 _K1_TYPES = {"SEX": "INTEGER", "INSR_TYPE": "INTEGER", "START_MNTH": "INTEGER", "DURATION": "INTEGER"}
 
 
 def _default_expr(c: str) -> str:
     if c in MODE_DEFAULTS:
-        return f"coalesce({c}, (SELECT text_value FROM defaults WHERE col = '{c}'))"
-    cast = _K1_TYPES.get(c, "DOUBLE")
-    return f"coalesce({c}, CAST((SELECT num_value FROM defaults WHERE col = '{c}') AS {cast}))"
+        return f"coalesce({c}, {c}_d)"
+    return f"coalesce({c}, CAST({c}_d AS {_K1_TYPES.get(c, 'DOUBLE')}))"
 
 
 LEARNT = f"""
 {_k1('k1_train', 'dedup', True)}
 {_k1('k1_infer', 'months2', False)}
-imp AS (
+imp AS MATERIALIZED (
   SELECT TYPE_VEHICLE, MAKE,
     count(*) FILTER (WHERE NOT coalesce(CCM_TON = 0, false)) > 0 AS CCM_TON_hit,
     avg(CCM_TON) FILTER (WHERE NOT coalesce(CCM_TON = 0, false)) AS CCM_TON_fill,
@@ -125,28 +128,29 @@ imp AS (
     count(PROD_YEAR) > 0 AS PROD_YEAR_hit, quantile_cont(PROD_YEAR, 0.5)::DOUBLE AS PROD_YEAR_fill,
     count(INSURED_VALUE) > 0 AS INSURED_VALUE_hit, avg(INSURED_VALUE) AS INSURED_VALUE_fill
   FROM k1_train WHERE TYPE_VEHICLE IS NOT NULL AND MAKE IS NOT NULL GROUP BY TYPE_VEHICLE, MAKE),
-imputed AS (
+imputed AS MATERIALIZED (
   SELECT k.* REPLACE ({_K2_COLS})
   FROM k1_train k LEFT JOIN imp i ON k.TYPE_VEHICLE = i.TYPE_VEHICLE AND k.MAKE = i.MAKE),
-k2_train AS (
+k2_train AS MATERIALIZED (
   SELECT *, START_MNTH - (PROD_YEAR - 2000.0::DOUBLE) * 12.0::DOUBLE AS OBJECT_AGE
   FROM imputed WHERE COLUMNS(*) IS NOT NULL),
-defaults AS ({_DEFAULTS}),
+defaults AS MATERIALIZED ({_DEFAULTS}),
+default_row AS MATERIALIZED ({_DEFAULT_ROW}),
 imputed_infer AS (
   SELECT k.* REPLACE ({_K2_COLS})
   FROM k1_infer k LEFT JOIN imp i ON k.TYPE_VEHICLE = i.TYPE_VEHICLE AND k.MAKE = i.MAKE),
 k2_infer AS (
-  SELECT * REPLACE ({", ".join(f"{_default_expr(c)} AS {c}" for c in NUMERIC_DEFAULTS + MODE_DEFAULTS)}),
-    START_MNTH - (coalesce(PROD_YEAR, (SELECT num_value FROM defaults WHERE col = 'PROD_YEAR')) - 2000.0::DOUBLE) * 12.0::DOUBLE AS OBJECT_AGE
-  FROM imputed_infer),
+  SELECT i.* REPLACE ({", ".join(f"{_default_expr(c)} AS {c}" for c in NUMERIC_DEFAULTS + MODE_DEFAULTS)}),
+    START_MNTH - (coalesce(PROD_YEAR, PROD_YEAR_d) - 2000.0::DOUBLE) * 12.0::DOUBLE AS OBJECT_AGE
+  FROM imputed_infer i, default_row),
 seg1 AS (SELECT *, coalesce(INSURED_VALUE = 0, false) AS is_zero FROM k1_train),
-caps_scalar AS (
+caps_scalar AS MATERIALIZED (
   SELECT is_zero, 'PREMIUM' AS col, quantile_cont(PREMIUM, 0.99)::DOUBLE AS cap FROM seg1
   WHERE PREMIUM IS NOT NULL GROUP BY is_zero
   UNION ALL
   SELECT is_zero, 'INSURED_VALUE', quantile_cont(INSURED_VALUE, 0.99)::DOUBLE FROM seg1
   WHERE NOT is_zero AND INSURED_VALUE IS NOT NULL GROUP BY is_zero),
-caps_by_type AS (
+caps_by_type AS MATERIALIZED (
   SELECT t.is_zero, t.TYPE_VEHICLE, s.SEATS_NUM_cap, c.CCM_TON_cap
   FROM (SELECT DISTINCT is_zero, TYPE_VEHICLE FROM seg1 WHERE TYPE_VEHICLE IS NOT NULL) t
   LEFT JOIN (SELECT is_zero, TYPE_VEHICLE, quantile_cont(SEATS_NUM, 0.99)::DOUBLE AS SEATS_NUM_cap FROM seg1
@@ -163,19 +167,13 @@ capped AS (
 
 
 def _merge_sql(source: str, merges=FIXTURE_MERGES, types=None) -> str:
-    """One CASE per column from the resolved replacement chains, as on the Spark side."""
-    from covera.operators.outliers import resolve_merges
+    """The merges replayed one after the other: each replaces one value of one column in one segment."""
     types = types or {"USAGE": "VARCHAR", "TYPE_VEHICLE": "VARCHAR", "SEX": "INTEGER"}
-    whens: dict = {}
-    for (seg, col), final in sorted(resolve_merges(merges).items()):
-        for old, new in sorted(final.items()):
-            whens.setdefault(col, []).append(
-                f"WHEN is_zero = {'true' if seg else 'false'} AND CAST({col} AS VARCHAR) = {_q(old)} "
-                f"THEN CAST({_q(new)} AS {types[col]})")
-    if not whens:
-        return f"SELECT * FROM {source}"
-    return "SELECT * REPLACE (" + ", ".join(
-        f"CASE {' '.join(w)} ELSE {c} END AS {c}" for c, w in whens.items()) + f") FROM {source}"
+    sql = f"SELECT * FROM {source}"
+    for seg, col, _, old, new in sorted(merges, key=lambda m: m[2]):
+        sql = (f"SELECT * REPLACE (CASE WHEN is_zero = {'true' if seg else 'false'} AND CAST({col} AS VARCHAR) = {_q(old)} "
+               f"THEN CAST({_q(new)} AS {types[col]}) ELSE {col} END AS {col}) FROM ({sql})")
+    return sql
 
 
 def _rules_ctes(source: str, rules=FIXTURE_RULES, min_conf: float = 0.9975) -> tuple[str, str, list[str]]:
@@ -334,6 +332,27 @@ st AS ({_state('train_rows')}),
 ORACLE: dict[str, str] = {}
 
 ORACLE["a1_policies"] = _sql("SELECT * FROM policies")
+_CORE = ("OBJECT_ID, SEX, INSR_BEGIN, INSR_END, INSR_TYPE, INSURED_VALUE, PREMIUM, PROD_YEAR, SEATS_NUM, CCM_TON, "
+         "TYPE_VEHICLE, MAKE, USAGE")
+ORACLE["a1_csv_by_name"] = ORACLE["a1_policies"]
+ORACLE["a2_append_store"] = ORACLE["a3_overwrite_store"] = _sql(f"SELECT {_CORE} FROM policies")
+ORACLE["a7_state_versions"] = _sql(_state("segk"), _SEG_K1)
+ORACLE["a9_materialised"] = _sql("SELECT * FROM k1_train")
+ORACLE["c7_hand_limits"] = _sql(f"""SELECT {KEYS}, is_zero, PREMIUM, SEATS_NUM FROM segk
+  WHERE PREMIUM < 5000 AND SEATS_NUM < 9 AND (is_zero OR INSURED_VALUE < 400000)""", _SEG_K1)
+ORACLE["c10_plain_filter"] = _sql(f"""SELECT {KEYS}, TYPE_VEHICLE, SEATS_NUM FROM k1_train
+  WHERE TYPE_VEHICLE IN ('Truck', 'Bus') AND SEATS_NUM > 5 AND INSURED_VALUE IS NOT NULL""")
+ORACLE["g1_largest_premiums"] = _sql(f"SELECT {KEYS}, PREMIUM FROM k1_train ORDER BY PREMIUM DESC, {KEYS} LIMIT 100")
+ORACLE["g2_slice"] = _sql(f"SELECT {KEYS}, PREMIUM FROM k1_train ORDER BY PREMIUM DESC, {KEYS} LIMIT 100 OFFSET 1000")
+ORACLE["g3_union"] = _sql(f"""SELECT {KEYS}, START_MNTH, DURATION, MAKE, 'train' AS part FROM k1_train WHERE floor(START_MNTH / 12) <= 12
+  UNION ALL SELECT {KEYS}, START_MNTH, DURATION, MAKE, 'later' FROM k1_infer WHERE floor(START_MNTH / 12) > 12""")
+ORACLE["g6_same_rows"] = _sql("""
+SELECT CAST(sum(a) AS BIGINT) AS rows_a, CAST(sum(b) AS BIGINT) AS rows_b, CAST(sum(greatest(a - b, 0)) AS BIGINT) AS only_a,
+  CAST(sum(greatest(b - a, 0)) AS BIGINT) AS only_b, sum(abs(a - b)) = 0 AS equal FROM (
+  SELECT count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM (
+    SELECT OBJECT_ID, START_MNTH, DURATION, PREMIUM, MAKE, 0 AS side FROM k1_train
+    UNION ALL SELECT OBJECT_ID, START_MNTH, DURATION, PREMIUM, MAKE, 1 FROM k1_infer WHERE PREMIUM IS NOT NULL AND DURATION > 0) r
+  GROUP BY OBJECT_ID, START_MNTH, DURATION, PREMIUM, MAKE) t""")
 ORACLE["b1_month_index"] = _sql(f"""SELECT {KEYS}, INSR_BEGIN, INSR_END, {_month('INSR_BEGIN')} AS START_MNTH,
   {_month('INSR_END')} AS END_MNTH, {_month('INSR_END')} - {_month('INSR_BEGIN')} AS DURATION,
   TRY_CAST(split_part(INSR_BEGIN, '-', 3) AS INTEGER) AS BEGIN_YEAR FROM policies""")
@@ -341,7 +360,8 @@ ORACLE["b3_object_age"] = _sql(f"""SELECT {KEYS}, START_MNTH, PROD_YEAR,
   START_MNTH - (PROD_YEAR - 2000.0::DOUBLE) * 12.0::DOUBLE AS OBJECT_AGE FROM k1_train""")
 ORACLE["b4_make_key"] = _sql("""SELECT MAKE, upper(replace(coalesce(MAKE, ''), ' ', '')) AS MAKE_KEY, count(*) AS n
   FROM policies GROUP BY ALL""")
-ORACLE["b5_make_closure"] = _sql("SELECT MAKE_KEY, MAKE_STD FROM make_lookup")
+ORACLE["b5_make_closure"] = _sql("""SELECT k AS MAKE_KEY, coalesce(MAKE_STD, 'UNKNOWN') AS MAKE_STD, count(*) AS n
+  FROM (SELECT upper(replace(coalesce(MAKE, ''), ' ', '')) AS k FROM policies) p LEFT JOIN make_lookup ON k = MAKE_KEY GROUP BY ALL""")
 ORACLE["b6_trade_plates"] = _sql(f"""SELECT {KEYS}, CCM_TON, SEATS_NUM, PROD_YEAR FROM k1_infer
   WHERE TYPE_VEHICLE = 'Trade plates'""")
 ORACLE["b10_segments"] = _sql("SELECT is_zero, count(*) AS n, count(DISTINCT OBJECT_ID) AS objects FROM segk GROUP BY is_zero",
@@ -359,6 +379,7 @@ SELECT 'nans' AS stage, 'null_object_removed' AS metric, CAST(count(*) FILTER (W
 UNION ALL SELECT 'nans', 'INSR_ZERO_duration_removed', CAST(count(*) FILTER (WHERE NOT coalesce(DURATION > 0, false)) AS BIGINT) FROM months2
 UNION ALL SELECT 'nans', 'rows_before_dedup', CAST(count(*) AS BIGINT) FROM months2 WHERE DURATION > 0
 UNION ALL SELECT 'nans', 'rows_after_dedup', CAST(count(*) AS BIGINT) FROM dedup
+UNION ALL SELECT 'nans', 'duplicates_removed', CAST((SELECT count(*) FROM months2 WHERE DURATION > 0) - count(*) AS BIGINT) FROM dedup
 UNION ALL SELECT 'nans', 'trade_plates_CCM_TON_nan', CAST(count(*) FILTER (WHERE TYPE_VEHICLE = 'Trade plates' AND CCM_TON IS NULL) AS BIGINT) FROM dedup
 UNION ALL SELECT 'nans', 'trade_plates_SEATS_NUM_nan', CAST(count(*) FILTER (WHERE TYPE_VEHICLE = 'Trade plates' AND SEATS_NUM IS NULL) AS BIGINT) FROM dedup
 UNION ALL SELECT 'nans', 'trade_plates_prod_year_nan', CAST(count(*) FILTER (WHERE TYPE_VEHICLE = 'Trade plates' AND PROD_YEAR IS NULL) AS BIGINT) FROM dedup
@@ -398,11 +419,8 @@ LATERAL (VALUES ('records', records), ('removed_PREMIUM', removed_PREMIUM), ('re
   ('removed_SEATS_NUM', removed_SEATS_NUM), ('removed_CCM_TON', removed_CCM_TON), ('final_records', final_records)) m(metric, value)""")
 ORACLE["e9_value_counts"] = _sql("""SELECT TYPE_VEHICLE, upper(replace(coalesce(MAKE, ''), ' ', '')) AS MAKE_KEY, count(*) AS n,
   count(*) < 20 AS is_rare FROM policies GROUP BY ALL""")
-ORACLE["e10_crosstab_objects"] = _sql("""SELECT TYPE_VEHICLE,
-  count(DISTINCT OBJECT_ID) FILTER (WHERE USAGE = 'General Cartage') AS "General Cartage",
-  count(DISTINCT OBJECT_ID) FILTER (WHERE USAGE = 'Own Goods') AS "Own Goods",
-  count(DISTINCT OBJECT_ID) FILTER (WHERE USAGE = 'Private') AS "Private"
-  FROM k1_train GROUP BY TYPE_VEHICLE""")
+ORACLE["e10_crosstab_objects"] = _sql("""SELECT TYPE_VEHICLE, USAGE, count(DISTINCT OBJECT_ID) AS objects
+  FROM k1_train GROUP BY ALL""")
 ORACLE["e11_box_stats"] = _sql(f"""
 SELECT is_zero, TYPE_VEHICLE, n, round(min_v, {R}) AS min_v, round(q1, {R}) AS q1, round(median, {R}) AS median,
   round(q3, {R}) AS q3, round(max_v, {R}) AS max_v, outside FROM (
@@ -423,7 +441,7 @@ ORACLE["e16_stage_sizes"] = _sql("""SELECT 'raw' AS stage, count(*) AS n FROM po
   UNION ALL SELECT 'base_clean', count(*) FROM k1_train UNION ALL SELECT 'full_clean', count(*) FROM k2_train""")
 ORACLE["f2_first_policies"] = _sql(f"""SELECT {KEYS}, is_zero, START_MNTH, DURATION, PREMIUM FROM hist
   WHERE POLICY_IDX = 0""", _SEG_K1, _HIST)
-ORACLE["f3_policy_history"] = _sql(f"""SELECT {KEYS}, is_zero, CAST(POLICY_IDX AS INTEGER) AS POLICY_IDX, PREMIUM_prev,
+ORACLE["f3_policy_history"] = _sql(f"""SELECT {KEYS}, is_zero, CAST(POLICY_IDX AS BIGINT) AS POLICY_IDX, PREMIUM_prev,
   CAST(DURATION_cum AS BIGINT) AS DURATION_cum FROM hist""", _SEG_K1, _HIST)
 ORACLE["n5_later_history"] = _sql(f"""SELECT {KEYS}, is_zero, PREMIUM, PREMIUM_prev AS PREVIOUS_PREMIUM,
   CAST(DURATION_cum - DURATION_first AS BIGINT) AS TOTAL_DURATION FROM hist
@@ -467,14 +485,14 @@ ORACLE["i4_mann_whitney_u"] = _sql(f"""SELECT is_zero, col, a, b, n_a, n_b, roun
   round(2.0 * U1 / (n_a::DOUBLE * n_b) - 1.0, {R}) AS cliff_delta FROM mw""", _SEG_K1, _LONG)
 ORACLE["j1_transactions"] = _sql(f"""SELECT is_zero, {", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _ITEMS)}, count(*) AS cnt
   FROM segk GROUP BY ALL""", _SEG_K1)
-_IS05 = _itemsets(0.05)
+_MINED = _itemsets(0.01)
 ORACLE["j2_frequent_itemsets"] = _sql(f"SELECT is_zero, mask, {', '.join(_ITEMS)}, cnt, support, size FROM itemsets",
-                                      _SEG_K1, _IS05)
+                                      _SEG_K1, _MINED)
 ORACLE["j3_rules"] = _sql(f"""SELECT is_zero, antecedents, consequent, round(antecedent_support, {R}) AS antecedent_support,
   round(consequent_support, {R}) AS consequent_support, round(support, {R}) AS support,
-  round(confidence, {R}) AS confidence, round(lift, {R}) AS lift FROM rules WHERE confidence >= 0.9""", _SEG_K1, _IS05)
+  round(confidence, {R}) AS confidence, round(lift, {R}) AS lift FROM rules WHERE confidence >= 0.5""", _SEG_K1, _MINED)
 ORACLE["j7_perfect_rules"] = _sql(f"""SELECT is_zero, antecedents, consequent, round(support, {R}) AS support FROM rules
-  WHERE confidence = 1.0""", _SEG_K1, _IS05)
+  WHERE confidence = 1.0""", _SEG_K1, _MINED)
 ORACLE["j5_rule_misses"] = _sql(" UNION ALL ".join(
     f"SELECT '{f.split('_', 2)[2].rsplit('_', 1)[0]}' AS segment, {int(f.rsplit('_', 1)[1])} AS seq, "
     f"CAST(count(*) FILTER (WHERE {f}) AS BIGINT) AS misses FROM {_RULES_LAST}" for f in _RULE_FLAGS),
@@ -497,14 +515,41 @@ FROM (
     (SELECT avg(PREMIUM) FROM k2_train) AS prior FROM k2_train GROUP BY TYPE_VEHICLE
   UNION ALL
   SELECT 'USAGE', USAGE, count(*), avg(PREMIUM), (SELECT avg(PREMIUM) FROM k2_train) FROM k2_train GROUP BY USAGE) t""")
-ORACLE["l6_standard_scaling"] = _sql(" UNION ALL ".join(
-    f"SELECT '{c}' AS col, round(avg({c}), {R}) AS mean, round(stddev_pop({c}), {R}) AS std FROM k2_train"
-    for c in ["SEATS_NUM", "CCM_TON", "DURATION", "OBJECT_AGE", "INSURED_VALUE"]))
+_SCALED = ["SEATS_NUM", "CCM_TON", "DURATION", "OBJECT_AGE", "INSURED_VALUE"]
+ORACLE["l6_standard_scaling"] = _sql(f"""SELECT {KEYS}, {", ".join(
+    f"round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1 ELSE stddev_pop({c}) OVER () END, {R}) AS {c}"
+    for c in _SCALED)} FROM k2_train""")
+_SMOOTH = ("prior * (1 - 1.0 / (1.0 + exp(-(n - 20) / 10.0))) + mean * (1.0 / (1.0 + exp(-(n - 20) / 10.0)))")
+_ENCODED = f"""
+enc AS (
+  SELECT k.*, f.freq AS MAKE_FREQ, x.code AS SEX_LABEL, t.e AS TYPE_VEHICLE_TARGET, u.e AS USAGE_TARGET,
+    {", ".join(f"CAST(INSR_TYPE = {v} AS DOUBLE) AS INSR_TYPE_{v}" for v in (1201, 1202, 1204))}
+  FROM k2_train k
+  JOIN (SELECT MAKE, count(*) / (SELECT count(*) FROM k2_train) AS freq FROM k2_train GROUP BY MAKE) f ON f.MAKE = k.MAKE
+  JOIN (SELECT SEX, CAST(row_number() OVER (ORDER BY min((OBJECT_ID, START_MNTH, DURATION, {TIE_ASC}))) AS DOUBLE) AS code
+        FROM k2_train GROUP BY SEX) x ON x.SEX = k.SEX
+  JOIN (SELECT TYPE_VEHICLE, {_SMOOTH} AS e FROM (SELECT TYPE_VEHICLE, count(*) AS n, avg(PREMIUM) AS mean,
+        (SELECT avg(PREMIUM) FROM k2_train) AS prior FROM k2_train GROUP BY ALL) a) t ON t.TYPE_VEHICLE = k.TYPE_VEHICLE
+  JOIN (SELECT USAGE, {_SMOOTH} AS e FROM (SELECT USAGE, count(*) AS n, avg(PREMIUM) AS mean,
+        (SELECT avg(PREMIUM) FROM k2_train) AS prior FROM k2_train GROUP BY ALL) a) u ON u.USAGE = k.USAGE),
+insr AS (
+  SELECT INSR_TYPE, row_number() OVER (ORDER BY min((OBJECT_ID, START_MNTH, DURATION, {TIE_ASC}))) AS pos
+  FROM k2_train GROUP BY INSR_TYPE),
+"""
+_ENC_COLS = ["MAKE_FREQ", "SEX_LABEL", "TYPE_VEHICLE_TARGET", "USAGE_TARGET", "INSR_TYPE_1201", "INSR_TYPE_1202", "INSR_TYPE_1204"]
+ORACLE["l5_encoded"] = _sql(f"SELECT {KEYS}, {', '.join(f'round({c}, {R}) AS {c}' for c in _ENC_COLS)} FROM enc", _ENCODED)
+_MODEL_COLS = ["INSURED_VALUE", "SEATS_NUM", "CCM_TON", "DURATION", "OBJECT_AGE", "MAKE_FREQ", "SEX_LABEL",
+               "TYPE_VEHICLE_TARGET", "USAGE_TARGET"]
+ORACLE["l7_features"] = _sql(" UNION ALL ".join(
+    [f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS feature, round(avg({c}), {R}) AS mean, round(stddev_pop({c}), {R}) AS std FROM enc"
+     for i, c in enumerate(_MODEL_COLS)] +
+    [f"SELECT CAST({len(_MODEL_COLS)} + (SELECT pos - 1 FROM insr WHERE INSR_TYPE = {v}) AS INTEGER), 'INSR_TYPE_{v}', "
+     f"round(avg(INSR_TYPE_{v}), {R}), round(stddev_pop(INSR_TYPE_{v}), {R}) FROM enc" for v in (1201, 1202, 1204)]), _ENCODED)
 _SEG_K2 = "segk AS (SELECT *, coalesce(INSURED_VALUE = 0, false) AS is_zero FROM k2_train),"
 ORACLE["m7_lag_baseline_metrics"] = _sql(f"""
 SELECT is_zero, count(*) AS n, round(sqrt(avg(power(PREMIUM - PREMIUM_prev, 2))), {R}) AS rmse,
   round(avg(abs(PREMIUM - PREMIUM_prev)), {R}) AS mae,
-  round(1 - sum(power(PREMIUM - PREMIUM_prev, 2)) / (sum(PREMIUM * PREMIUM) - sum(PREMIUM) * sum(PREMIUM) / count(*)), {R}) AS r2,
+  round(1 - sum(power(PREMIUM - PREMIUM_prev, 2)) / (count(*) * var_pop(PREMIUM)), {R}) AS r2,
   round(avg(CASE WHEN PREMIUM <> 0 THEN abs((PREMIUM - PREMIUM_prev) / PREMIUM) END) * 100, {R}) AS mape
 FROM hist WHERE POLICY_IDX >= 1 AND PREMIUM_prev IS NOT NULL GROUP BY is_zero""", _SEG_K2, _HIST)
 ORACLE["n1_state_from_transform"] = _sql(f"""

@@ -1,6 +1,6 @@
 """Session helpers: local sessions for tests / bench and the checkpoint folder.
 
-Lineage is cut only with reliable checkpoints written to the folder the
+Lineage is cut only with tables written to the folder the
 cluster names in ``spark.checkpoint.dir``.  A folder of our own is created
 only when the session has none *and* runs in local mode (tests, bench).
 """
@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-
-from pyspark import StorageLevel
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,28 +57,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local_dir
 
 
-def pinned_checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint that keeps the partitioning (never localCheckpoint).
+#: Tables of the scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def lineage_scope(spark: SparkSession):
+    """Tables that :func:`cut_lineage` writes inside are deleted at the end, but for those with ``keep``.
 
-    Persisted first, so the checkpoint write reads the cached rows instead of
-    recomputing the plan a second time.
+    What is computed from them has to be written or collected inside.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    df.persist(StorageLevel.MEMORY_AND_DISK)
+    _SCOPES.append([])
     try:
-        return df.checkpoint(eager=True)
+        yield
     finally:
-        df.unpersist()
+        release(spark, _SCOPES.pop())
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables, on whatever store they are."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Materialise as a parquet table in the shared checkpoint folder and read it back.
 
     One job, the lineage is cut (a lost executor re-reads the files), and
-    later reads prune columns.
+    later reads prune columns.  The table stays until the surrounding
+    :func:`lineage_scope` ends, or with ``keep`` until the folder is cleared.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
     path = f"{base.rstrip('/')}/covera-tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
+    return spark.read.schema(df.schema).parquet(path)

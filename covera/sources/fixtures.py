@@ -10,20 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    A parquet file is split by row group; a file written as one row group is
-    read by one task however large it is.  Many-file inputs (the normal case
-    at scale) are left alone; only a scan narrower than the default
-    parallelism is round-robin repartitioned before the per-row work.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
-
-
 # Row key of the view: breaks every sort tie deterministically.
 FIXTURE_TIE = ["l_linenumber", "l_partkey", "l_suppkey", "dup_seq"]
 
@@ -49,11 +35,16 @@ _POLICY_EXPRS = [
 ]
 
 
-def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw policy rows (section 1.1 schema plus the row key)."""
-    li = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+def policies(spark: SparkSession, sf_dir: str, splits: int | None = None) -> DataFrame:
+    """Raw policy rows (section 1.1 schema plus the row key).
+
+    ``splits``: deal the scanned rows to so many tasks, for an input that is one row group
+    (a scan has one task per row group at most); by default they stay as they are read.
+    """
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
-        "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"))
+        "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
+    li = li if splits is None else li.repartition(splits)
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type", "p_brand", "p_size")
     # Every 20th part is listed twice (a longer second contract); an explode of
     # a one- or two-element array keeps this a narrow projection, no join.

@@ -1,8 +1,8 @@
 """Policy sources and sinks: A1-A5, A7, A9.
 
 Batches are read by column *name* (a CSV's column order does not matter),
-typed with try_cast (a junk cell becomes null instead of failing the job),
-and numbered in file order (``_row_id``) so that every later sort has a
+each file by its own header, typed with try_cast (a junk cell becomes null;
+:func:`cast_failures` counts them), and numbered in file order (``_row_id``) so that every later sort has a
 deterministic last tie-breaker.  Stores are parquet; every overwrite goes to
 a new version folder, so no job ever reads and overwrites the same path.
 """
@@ -10,11 +10,13 @@ a new version folder, so no job ever reads and overwrites the same path.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covera.schema import CORE_TYPES, ROW_ID
+from covera.session import cut_lineage
 
 OPTIONAL = {"PREMIUM", "EFFECTIVE_YR", "CLAIM_PAID", "CARRYING_CAPACITY"}
 
@@ -24,10 +26,58 @@ def type_policies(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in CORE_TYPES.items() if c in df.columns})
 
 
+#: Cells that a raw CSV line may have; files with more columns fail the width check.
+MAX_COLUMNS = 64
+RAW_SCHEMA = ", ".join(f"_c{i} string" for i in range(MAX_COLUMNS + 1))
+
+
+def by_header(raw: DataFrame, file_col: str = "_file") -> DataFrame:
+    """Cells of raw lines (``_c0``, ``_c1`` ..., and the file they are from) by the names of their file's header.
+
+    A header is a line with the cell OBJECT_ID.  Every file has its own, so
+    column order and extra columns may differ from file to file.  A column
+    that a file lacks is null; a line of a file without header, or of more
+    than MAX_COLUMNS cells, fails the job.
+    """
+    spark = raw.sparkSession
+    cells = F.array(*[F.trim(F.col(f"_c{i}")) for i in range(MAX_COLUMNS + 1)])
+    lines = raw.select("*", cells.alias("_cells"))
+    is_header = F.array_contains(F.col("_cells"), "OBJECT_ID")
+    # One row per file.
+    heads = lines.where(is_header).groupBy(F.col(file_col).alias("_head_file")).agg(F.max("_cells").alias("_names"))
+    names = sorted({n for r in heads.select(F.explode(F.array_distinct("_names")).alias("n")).distinct().collect()
+                    if (n := r["n"])})
+    if not names:
+        return spark.createDataFrame([], "OBJECT_ID string")
+    rows = lines.where(~F.coalesce(is_header, F.lit(False))).join(heads, F.col(file_col) == F.col("_head_file"), "left")
+    sound = F.col("_names").isNotNull() & F.col(f"_c{MAX_COLUMNS}").isNull()
+    cell = lambda n: F.get("_cells", F.array_position("_names", n).cast("int") - 1)
+    checked = rows.where(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(
+        F.lit("line without header or with too many cells in "), F.col(file_col))).cast("boolean")))
+    rest = [c for c in raw.columns if not c.startswith("_c") and c != file_col]
+    return checked.select(*rest, *[F.when(F.array_contains("_names", n), F.nullif(cell(n), F.lit(""))).alias(n) for n in names])
+
+
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of the CSV files as raw cells, with its file and a file-order row id."""
+    return (spark.read.option("header", False).schema(RAW_SCHEMA).csv(path)
+            .withColumn("_file", F.col("_metadata.file_path")).withColumn(ROW_ID, F.monotonically_increasing_id()))
+
+
 def read_policies_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: header CSV -> typed policy rows with a file-order row id."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return type_policies(raw).withColumn(ROW_ID, F.monotonically_increasing_id())
+    """A1: header CSVs -> typed policy rows by name, with a file-order row id.
+
+    The rows are written once: row ids of a scan would not be the same in a later scan.
+    """
+    return type_policies(cut_lineage(by_header(raw_lines(spark, path))))
+
+
+def cast_failures(raw: DataFrame) -> DataFrame:
+    """(col, value): per known column how many non-empty cells do not have its type (they are read as null)."""
+    known = [c for c in CORE_TYPES if c in raw.columns]
+    row = raw.agg(*[F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(CORE_TYPES[c]).isNull()).alias(c) for c in known])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("value")) for c in known])).alias("s")) \
+        .select("s.*")
 
 
 def check_batch(df: DataFrame, labelled: bool) -> None:
@@ -47,11 +97,16 @@ def store_columns() -> list[str]:
     return list(CORE_TYPES)
 
 
-def append_labelled(df: DataFrame, store: str) -> None:
-    """A2: append a labelled batch to the training store, by name (Q11)."""
+def append_labelled(df: DataFrame, store: str, batch: str | None = None) -> str:
+    """A2: append a labelled batch to the training store, by name (Q11); returns the batch's folder.
+
+    A named batch is written by overwrite, so that a replay does not add it twice.
+    """
     check_batch(df, labelled=True)
     out = df.select(*[F.col(c).cast(t).alias(c) for c, t in CORE_TYPES.items()])
-    out.write.mode("append").parquet(store)
+    path = f"{store.rstrip('/')}/batch={batch or 'b' + uuid.uuid4().hex}"
+    out.write.mode("overwrite" if batch else "errorifexists").parquet(path)
+    return path
 
 
 def overwrite_store(df: DataFrame, base: str, version: str | None = None) -> str:
@@ -63,7 +118,9 @@ def overwrite_store(df: DataFrame, base: str, version: str | None = None) -> str
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn(ROW_ID, F.monotonically_increasing_id())
+    """All batches of the store with a row id; written once, so that the ids are the same in every later scan."""
+    rows = spark.read.option("recursiveFileLookup", True).parquet(path)
+    return cut_lineage(rows.withColumn(ROW_ID, F.monotonically_increasing_id()))
 
 
 def write_predictions(df: DataFrame, input_path: str, fmt: str = "csv") -> str:
@@ -76,14 +133,11 @@ def write_predictions(df: DataFrame, input_path: str, fmt: str = "csv") -> str:
     return out
 
 
-def save_state(state: DataFrame, base: str, version: str | None = None, buckets: int | None = None) -> str:
-    """Object state as a new parquet version, hash-partitioned by key so the
-    next batch's state join reads co-located files."""
-    path = f"{base.rstrip('/')}/v={version or int(time.time() * 1000)}"
-    n = buckets or state.sparkSession.sparkContext.defaultParallelism
-    (state.select("OBJECT_ID", "is_zero", F.col("PREVIOUS_PREMIUM").cast("double"),
-                  F.col("TOTAL_DURATION").cast("long"))
-          .repartition(n, "OBJECT_ID", "is_zero").write.mode("errorifexists").parquet(path))
+def save_state(state: DataFrame, base: str, version: str | int | None = None) -> str:
+    """Object state as a new parquet version; writing a version again replaces it (a replayed batch)."""
+    path = f"{base.rstrip('/')}/v={int(time.time() * 1000) if version is None else version}"
+    state.select("OBJECT_ID", "is_zero", F.col("PREVIOUS_PREMIUM").cast("double"),
+                 F.col("TOTAL_DURATION").cast("long")).write.mode("overwrite").parquet(path)
     return path
 
 
@@ -91,7 +145,39 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """Committed versions ``v=<number>`` under a folder, in order (through Hadoop's file system, any store)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return []
+    found = [s.getPath() for s in fs.listStatus(root)]
+    return sorted(int(p.getName()[2:]) for p in found
+                  if p.getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def latest_state(spark: SparkSession, base: str, before: int | None = None) -> DataFrame | None:
+    """The newest committed state version (older than ``before``), or None."""
+    found = [v for v in versions(spark, base) if before is None or v < before]
+    return load_state(spark, f"{base.rstrip('/')}/v={found[-1]}") if found else None
+
+
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Write an intermediate between stages and continue from the files."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def new_version(spark: SparkSession, base: str, version: int | None = None) -> str:
+    """Path of a new version folder; it counts as committed only after :func:`commit_version`."""
+    path = f"{base.rstrip('/')}/v={int(time.time() * 1000) if version is None else version}"
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root):
+        raise ValueError(f"{path} exists")
+    return path
+
+
+def commit_version(spark: SparkSession, path: str) -> None:
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark).close()

@@ -1,57 +1,68 @@
 """Incoming policy files as a stream (the CLI's inference mode, file by file).
 
-Each micro-batch is routed by its schema (A5): labelled files are appended to
-the training store (A2); unlabelled ones are predicted with the fitted model,
-written with their predictions (A4), and folded into a new state version
-(N3) that the next batch reads.  ``foreachBatch`` gives exactly-once output
-per batch id through the checkpoint location; the state is a parquet table,
-never an in-memory dict.
+Lines are read as raw cells and resolved by the header of their own file in
+every micro-batch, so column order and extra columns may differ from file to
+file.  Labelled files are appended to the training store (A2); unlabelled
+ones are predicted with the fitted model, written as input columns plus
+``predicted_premium`` (A4), and folded into a new state version (N3).
+
+Every output of a batch goes to a folder named by the batch id and is
+written by overwrite, and a batch starts from the newest state version before
+its own, so a replayed batch gives the same files again and a restart goes on
+from the stored state.  A state folder belongs to one checkpoint folder.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covera.schema import CORE_TYPES, ROW_ID
+from covera.session import cut_lineage, lineage_scope
 from covera.sources import policy_io
 
 
-def policy_stream(spark: SparkSession, folder: str, labelled: bool) -> DataFrame:
-    """CSV files arriving in ``folder`` with a declared schema (strings, typed by name)."""
-    cols = [c for c in CORE_TYPES if labelled or c != "PREMIUM"]
-    schema = ", ".join(f"{c} string" for c in cols)
-    return (spark.readStream.option("header", True).schema(schema).csv(folder)
-            .transform(policy_io.type_policies))
+def policy_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw lines of the CSV files that arrive in ``folder``, with their file."""
+    return (spark.readStream.option("header", False).schema(policy_io.RAW_SCHEMA).csv(folder)
+            .withColumn("_file", F.col("_metadata.file_path")))
+
+
+def batch_rows(batch: DataFrame) -> DataFrame:
+    """Typed rows of a micro-batch with a row id, written once."""
+    rows = policy_io.by_header(batch.withColumn(ROW_ID, F.monotonically_increasing_id()))
+    missing = [F.lit(None).cast("string").alias(c) for c in CORE_TYPES if c not in rows.columns]
+    return policy_io.type_policies(cut_lineage(rows.select("*", *missing)))
+
+
+def infer_batch(batch: DataFrame, batch_id: int, model, state_base: str, out_folder: str) -> None:
+    """Predict one micro-batch and fold it into the state version ``batch_id``."""
+    spark = batch.sparkSession
+    with lineage_scope(spark):
+        rows = batch_rows(batch).drop("PREMIUM")
+        known = policy_io.latest_state(spark, state_base, before=batch_id)
+        now = model if known is None else replace(model, state=known)
+        pred = cut_lineage(now.predict(rows))
+        now.with_predictions(rows, pred).drop(ROW_ID).write.mode("overwrite").parquet(f"{out_folder}/batch={batch_id}")
+        policy_io.save_state(now.fold(pred), state_base, version=batch_id)
 
 
 def start_inference(spark: SparkSession, folder: str, model, state_base: str, out_folder: str,
                     checkpoint: str, trigger_once: bool = True):
     """Predict every new unlabelled file; keep the state as versioned parquet."""
-    holder = {"state": model.state}
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn(ROW_ID, F.monotonically_increasing_id())
-        model.state = holder["state"]
-        pred = model.predict(batch)
-        pred.write.mode("overwrite").parquet(f"{out_folder}/batch={batch_id}")
-        new_state = model.fold(spark.read.parquet(f"{out_folder}/batch={batch_id}"))
-        path = policy_io.save_state(new_state, state_base, version=str(batch_id))
-        holder["state"] = policy_io.load_state(spark, path)
-
-    writer = policy_stream(spark, folder, labelled=False).writeStream.foreachBatch(handle) \
+    writer = policy_stream(spark, folder).writeStream.foreachBatch(
+        lambda batch, batch_id: infer_batch(batch, batch_id, model, state_base, out_folder)) \
         .option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if trigger_once else writer).start()
 
 
 def start_collection(spark: SparkSession, folder: str, store: str, checkpoint: str, trigger_once: bool = True):
-    """A2 as a stream: every new labelled file is appended to the training store.
-
-    A plain file sink (exactly-once through its commit log), columns selected
-    by name and typed like the batch path.
-    """
-    cols = [F.col(c).cast(t).alias(c) for c, t in CORE_TYPES.items()]
-    writer = (policy_stream(spark, folder, labelled=True).select(*cols).writeStream
-              .format("parquet").option("path", store).option("checkpointLocation", checkpoint)
-              .outputMode("append"))
+    """A2 as a stream: every new labelled file is appended to the training store, by name."""
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        with lineage_scope(spark):
+            policy_io.append_labelled(batch_rows(batch), store, batch=f"s{batch_id}")
+
+    writer = policy_stream(spark, folder).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if trigger_once else writer).start()

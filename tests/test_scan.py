@@ -12,22 +12,16 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k long, o long, x double")
 
 
-def test_split_scan_equals_window_scan(spark):
+def test_scan_equals_pandas(spark):
     df = skewed(spark)
-    a = prefix_scan(df, ["k"], ["o"], sums=["x"], lags=["x"], firsts=["x"], mode="window").toPandas()
-    b = prefix_scan(df.repartition(8), ["k"], ["o"], sums=["x"], lags=["x"], firsts=["x"], mode="split").toPandas()
-    key = ["k", "o"]
-    a, b = a.sort_values(key).reset_index(drop=True), b.sort_values(key).reset_index(drop=True)
-    pd.testing.assert_frame_equal(a[b.columns], b, check_dtype=False)
-    hot = a[a.k == 1]
-    assert list(hot._idx) == list(range(3000))
-    assert hot.x_cum.iloc[-1] == sum(i % 7 for i in range(3000))
-
-
-def test_auto_mode_splits_hot_keys(spark):
-    df = skewed(spark)
-    out = prefix_scan(df, ["k"], ["o"], sums=["x"], mode="auto", hot_rows=100).toPandas()
-    assert out[out.k == 1]._idx.max() == 2999
+    out = prefix_scan(df.repartition(8), ["k"], ["o"], sums=["x"], lags=["x"], firsts=["x"])
+    assert dict(out.dtypes)["_idx"] == "bigint"
+    b = out.toPandas().sort_values(["k", "o"]).reset_index(drop=True)
+    a = df.toPandas().sort_values(["k", "o"]).reset_index(drop=True)
+    g = a.groupby("k").x
+    assert (b._idx == a.groupby("k").cumcount()).all() and np.allclose(b.x_cum, g.cumsum())
+    assert np.allclose(b.x_first, g.transform("first")) and b.x_prev.isna().equals(g.shift().isna())
+    assert np.allclose(b.x_prev.fillna(-1), g.shift().fillna(-1))
 
 
 def test_value_ranks_match_pandas_average_rank(spark):
