@@ -12,7 +12,8 @@ All on DataFrame functions: the k-mers of a text are one array of hashes,
 exploded to narrow rows of integers.  The rows stay in the partition of their
 document, where a window numbers the occurrences and a hash aggregate keeps,
 per document, one long per slot and order: hash in the high bits, position in
-the low ones.  Neither k-mers nor words are shuffled; the text is, once.
+the low ones.  Neither k-mers nor words are shuffled; the text is, once for the
+signatures and once for the hashes of the edited texts.
 
 Defined cases: a null text is an empty one; a text without words has the
 fingerprint of zeros and is like other such texts only; one with fewer than

@@ -28,12 +28,15 @@ rows are written each; no rows give an empty table.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,9 +46,9 @@ from covera.session import ensure_checkpoint_dir
 MAGIC = b"TPK1"
 BLOCK = 65_536
 #: Words that a worker remembers; beyond it, it forgets all and starts again.
-CACHE_WORDS = 600_000
-#: Words turned into ids at once.
-AT_ONCE = 400_000
+CACHE_WORDS = 900_000
+#: Bytes of text turned into ids at once.
+AT_ONCE = 16_000_000
 _SCHEMA = "part int, block long, doc_ids array<bigint>, n_ids long, payload binary"
 
 
@@ -100,73 +103,105 @@ def document_ids(payload, j: int) -> np.ndarray:
 # --- tokenising ------------------------------------------------------------
 
 class WordIds:
-    """Ids of words, through the tokenizer once per remembered word."""
+    """Ids of words, through the tokenizer once per remembered word.
 
-    END = b"\n"  # no word is white space
+    The tokenizer's words are runs of letters, single digits and runs of other
+    characters, so letters with ASCII marks after them are the ids of the
+    letters and of the marks (a mark that may begin with a contraction's
+    apostrophe is left to the tokenizer).  Words of letters alone are joined by
+    spaces and told apart by the ends of words among the ids.
+    """
+
+    JOIN = 500
+    MARKED = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]+)")
 
     def __init__(self, tokenizer_json: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.end_id = Tokenizer.from_str(tokenizer_json), end_id
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.forget()
 
     def forget(self):
-        self.slot = {self.END: 0}
-        self.flat, self.start, self.count = np.array([self.end_id], np.uint32), np.array([0]), np.array([1])
+        # Slot 0 is the end of a document, slot 1 the empty word.
+        self.slot = {"": 1}
+        self.flat, self.start, self.count = np.array([self.end_id], np.uint32), np.array([0, 1]), np.array([1, 0])
 
-    def learn(self, words: set[bytes]):
-        """Give every unknown word a slot."""
-        new = [w for w in words if w not in self.slot]
-        if not new:
-            return
-        # A full stop or comma after a-z is a token of its own: such a word is its stem and the mark.
-        stem = {w: w[:-1] for w in new if len(w) > 1 and w[-1] in b".," and 97 <= w[-2] <= 122}
-        plain = dict.fromkeys([w for w in new if w not in stem])
-        plain.update(dict.fromkeys(s for s in stem.values() if s not in self.slot))
-        plain.update(dict.fromkeys(m for m in (b".", b",") if m not in self.slot))
-        texts = list(plain)
-        got = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        self._add(texts, [e.ids for e in got])
-        if stem:
-            flat, start, count, slot = self.flat, self.start, self.count, self.slot
-            lists = []
-            for w, s in stem.items():
-                k = slot[s]
-                lists.append([*flat[start[k]:start[k] + count[k]].tolist(), *flat[start[slot[w[-1:]]]:][:1].tolist()])
-            self._add(list(stem), lists)
-
-    def _add(self, words, lists):
+    def _add(self, words, counts, ids):
         at, base = len(self.start), len(self.flat)
         self.slot.update(zip(words, range(at, at + len(words))))
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum()))])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
         self.start = np.concatenate([self.start, base + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
 
-    def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """(ids per text, all ids), the end id after every text."""
-        split = [self.words(t) for t in texts]
-        if len(self.slot) > CACHE_WORDS:
-            self.forget()
-        known = set()
-        for words in split:
-            known.update(words)
-        self.learn(known)
-        find = self.slot.__getitem__
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        slots = np.fromiter((find(w) for words in split for w in words), np.int64, int(sizes.sum()))
+    def _ask(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _add_asked(self, words: list[str]):
+        if words:
+            lists = self._ask(words)
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._add(words, counts, np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())))
+
+    def learn(self, words: list[str]):
+        """Give every unknown word a slot."""
+        known, marked, letters, rest = self.slot, [], {}, {}
+        split = self.MARKED.fullmatch
+        for w in words:
+            if w in known:
+                continue
+            if m := split(w):
+                stem, mark = m.groups()
+                marked.append((w, stem, mark))
+                if stem not in known:
+                    letters[stem] = None
+                if mark not in known:
+                    rest[mark] = None
+            elif w.isalpha():
+                letters[w] = None
+            else:
+                rest[w] = None
+        names = list(letters)
+        parts = [names[i:i + self.JOIN] for i in range(0, len(names), self.JOIN)]
+        for part, ids in zip(parts, self._ask([" ".join(p) for p in parts])):
+            ids = np.array(ids, np.int64)
+            ends = np.nonzero(self.is_end[ids])[0] + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._add(part, np.diff(ends, prepend=0), ids)
+            else:  # lower case made marks of some letter
+                self._add_asked(part)
+        self._add_asked(list(rest))
+        if marked:
+            slots = np.array([(known[stem], known[mark]) for _, stem, mark in marked]).ravel()
+            self._add([w for w, _, _ in marked], self.count[slots].reshape(-1, 2).sum(axis=1), self._ids(slots))
+
+    def _ids(self, slots: np.ndarray) -> np.ndarray:
         count = self.count[slots]
         ends = np.cumsum(count)
-        ids = self.flat[np.repeat(self.start[slots] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
-        last = np.cumsum(sizes) - 1
-        return np.diff(ends[last], prepend=0), ids
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[slots] - ends + count, count) + np.arange(total)]
 
-    def words(self, text) -> list[bytes]:
-        data = (text or "").encode("utf-8", "replace")
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids per text, all ids), the end id after every text."""
+        texts = pc.fill_null(texts, "")
         # The tokenizer lowers case itself; a marker such as <|...|> is looked for before that.
-        words = (data if b"<|" in data else data.lower()).split()
-        words.append(self.END)
-        return words
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words = lists.flatten().dictionary_encode()
+        if len(self.slot) > CACHE_WORDS:
+            self.forget()
+        names = words.dictionary.to_pylist()
+        self.learn(names)
+        of_name = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        last = np.cumsum(sizes + 1) - 1
+        slots = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
+        inside = np.ones(len(slots), bool)
+        inside[last] = False
+        slots[inside] = of_name[words.indices.to_numpy(zero_copy_only=False)]
+        ends = np.cumsum(self.count[slots])[last] if len(last) else np.empty(0, np.int64)
+        return np.diff(ends, prepend=0), self._ids(slots)
 
 
 _WORKER: dict[tuple, WordIds] = {}
@@ -194,19 +229,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
         keys, counts, held, size = [], [], [], 0
 
         def rows():
-            return pd.DataFrame({"part": [part], "block": [block], "doc_ids": [keys], "n_ids": [size],
-                                 "payload": [pack_block(np.array(counts), np.concatenate(held), bits)]})
+            payload = pack_block(np.array(counts), np.concatenate(held), bits)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
+                 pa.array([size], pa.int64()), pa.array([payload], pa.binary())],
+                names=["part", "block", "doc_ids", "n_ids", "payload"])
 
         for b in batches:
-            ids, texts = [None if pd.isna(i) else int(i) for i in b["doc_id"]], b["text"].tolist()
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text")
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
             at = 0
             while at < len(texts):
-                # About AT_ONCE words, six bytes each, or one text.
-                to, chars = at, 0
-                while to < len(texts) and (to == at or chars < 6 * AT_ONCE):
-                    chars += len(texts[to] or "")
-                    to += 1
-                lens, got = tokens.encode(texts[at:to])
+                # About AT_ONCE bytes, or one text.
+                done = sizes[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(sizes, done + AT_ONCE)))
+                lens, got = tokens.encode(texts.slice(at, to - at))
                 begin = 0
                 for key, n in zip(ids[at:to], lens.tolist()):
                     keys.append(key)
@@ -222,7 +259,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows.mapInPandas(run, _SCHEMA).write.mode("errorifexists").parquet(path)
+    rows.mapInArrow(run, _SCHEMA).write.mode("errorifexists").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

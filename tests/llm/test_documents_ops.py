@@ -1,0 +1,492 @@
+import hashlib
+import os
+import re
+import struct
+import sys
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+sys.path.insert(0, os.path.dirname(__file__))
+from llm_fixture import TOKEN, documents, empty, labels  # noqa: E402
+
+from covera.llm import (kn_quality, mixing, order_minhash, secret_forest, sharding, simhash, token_packing,  # noqa: E402
+                        unigram_pieces)
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# --- sharding --------------------------------------------------------------
+
+def test_sharding_law_and_strata(spark):
+    rows = sharding.interleave(documents(spark), shards=4).collect()
+    texts = [r["text"] for r in documents(spark).collect()]
+    assert sorted(r["size"] for r in rows) == sorted(len((t or "").encode()) + 8 for t in texts)
+    assert sorted(r["text_crc32"] for r in rows) == sorted(zlib.crc32((t or "").encode()) for t in texts)
+    per = {}
+    for r in rows:
+        per.setdefault(r["shard"], []).append(r)
+    assert set(per) == {0, 1, 2, 3}
+    assert max(map(len, per.values())) - min(map(len, per.values())) <= 1
+    for shard in per.values():
+        assert sorted(r["slot"] for r in shard) == list(range(len(shard)))
+    for source in ("a", "b", "c", None):
+        counts = [sum(r["source"] == source for r in s) for s in per.values()]
+        assert max(counts) - min(counts) <= 2
+    assert all(r["law"] == "rows" and r["grown_shard"] is None for r in rows)
+    again = sharding.interleave(documents(spark), shards=4).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+
+
+def test_sharding_more_shards_than_rows_and_empty(spark):
+    two = documents(spark, [(1, "a", "en", "s"), (1, "a", "en", "s")])
+    rows = sharding.interleave(two, shards=24).collect()
+    assert len(rows) == 2 and all(r["slot"] == 0 for r in rows)
+    assert sharding.interleave(empty(spark)).count() == 0
+
+
+# --- mixing ----------------------------------------------------------------
+
+def expected_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
+    """By the rule: share, stop at the cap, share the excess again."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, open_, out = share * sum(sizes.values()), set(names), {}
+    while open_:
+        total = sum(w[s] for s in open_)
+        over = [s for s in open_ if left * w[s] / total >= most * sizes[s]]
+        if not over:
+            return out | {s: left * w[s] / total for s in open_}
+        for s in over:
+            out[s] = most * sizes[s]
+        left -= sum(out[s] for s in over)
+        open_ -= set(over)
+    return out
+
+
+def test_mixing_targets_and_bounds(spark):
+    rows = mixing.copies(documents(spark)).collect()
+    texts = [(r["text"], r["source"]) for r in documents(spark).collect()]
+    sizes = {}
+    for t, s in texts:
+        sizes[s] = sizes.get(s, 0) + len(WORDS.findall(t or ""))
+    want = expected_targets(sizes)
+    for r in rows:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(want[r["source"]])
+        assert 0 <= r["copies"] <= 2
+    again = mixing.copies(documents(spark)).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+
+
+def test_mixing_comes_near_the_targets(spark):
+    rng = np.random.default_rng(1)
+    docs = documents(spark, [(i, "w " * int(rng.integers(1, 60)), "en", f"s{i % 3}") for i in range(1500)])
+    per = mixing.mix(docs).groupBy("source_size", "target").sum("taken").collect()
+    for r in per:
+        # Off by less than the one document that the tree leaves over.
+        assert abs(r["sum(taken)"] - r["target"]) < 60
+
+
+def test_mixing_rounding_keeps_expectations(spark):
+    docs = documents(spark, [(i, "w " * (1 + i % 7), "en", "s" if i % 4 else "t") for i in range(80)])
+    total = {}
+    for seed in range(6):
+        for r in mixing.mix(docs, seed=seed).collect():
+            total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["taken"] / r["size"]
+    share = [v / 6 for v in total.values()]
+    assert 1.2 < sum(share) / len(share) < 1.8
+
+
+def test_mix_rows_repeats_whole_rows(spark):
+    docs = documents(spark)
+    out = mixing.mix_rows(docs)
+    assert out.columns == docs.columns
+    given, taken = {}, {}
+    for r in docs.collect():
+        given[tuple(r)] = given.get(tuple(r), 0) + 1
+    for r in out.collect():
+        taken[tuple(r)] = taken.get(tuple(r), 0) + 1
+    assert set(taken) <= set(given) and all(n <= 2 * given[k] for k, n in taken.items())
+    assert mixing.mix_rows(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+
+
+# --- SimHash ---------------------------------------------------------------
+
+def plain_simhash(text, k=3):
+    words = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return 0
+    runs = [" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))]
+    hs = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def plain_groups(points, reach=3):
+    label = list(range(len(points)))
+    for _ in points:
+        for i, a in enumerate(points):
+            for j, b in enumerate(points):
+                if bin(a ^ b).count("1") <= reach:
+                    label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_simhash_fingerprints_and_groups(spark):
+    docs = documents(spark)
+    rows = simhash.near_duplicates(docs, leaf=2).collect()
+    given = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    prints = [plain_simhash(t) for _, t in given]
+    assert sorted((str(i), f"{p:016x}") for (i, _), p in zip(given, prints)) == \
+        sorted((str(r["doc_id"]), r["fingerprint"]) for r in rows)
+    label = plain_groups(prints)
+    least = {}
+    for (i, _), l in zip(given, label):
+        least[l] = min(x for x in (least.get(l), i) if x is not None) if (least.get(l), i) != (None, None) else None
+    want = sorted((str(i), str(least[l])) for (i, _), l in zip(given, label))
+    assert want == sorted((str(r["doc_id"]), str(r["component_id"])) for r in rows)
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_vantage_point_links_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    near = [int(s) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 5)), replace=False))
+            for s in seeds for _ in range(6)]
+    # A dense group: many points around one, and a chain of steps of three bits.
+    dense = [0xABCDEF ^ (1 << i) ^ (1 << j) for i in range(0, 24) for j in range(24, 40)]
+    chain = [(1 << (3 * i)) - 1 for i in range(21)]
+    points = sorted({*near, *dense, *chain})
+    signed = np.array(points, np.uint64).view(np.int64).tolist()
+    frame = spark.createDataFrame([(p,) for p in signed], "_fp long")
+    got = {r["_fp"]: r["root"] for r in simhash.group_of(frame, leaf=16).collect()}
+    f = np.array(points, np.uint64)
+    i, j = np.nonzero(np.bitwise_count(f[:, None] ^ f[None, :]) <= 3)
+    want = simhash.components(len(f), i, j)
+    pairs = {}
+    for p, l in zip(signed, want.tolist()):
+        pairs.setdefault(l, set()).add(got[p])
+    assert all(len(v) == 1 for v in pairs.values()) and len({next(iter(v)) for v in pairs.values()}) == len(pairs)
+
+
+def test_keep_one_keeps_one_row_of_each_group(spark):
+    docs = documents(spark)
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    label = plain_groups([plain_simhash(r["text"]) for r in docs.collect()])
+    # A group is named by its least id; two groups share the repeated id 12.
+    groups = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(rows) == len(set(label)) and {r["doc_id"] for r in rows} == groups
+    assert simhash.keep_one(empty(spark)).count() == 0
+
+
+# --- Kneser-Ney ------------------------------------------------------------
+
+def plain_model(texts):
+    """Interpolated modified Kneser-Ney by the textbook, on symbols."""
+    counts = {}
+    for t in texts:
+        for c in kn_quality.trigrams(t).tolist():
+            counts[c] = counts.get(c, 0) + 1
+    second, first = {}, {}
+    for g in counts:
+        second[g & 0x3FFF] = second.get(g & 0x3FFF, 0) + 1
+    for g in second:
+        first[g & 127] = first.get(g & 127, 0) + 1
+
+    def order(c, lower):
+        d = kn_quality.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])
+        total, back = {}, {}
+        for g, v in c.items():
+            total[g >> 7] = total.get(g >> 7, 0) + v
+            back[g >> 7] = back.get(g >> 7, 0) + min(v, d[min(v, 3) - 1])
+
+        def p(context, w):
+            if context not in total:
+                return lower(context & 127, w)
+            v = c.get(context << 7 | w, 0)
+            return (v - min(v, d[min(v, 3) - 1]) if v else 0) / total[context] + \
+                back[context] / total[context] * lower(context & 127, w)
+        return p
+
+    one = order(first, lambda c, w: 1 / 128)
+    two = order(second, lambda c, w: one(0, w))
+    return order(counts, two)
+
+
+def test_kneser_ney_equals_the_textbook(spark):
+    texts = ["the cat sat on the mat", "a cat is a cat", "Äpfel\tund Öl", "the end"]
+    rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
+    got = kn_quality.model_table(kn_quality.gram_counts(documents(spark, rows)))
+    p = plain_model(texts)
+    rng = np.random.default_rng(2)
+    codes = [*kn_quality.trigrams("the mat zz").tolist(), *rng.integers(0, kn_quality.GRAMS, 300).tolist()]
+    for c in codes:
+        assert got[c] == pytest.approx(-np.log2(p(c >> 7, c & 127)), abs=1e-3)
+    # The distribution after a seen context sums to one.
+    context = kn_quality.trigrams("the")[-1] >> 7
+    assert sum(2.0 ** -got[context << 7 | w] for w in range(128)) == pytest.approx(1, abs=1e-4)
+
+
+def test_classifier_rejects_junk_and_keeps_clean(spark):
+    rng = np.random.default_rng(3)
+    syllables = ["the", "an", "er", "in", "ou", "sh", "tion", "ly", "of", "re"]
+    clean = lambda: " ".join("".join(rng.choice(syllables, int(rng.integers(1, 4)))) for _ in range(60))
+    rows = [(i, clean(), "en", "s") for i in range(120)]
+    rows += [(200 + i, " ".join(f"{w.upper()}%%%" for w in clean().split()), "en", "s") for i in range(20)]
+    rows += [(300, None, "en", "s"), (301, "", None, "s"), (302, "x", "xx", "s"), (None, clean(), "en", "s")]
+    docs, marks = documents(spark, rows), labels(spark, [(i, 1, 0) for i in range(60)] + [(i, 0, 0) for i in range(200, 205)]
+                                                 + [(1, 1, 0), (None, 1, 0), (70, None, 0)])
+    out = {r["doc_id"]: r for r in kn_quality.classify(docs, marks).collect()}
+    assert len(out) == len(rows)
+    assert not any(out[i]["keep"] for i in range(200, 220))
+    assert sum(out[i]["keep"] for i in range(120)) >= 115
+    assert out[300]["keep"] and out[301]["keep"] and out[300]["perplexity"] is None and out[300]["n_symbols"] == 0
+    kept = kn_quality.keep_good(docs, marks)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, r in out.items() if r["keep"])
+    # Nothing trusted: all are kept.  No rows: none.
+    assert kn_quality.classify(docs, labels(spark, [])).where("keep").count() == len(rows)
+    assert kn_quality.classify(empty(spark), marks).count() == 0 and kn_quality.keep_good(empty(spark), marks).count() == 0
+
+
+# --- secret scans ----------------------------------------------------------
+
+def secret_rows(n):
+    rng = np.random.default_rng(9)
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    words = ["apple", "house", "river", "stone", "cloud"]
+    rows = []
+    for i in range(n):
+        w = " ".join(rng.choice(words, 12))
+        kind = i % 6
+        body = [f'api_key = "{digest(i)}"', f"commit {digest(i)} by", f"see /usr/lib/apple-stone-{i}-house/river{i}.txt",
+                f"mail {i}.river.stone@cloud{i}.example.com", f"number {4000000000000000 + i * 7919}",
+                f"password: 'Zx{digest(i)[:20].upper()}q{i}'"][kind]
+        rows.append((i, f"{w} {body} {w}", "en", "s"))
+    return rows
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = secret_rows(360)
+    train = documents(spark, rows[:240])
+    labelled = secret_forest.rule_findings(secret_forest.scan(train, ["doc_id"]))
+    found = secret_forest.secrets(documents(spark, rows[240:]), labelled).collect()
+    features_of = {r["doc_id"] for r in found if r["is_secret"]}
+    want = {i for i, *_ in rows[240:] if i % 6 in (0, 5)}
+    # The forest sees other documents than it was trained on, by the same words.
+    assert len(want & features_of) >= 0.9 * len(want) and len(features_of - want) <= 0.1 * len(rows[240:])
+
+
+def test_secret_spans_and_redaction(spark):
+    rows = secret_rows(60) + [(100, None, "en", "s"), (101, "", None, None), (None, "nothing here", "en", "s"),
+                              (102, "a" * 50_000, "en", "s"), (0, secret_rows(1)[0][1], "en", "s")]
+    docs = documents(spark, rows)
+    text = {i: t for i, t, *_ in rows}
+    for r in secret_forest.secrets(docs).collect():
+        value = text[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        assert hashlib.sha256(value.encode()).hexdigest() == r["value_sha256"]
+    out = secret_forest.redact(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    for r in out.collect():
+        was = text[r["doc_id"]] if r["doc_id"] is not None else "nothing here"
+        if r["doc_id"] is not None and r["doc_id"] < 60 and r["doc_id"] % 6 in (0, 5):
+            assert "[SECRET]" in r["text"] and r["n_chars"] == len(r["text"])
+        elif r["doc_id"] in (100, 101, 102, None):
+            assert r["text"] == was
+    plain = documents(spark, [(1, "no candidates at all", "en", "s")])
+    assert secret_forest.secrets(plain).count() == 0 and secret_forest.redact(plain).count() == 1
+    assert secret_forest.secrets(empty(spark)).count() == 0 and secret_forest.redact(empty(spark)).count() == 0
+
+
+def test_one_kind_of_label_reports_no_secret(spark):
+    docs = documents(spark, [(1, "see 4785380592391139 there", "en", "s"), (2, f"at {TOKEN}", "en", "s")])
+    rows = secret_forest.secrets(docs).collect()
+    assert len(rows) == 2 and all(r["probability"] is None and not r["is_secret"] for r in rows)
+
+
+# --- Order MinHash ---------------------------------------------------------
+
+def test_order_minhash_contract(spark):
+    docs = documents(spark)
+    rows = order_minhash.edited_fingerprints(docs).collect()
+    given = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    assert len(rows) == len(given)
+    by_text = {}
+    for r in rows:
+        for i, t in given:
+            if i == r["doc_id"] and sum(j == i for j, _ in given) == 1:
+                assert r["n_chars"] == len(t)
+                by_text.setdefault(t, set()).add(r["fingerprint"])
+    assert all(len(v) == 1 for v in by_text.values())
+    # 14 is the largest id, 13 comes next; the null id is last and is followed by the first.
+    text = dict(given)
+    edited = {r["doc_id"]: r["edited_sha256"] for r in rows}
+    join = lambda a, b: hashlib.sha256((a[:len(a) - len(a) // 2] + b[:len(a) // 2]).encode()).hexdigest()
+    assert edited[14] == join(text[14], text[13])
+    assert edited[2] == join(text[2], text[1])
+    assert edited[1] == join(text[1], text[None])
+    assert edited[None] == join(text[None], text[14])
+    near = {r["doc_id"]: r["near_next"] for r in rows}
+    assert near[2] == 1.0 and near[5] == 1.0 and all(0 <= r["near_edited"] <= 1 for r in rows)
+    assert order_minhash.edited_fingerprints(empty(spark)).count() == 0
+    one = order_minhash.edited_fingerprints(documents(spark, [(1, "a b c d", "en", "s")])).collect()
+    assert one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == join("a b c d", "a b c d")
+
+
+def plain_signature(spark, text):
+    """The picks of the operator, by hand, with Spark's own hash values."""
+    words = WORDS.findall(text)
+    k, seen, items = order_minhash.K, {}, []
+    for i in range(len(words) - k + 1):
+        run = tuple(words[i:i + k])
+        seen[run] = seen.get(run, 0) + 1
+        items.append((run, seen[run]))
+    return items
+
+
+def test_order_minhash_is_sensitive_to_order(spark):
+    a = " ".join(f"w{i}" for i in range(200))
+    parts = [" ".join(f"w{i}" for i in range(s, s + 20)) for s in range(0, 200, 20)]
+    moved = " ".join(reversed(parts))  # nearly the same set of k-mers in another order
+    edit = a.replace("w50 ", "x ").replace("w150 ", "y ")
+    docs = spark.createDataFrame([(1, a, moved, edit, a)], "id long, a string, b string, c string, d string")
+    sig = {r["side"]: r["sig"] for r in order_minhash.signatures(docs, ["id"], ["a", "b", "c", "d"], slots=64).collect()}
+    same = lambda x, y: sum(p == q for p, q in zip(sig[x], sig[y])) / 64
+    assert same(0, 3) == 1.0
+    assert same(0, 2) > 0.8           # two words replaced
+    assert same(0, 1) < 0.75 < same(0, 2)
+
+
+def test_repeated_kmers_are_numbered(spark):
+    docs = spark.createDataFrame([(1, "a b " * 40, "a b " * 4)], "id long, a string, b string")
+    sig = {r["side"]: r["sig"] for r in order_minhash.signatures(docs, ["id"], ["a", "b"]).collect()}
+    # The same two k-mers, but ten times as many numbered ones.
+    assert sig[0] != sig[1]
+    assert len(set(plain_signature(spark, "a b " * 4))) == 7
+
+
+# --- token packing ---------------------------------------------------------
+
+@pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
+def test_bit_packing_round_trip_and_random_access(bits):
+    rng = np.random.default_rng(bits)
+    ids = rng.integers(0, 1 << bits, 1001, dtype=np.uint64).astype(np.uint32)
+    counts = np.array([0, 1, 500, 0, 500])
+    block = token_packing.pack_block(counts, ids, bits)
+    got, offsets, data = token_packing.block_offsets(block)
+    assert got == bits and offsets.tolist() == [0, 0, 1, 501, 501, 1001]
+    assert len(data) == -(-1001 * bits // 8)
+    assert (token_packing.unpack_bits(data, bits, 0, 1001) == ids).all()
+    for j in range(5):
+        assert (token_packing.document_ids(block, j) == ids[offsets[j]:offsets[j + 1]]).all()
+
+
+def test_token_files_equal_the_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = documents(spark, [(r["doc_id"], r["text"], "en", "s") for r in documents(spark).collect()]
+                     + [(50, "<|endoftext|> <|EndOfText|> don't I'LL 's. Σίσυφος ΣΑΣ word,. a.b, x\u00a0y\u2028z \u0301e", "x", "y")])
+    rows = token_packing.round_trip(docs, path).collect()
+    tok = Tokenizer.from_file(path)
+    given = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {}
+    for i, t in given:
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        want.setdefault(i, []).append((len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+    got = {}
+    for r in rows:
+        got.setdefault(r["doc_id"], []).append((r["n_tokens"], r["ids_crc32"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    at = 0
+    for r in sorted(rows, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: r["start"])]
+    assert order == [i for i, _ in given]
+    assert token_packing.round_trip(empty(spark), path).count() == 0
+
+
+# --- unigram pieces --------------------------------------------------------
+
+def toy():
+    pieces = [b"<unk>", b" ", b" a", b"a", b"b", b"ab", b" ab", b"bc", b"c", "é".encode(), b"abc"] + [b"%c" % b for b in range(256)]
+    scores = [0.0, -3.0, -2.5, -2.0, -2.2, -3.1, -4.2, -3.0, -2.6, -4.0, -6.0] + [0.0] * 256
+    return unigram_pieces.build_pieces(pieces, scores, list(range(1, 11)), np.arange(11, 267), 0)
+
+
+def brute_best(model, text):
+    """Best total score over all segmentations."""
+    from functools import lru_cache
+    table = {model.bytes_of[i]: model.score[i] for i in range(1, 11)}
+
+    @lru_cache(None)
+    def best(at):
+        if at == len(text):
+            return 0.0
+        out = -1e18
+        for end in range(at + 1, len(text) + 1):
+            raw = text[at:end].encode()
+            if raw in table:
+                out = max(out, table[raw] + best(end))
+            elif end == at + 1:
+                out = max(out, model.unknown_score + best(end))
+        return out
+    return best(0)
+
+
+def test_viterbi_equals_brute_force():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    model = toy()
+    encoder = unigram_pieces.Encoder(model)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet="abcé z▁\n😀", max_size=14))
+    def check(text):
+        _, ids = encoder.encode([text])
+        assert unigram_pieces.decode(model, ids) == text
+        score, i = 0.0, 0
+        while i < len(ids):
+            if ids[i] < 11:
+                score, i = score + model.score[ids[i]], i + 1
+            else:  # one unknown character: its bytes
+                lead = ids[i] - 11
+                i += 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+                score += model.unknown_score
+        want = sum(brute_best(model, c) for c in (unigram_pieces.Encoder.CHUNK.findall(" " + text) if text else []))
+        assert score == pytest.approx(want)
+        if text:
+            assert [i for c in unigram_pieces.Encoder.CHUNK.findall(" " + text)
+                    for i in unigram_pieces.solve_long(model, c.encode())] == ids.tolist()
+
+    check()
+
+
+def test_pieces_equal_the_library_in_unigram_mode():
+    import public_tokenizers
+    pb2 = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
+    from sentencepiece import SentencePieceProcessor
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    proto = pb2.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = 1
+    for p in proto.pieces:
+        p.score = max(p.score, -40_000)
+    library = SentencePieceProcessor(model_proto=proto.SerializeToString())
+    encoder = unigram_pieces.Encoder(unigram_pieces.read_pieces(path))
+    for text in ("The quick brown fox, jumps over it.\nNew line", "Schöne Grüße aus München", "a b c", "tokens = [1, 2, 3]"):
+        assert encoder.encode([text])[1].tolist() == library.encode(text, num_threads=1)
+
+
+def test_encode_documents_cases(spark):
+    docs = documents(spark)
+    rows = unigram_pieces.encode_documents(docs, toy()).collect()
+    assert len(rows) == docs.count() and all(r["exact"] for r in rows)
+    assert [r["n_ids"] for r in rows if r["doc_id"] in (4, 5)] == [0, 0]
+    assert unigram_pieces.encode_documents(empty(spark), toy()).count() == 0
