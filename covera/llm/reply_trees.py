@@ -90,25 +90,27 @@ def best_paths(messages: DataFrame, top: int | None = 1) -> DataFrame:
         "tree", "node", F.col("_n").alias("above"), F.lit(1).cast("long").alias("hops"), F.col("score").alias("sum")))
     leaves = up.select("tree", "node").join(
         up.where("above IS NOT NULL").select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    rounds, total = [up], up.count()
+    # A round joins only messages whose root is not known yet; ``steps[k]`` leads 2 ** k messages up.
+    done, open_, steps, total = up.where("above IS NULL"), up.where("above IS NOT NULL"), [], up.count()
     for _ in range(max(1, total).bit_length()):
-        if rounds[-1].where("above IS NOT NULL").isEmpty():
+        if open_.isEmpty():
             break
-        b = rounds[-1].select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("above").alias("_a"),
-                              F.col("hops").alias("_h"), F.col("sum").alias("_s"))
-        on = (F.col("tree") == F.col("_t")) & (F.col("above") == F.col("_n"))
-        rounds.append(cut_lineage(rounds[-1].join(b, on, "left").select(
-            "tree", "node", F.col("_a").alias("above"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops"),
-            (F.col("sum") + F.coalesce("_s", F.lit(0.0))).alias("sum"))))
-    ends = rounds[-1].where("above IS NULL").join(leaves, ["tree", "node"], "left_semi")
+        steps.append(open_)
+        b = done.unionByName(open_).select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("above").alias("_a"),
+                                           F.col("hops").alias("_h"), F.col("sum").alias("_s"))
+        met = cut_lineage(open_.join(b, (F.col("tree") == F.col("_t")) & (F.col("above") == F.col("_n"))).select(
+            "tree", "node", F.col("_a").alias("above"), (F.col("hops") + F.col("_h")).alias("hops"),
+            (F.col("sum") + F.col("_s")).alias("sum")))
+        done, open_ = done.unionByName(met.where("above IS NULL")), met.where("above IS NOT NULL")
+    ends = done.join(leaves, ["tree", "node"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("sum"), "node"))
     ends = ends.withColumn("branch", rank)
     if top is not None:
         ends = ends.where(F.col("branch") <= top)
     paths = cut_lineage(ends.select("tree", F.col("node").alias("leaf"), "branch", "node",
                                     (F.col("hops") - 1).alias("depth")))
-    for k, step in enumerate(rounds[:-1]):
-        b = step.where("above IS NOT NULL").select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "above")
+    for k, step in enumerate(steps):
+        b = step.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), "above")
         higher = paths.join(b, (F.col("tree") == F.col("_t")) & (F.col("node") == F.col("_n"))).select(
             "tree", "leaf", "branch", F.col("above").alias("node"), (F.col("depth") - (1 << k)).alias("depth"))
         paths = cut_lineage(paths.unionByName(higher))

@@ -154,8 +154,12 @@ def judge(features: DataFrame, model: RandomForestClassificationModel | None) ->
 def judged_findings(docs: DataFrame, key: list[str], labelled: DataFrame | None = None) -> DataFrame:
     """All findings of ``docs`` (key, nth, candidate, left, right, skipped) with probability and is_secret."""
     findings = cut_lineage(scan(docs, key))
-    features = cut_lineage(describe(findings, frequent_words(docs)))
-    model = train(rule_findings(findings) if labelled is None else labelled, features)
+    words = frequent_words(docs)
+    features = cut_lineage(describe(findings, words))
+    if labelled is None:
+        model = train(rule_findings(findings), features)
+    else:
+        model = train(labelled, cut_lineage(describe(labelled, words)))
     verdicts = cut_lineage(judge(features, model))
     return findings.join(verdicts, ["candidate", "left", "right"])
 
