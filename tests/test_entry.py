@@ -14,7 +14,8 @@ def test_entry_runs(spark):
 def test_registry_consistent():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert not any(k.startswith("op") or "pipeline" in k for k in q)
+    # The llm queries come and go with their subpackage; the library's own are always there.
+    assert {"a1_policies", "k1_base_clean_train", "m8_backtest"} <= set(q)
 
 
 def test_oracle_matches_on_a_few_queries(spark):

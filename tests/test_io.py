@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+import pytest
+
 from covera.sources import policy_io
 
 
@@ -19,7 +21,47 @@ def test_csv_by_name_append_and_route(spark):
     store = os.path.join(d, "store")
     policy_io.append_labelled(df, store)
     policy_io.append_labelled(df, store)
-    assert spark.read.parquet(store).count() == 4
+    policy_io.append_labelled(df, store, batch="x")
+    policy_io.append_labelled(df, store, batch="x")  # a replay
+    assert policy_io.read_store(spark, store).count() == 6
     assert policy_io.route(df.drop("PREMIUM")) == "predict"
     out = policy_io.write_predictions(df.drop("PREMIUM"), path)
     assert out.endswith("batch_predicted.csv") and spark.read.option("header", True).csv(out).count() == 2
+
+
+NAMES = ["OBJECT_ID", "SEX", "INSR_BEGIN", "INSR_END", "INSR_TYPE", "INSURED_VALUE", "PREMIUM", "PROD_YEAR", "SEATS_NUM",
+         "CCM_TON", "TYPE_VEHICLE", "MAKE", "USAGE"]
+
+
+def write_csv(path, names, rows):
+    with open(path, "w") as f:
+        f.write(",".join(names) + "\n")
+        for r in rows:
+            f.write(",".join(str(r.get(n, "")) for n in names) + "\n")
+
+
+def policy(i, **kw):
+    return dict(OBJECT_ID=i, SEX=1, INSR_BEGIN="01-JAN-12", INSR_END="01-JAN-13", INSR_TYPE=1202, INSURED_VALUE=0,
+                PREMIUM=10.5 * i, PROD_YEAR=2001, SEATS_NUM=4, CCM_TON=1500, TYPE_VEHICLE="Truck", MAKE="vw",
+                USAGE="Private") | kw
+
+
+def test_files_of_different_column_order(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", NAMES, [policy(1), policy(2)])
+    write_csv(tmp_path / "b.csv", ["EFFECTIVE_YR", *reversed(NAMES), "CLAIM_PAID"],
+              [policy(3, EFFECTIVE_YR=11, CLAIM_PAID=7), policy(4, CCM_TON="junk", MAKE="")])
+    rows = {r["OBJECT_ID"]: r for r in policy_io.read_policies_csv(spark, str(tmp_path)).collect()}
+    assert set(rows) == {1, 2, 3, 4}
+    assert [rows[i]["PREMIUM"] for i in (1, 2, 3, 4)] == [10.5, 21.0, 31.5, 42.0]
+    assert rows[3]["EFFECTIVE_YR"] == "11" and rows[1]["EFFECTIVE_YR"] is None and rows[3]["CLAIM_PAID"] == "7"
+    assert rows[4]["CCM_TON"] is None and rows[4]["MAKE"] is None and rows[3]["TYPE_VEHICLE"] == "Truck"
+    assert len({r["_row_id"] for r in rows.values()}) == 4
+    failures = policy_io.cast_failures(policy_io.by_header(policy_io.raw_lines(spark, str(tmp_path))))
+    assert {r["col"]: r["value"] for r in failures.collect() if r["value"]} == {"CCM_TON": 1}
+
+
+def test_a_file_without_header_fails(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", NAMES, [policy(1)])
+    (tmp_path / "b.csv").write_text("1,2,3\n")
+    with pytest.raises(Exception, match="without header"):
+        policy_io.read_policies_csv(spark, str(tmp_path)).collect()
