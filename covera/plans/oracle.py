@@ -483,6 +483,46 @@ FROM tests t JOIN ks k USING (is_zero, col)""", _SEG_K1, _LONG)
 ORACLE["i2_dunn_z"] = _sql(f"SELECT is_zero, col, a, b, round(z, {R}) AS z FROM dunn", _SEG_K1, _LONG)
 ORACLE["i4_mann_whitney_u"] = _sql(f"""SELECT is_zero, col, a, b, n_a, n_b, round(U1, {R}) AS U1,
   round(2.0 * U1 / (n_a::DOUBLE * n_b) - 1.0, {R}) AS cliff_delta FROM mw""", _SEG_K1, _LONG)
+
+
+def _erfc(x: str) -> str:
+    """erfc by the series of erf; beyond 6 it is below every rounding here.  ``x`` may be negative."""
+    series = (f"list_sum(list_transform(range(0, 160), lambda i: CASE WHEN i % 2 = 0 THEN 1.0 ELSE -1.0 END * "
+              f"exp((2 * i + 1) * ln(greatest(abs({x}), 1e-300)) - lgamma(i + 1.0)) / (2 * i + 1)))")
+    return (f"CASE WHEN abs({x}) > 6 THEN (CASE WHEN {x} > 0 THEN 0.0 ELSE 2.0 END) "
+            f"ELSE 1.0 - sign({x}) * 2.0 / sqrt(pi()) * {series} END")
+
+
+_TWO = lambda z: f"least(1.0, {_erfc(f'(abs({z}) / sqrt(2.0))')})"
+_UPPER = lambda z: f"least(1.0, greatest(0.0, {_erfc(f'({z} / sqrt(2.0))')}))"
+#: Upper tail of a chi-square with k - 1 degrees of freedom: a Poisson sum, or erfc and a sum of half-integer terms.
+_CHI2 = f"""CASE WHEN H IS NULL OR k < 2 THEN NULL WHEN H <= 0 THEN 1.0
+  WHEN (k - 1) % 2 = 0 THEN exp(-H / 2) * list_sum(list_transform(range(0, (k - 1) // 2), lambda i: exp(i * ln(H / 2) - lgamma(i + 1.0))))
+  ELSE {_erfc("sqrt(H / 2)")} + exp(-H / 2) * coalesce(list_sum(list_transform(range(1, (k - 2) // 2 + 1),
+    lambda i: exp((i - 0.5) * ln(H / 2) - lgamma(i + 0.5)))), 0) END"""
+_MW_Z = """
+mw_ties AS (SELECT is_zero, col, a, b, sum(power(cnt::DOUBLE, 3) - cnt) AS ties FROM pair_ranks GROUP BY ALL),
+mwz AS (
+  SELECT m.*, (greatest(U1, n_a::DOUBLE * n_b - U1) - n_a::DOUBLE * n_b / 2.0 - 0.5)
+    / sqrt(n_a::DOUBLE * n_b / 12.0 * ((n_a + n_b + 1) - ties / ((n_a + n_b)::DOUBLE * (n_a + n_b - 1)))) AS z
+  FROM mw m JOIN mw_ties t USING (is_zero, col, a, b)),
+"""
+ORACLE["i1_kruskal_p"] = _sql(f"SELECT is_zero, col, k, N, round(H, {R}) AS H, round({_CHI2}, {R}) AS p FROM (" + f"""
+SELECT t.is_zero, t.col, k.k, t.N, CASE WHEN t.N > 1 AND 1 - t.ties / (power(t.N::DOUBLE, 3) - t.N) <> 0 THEN
+  (12.0 / (t.N::DOUBLE * (t.N + 1)) * k.s - 3 * (t.N + 1)) / (1 - t.ties / (power(t.N::DOUBLE, 3) - t.N)) END AS H
+FROM tests t JOIN ks k USING (is_zero, col)) h""", _SEG_K1, _LONG)
+_DUNN_P = f"""
+dunn_p AS (
+  SELECT d.*, {_TWO("z")} AS p, least(1.0, {_TWO("z")} * k.k * (k.k - 1) / 2.0) AS p_adj FROM dunn d JOIN ks k USING (is_zero, col)),
+"""
+ORACLE["i2_dunn_p"] = _sql(f"SELECT is_zero, col, a, b, round(z, {R}) AS z, round(p, {R}) AS p, round(p_adj, {R}) AS p_adj FROM dunn_p",
+                           _SEG_K1, _LONG, _DUNN_P)
+ORACLE["i4_mann_whitney_p"] = _sql(f"""SELECT is_zero, col, a, b, round(U1, {R}) AS U1, round(z, {R}) AS z, round({_UPPER("z")}, {R}) AS p,
+  round(2.0 * U1 / (n_a::DOUBLE * n_b) - 1.0, {R}) AS cliff_delta FROM mwz""", _SEG_K1, _LONG, _MW_Z)
+ORACLE["i6_similar_categories"] = _sql(f"""SELECT is_zero, col, CAST(row_number() OVER (PARTITION BY is_zero, col
+    ORDER BY try_cast(CASE WHEN col = 'SEX' THEN a END AS DOUBLE), a, try_cast(CASE WHEN col = 'SEX' THEN b END AS DOUBLE), b) - 1 AS INTEGER) AS seq,
+  a AS old, b AS new FROM dunn_p JOIN mwz m USING (is_zero, col, a, b) WHERE p_adj > 0.9 AND {_UPPER("m.z")} > 0.5""",
+                                       _SEG_K1, _LONG, _DUNN_P, _MW_Z)
 ORACLE["j1_transactions"] = _sql(f"""SELECT is_zero, {", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _ITEMS)}, count(*) AS cnt
   FROM segk GROUP BY ALL""", _SEG_K1)
 _MINED = _itemsets(0.01)
