@@ -70,4 +70,31 @@ QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_order_minhash, op3_sharding, op4_sentencepiece, op5_mixing, op6_token_packing,
     op7_exact_topk, op8_simhash_dedup, op9_quality_classifier, op10_chat_format)}
 
-ORACLE: dict[str, str] = {}
+#: The other operators need hashes, tokenizers, drawn numbers or models that SQL does not have;
+#: tests/llm holds them against brute force.
+ORACLE: dict[str, str] = {
+    "op7_exact_topk": """
+WITH vectors AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20""",
+    "op10_chat_format": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sizes AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|<\||</?s>|<unk>|<pad>|<</?SYS>>|\[/?INST\]')) AS body,
+    length(role) + len(regexp_extract_all(role, '\\|\n|<\||</?s>|<unk>|<pad>|<</?SYS>>|\[/?INST\]')) AS head
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(head + body + 24) AS BIGINT) AS formatted_chars
+FROM sizes GROUP BY conv_id""",
+}
