@@ -46,9 +46,9 @@ from covera.session import ensure_checkpoint_dir
 MAGIC = b"TPK1"
 BLOCK = 65_536
 #: Words that a worker remembers; beyond it, it forgets all and starts again.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 800_000
 #: Bytes of text turned into ids at once.
-AT_ONCE = 16_000_000
+AT_ONCE = 8_000_000
 _SCHEMA = "part int, block long, doc_ids array<bigint>, n_ids long, payload binary"
 
 
@@ -165,13 +165,16 @@ class WordIds:
                 rest[w] = None
         names = list(letters)
         parts = [names[i:i + self.JOIN] for i in range(0, len(names), self.JOIN)]
+        told = []
         for part, ids in zip(parts, self._ask([" ".join(p) for p in parts])):
-            ids = np.array(ids, np.int64)
+            ids = np.array(ids, np.uint32)
             ends = np.nonzero(self.is_end[ids])[0] + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                self._add(part, np.diff(ends, prepend=0), ids)
+                told.append((part, np.diff(ends, prepend=0), ids))
             else:  # lower case made marks of some letter
                 self._add_asked(part)
+        if told:
+            self._add([w for part, _, _ in told for w in part], *(np.concatenate([t[k] for t in told]) for k in (1, 2)))
         self._add_asked(list(rest))
         if marked:
             slots = np.array([(known[stem], known[mark]) for _, stem, mark in marked]).ravel()
