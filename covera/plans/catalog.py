@@ -672,7 +672,7 @@ QUERIES = {
 # --- M: models (rows-only checks) ----------------------------------------------------------------
 # The registered model queries search a small grid of two points per model, so that they end
 # within a check; the estimators' defaults are the full grids in covera.plans.models.
-CHECK_GRID = {"maxIter": [5, 10], "maxDepth": [4], "stepSize": [0.1], "subsamplingRate": [0.8]}
+CHECK_GRID = {"maxIter": [10, 20], "maxDepth": [4], "stepSize": [0.1], "subsamplingRate": [0.8]}
 CHECK_NEURAL_GRID = {"learningRate": [0.01, 0.001], "maxIter": [15], "hidden": [[50, 100, 50]], "alpha": [0.01]}
 # One fitted model per session and input: the model queries share it.
 _FITTED: dict = {}
