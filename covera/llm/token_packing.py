@@ -184,7 +184,10 @@ class WordIds:
         count = self.count[slots]
         ends = np.cumsum(count)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(self.start[slots] - ends + count, count) + np.arange(total)]
+        small = np.int32 if max(total, len(self.flat)) < 1 << 31 else np.int64
+        at = np.repeat((self.start[slots] - ends + count).astype(small), count)
+        at += np.arange(total, dtype=small)
+        return self.flat[at]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids per text, all ids), the end id after every text."""
@@ -199,7 +202,7 @@ class WordIds:
         of_name = np.fromiter(map(self.slot.__getitem__, names), np.int64, len(names))
         sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         last = np.cumsum(sizes + 1) - 1
-        slots = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
+        slots = np.zeros(int(sizes.sum()) + len(sizes), np.int32)
         inside = np.ones(len(slots), bool)
         inside[last] = False
         slots[inside] = of_name[words.indices.to_numpy(zero_copy_only=False)]
