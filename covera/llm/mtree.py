@@ -189,14 +189,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, seed:
         low = np.maximum(far - reach[None, :], 0.0)
         return ((q * q).sum(1)[:, None] + (norm ** 2)[None, :] - low * low) / 2.0, far
 
-    def homes(batches):
+    def slices(batches):
+        # Few queries at once: each is measured against every shard.
         for b in batches:
+            for at in range(0, b.num_rows, 256):
+                yield b.slice(at, 256)
+
+    def homes(batches):
+        for b in slices(batches):
             _, far = promises(_matrix(b.column("v").to_pylist(), dim))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(far.argmin(1).astype(np.int64))],
                                              names=["query_id", "v", "mark", "shard"])
 
     def others(batches):
-        for b in batches:
+        for b in slices(batches):
             most, far = promises(_matrix(b.column("v").to_pylist(), dim))
             mark = b.column("mark").to_numpy(zero_copy_only=False)
             hit = most >= mark[:, None] - 0.5
