@@ -32,9 +32,9 @@ import re
 import struct
 import uuid
 import zlib
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -274,14 +274,21 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for part, block, keys, payload in zip(b["part"], b["block"], b["doc_ids"], b["payload"]):
-                bits, offsets, data = block_offsets(payload)
+            starts, counts, crcs, docs = [], [], [], []
+            for payload in b.column("payload"):
+                bits, offsets, data = block_offsets(payload.as_buffer())
                 ids = unpack_bits(data, bits, 0, int(offsets[-1]))
-                crcs = [zlib.crc32(ids[s:e]) for s, e in zip(offsets[:-1], offsets[1:])]
-                yield pd.DataFrame({"part": part, "block": block, "doc_id": pd.array(list(keys), "Int64"),
-                                    "start": offsets[:-1], "n_tokens": np.diff(offsets), "ids_crc32": crcs})
-
-    docs = blocks.mapInPandas(run, "part int, block long, doc_id long, start long, n_tokens long, ids_crc32 long")
+                crcs += [zlib.crc32(ids[s:e]) for s, e in pairwise(offsets.tolist())]
+                starts.append(offsets[:-1])
+                counts.append(np.diff(offsets))
+                docs.append(len(offsets) - 1)
+            part, block = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), docs) for c in ("part", "block"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()), pa.array(block, pa.int64()), b.column("doc_ids").flatten(),
+                 pa.array(np.concatenate(starts), pa.int64()), pa.array(np.concatenate(counts), pa.int64()),
+                 pa.array(crcs, pa.int64())], names=["part", "block", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    docs = blocks.mapInArrow(run, "part int, block long, doc_id long, start long, n_tokens long, ids_crc32 long")
     sizes = blocks.select("part", "block", "n_ids")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per written partition: the window runs over that many.
