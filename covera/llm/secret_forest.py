@@ -12,8 +12,8 @@ which bounds its broadcast.  Labelled findings are a table (candidate, left,
 right, label); :func:`rule_findings` makes one from the documents themselves
 where no reviewed findings exist: a value that a credential's name is
 assigned to is a secret; all other candidates are not.  Equal findings count
-once, and at most ``TRAIN`` of them (least hashes first) train the forest, all
-others are only judged.
+once, and at most ``TRAIN`` of each label (least hashes first) train the
+forest, with the same total weight for both labels; all others are only judged.
 
 Everything is DataFrame functions and MLlib on the JVM.
 
@@ -127,14 +127,25 @@ def rule_findings(findings: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame, features: DataFrame, most: int = TRAIN, trees: int = 20, depth: int = 6,
           seed: int = 13) -> RandomForestClassificationModel | None:
-    """The forest, from at most ``most`` labelled findings; None unless both labels occur among them."""
-    label = labelled.groupBy("candidate", "left", "right").agg(F.max("label").alias("label"))
-    rows = features.join(label, ["candidate", "left", "right"]).orderBy(F.xxhash64(F.lit(seed), "candidate", "left", "right"))
-    rows = cut_lineage(rows.limit(most).select("label", *FEATURES))
-    if rows.select("label").distinct().count() < 2:
+    """The forest, from at most ``most`` findings of each label; None unless both labels occur in ``labelled``.
+
+    Both labels weigh the same in total, so that few secrets among many other findings still count.
+    """
+    label = cut_lineage(labelled.groupBy("candidate", "left", "right").agg(F.max("label").alias("label")))
+    totals = {r["label"]: r["n"] for r in label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not {0.0, 1.0} <= set(totals):
         return None
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label")
-    return forest.fit(_vectors(rows).select("label", "features"))
+    taken = {k: min(totals[k], most) for k in (0.0, 1.0)}
+    order = F.xxhash64(F.lit(seed), "candidate", "left", "right")
+    # Bounded rows of each label, least hashes first.
+    first, second = (label.where(F.col("label") == k).withColumn("weight", F.lit(sum(taken.values()) / (2 * n)))
+                     .orderBy(order, "candidate", "left", "right").limit(most) for k, n in taken.items())
+    rows = features.join(first.unionByName(second), ["candidate", "left", "right"])
+    # The limit cuts nothing: it brings the bounded sample into one partition, in the same order in every run.
+    rows = cut_lineage(rows.orderBy(order, "candidate", "left", "right").limit(2 * most).select("label", "weight", *FEATURES))
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label",
+                                    weightCol="weight")
+    return forest.fit(_vectors(rows).select("label", "weight", "features"))
 
 
 def _vectors(rows: DataFrame) -> DataFrame:

@@ -308,6 +308,18 @@ def test_one_kind_of_label_reports_no_secret(spark):
     assert len(rows) == 2 and all(r["probability"] is None and not r["is_secret"] for r in rows)
 
 
+def test_few_secrets_among_many_findings_train_the_forest(spark):
+    rows = [r for r in secret_rows(1200) if r[0] % 6 not in (0, 5) or r[0] in (0, 600, 1194)]
+    docs = documents(spark, rows)
+    findings = secret_forest.scan(docs, ["doc_id"])
+    features = secret_forest.describe(findings, secret_forest.frequent_words(docs))
+    # Three secrets among 800 findings, and a sample of 40.
+    model = secret_forest.train(secret_forest.rule_findings(findings), features, most=40)
+    assert model is not None
+    judged = secret_forest.judge(features, model).join(findings, ["candidate", "left", "right"])
+    assert {r["doc_id"] for r in judged.where("is_secret").collect()} == {0, 600, 1194}
+
+
 # --- Order MinHash ---------------------------------------------------------
 
 def test_order_minhash_contract(spark):
