@@ -1,7 +1,9 @@
 """Secret scans with a random forest that removes false positives.
 
-Candidates are runs of at least ``LEAST`` key characters with a digit.  Each
-is described by its length, its character transitions (how often neighbouring
+Candidates are runs of at least ``LEAST`` key characters with a digit or of
+the form of an issued token, and, after the name of a credential that is
+assigned to, values of ``SHORT`` characters or more, digits or not.  In
+``name=value`` the name is context of the value.  Each is described by its length, its character transitions (how often neighbouring
 characters change between lower case, upper case, digits and other, and
 between vowel and consonant), its coverage by dictionary words, whether it
 stands in a path, address or host name, and the words next to it.  A random
@@ -10,9 +12,10 @@ forest trained on labelled findings gives the probability of a secret.
 The dictionary is the ``DICTIONARY`` most frequent words of all documents,
 which bounds its broadcast.  Labelled findings are a table (candidate, left,
 right, label); :func:`rule_findings` makes one from the documents themselves
-where no reviewed findings exist: a value that a credential's name is
-assigned to is a secret; all other candidates are not.  Equal findings count
-once, and at most ``TRAIN`` of each label (least hashes first) train the
+where no reviewed findings exist: a token of a known form and a value that a
+credential's name is assigned are secrets; numbers, ids, paths, addresses,
+host names and digests named as such are not; all others have no label, do not
+train the forest and are judged by it.  Equal findings count once, and at most ``TRAIN`` of each label (least hashes first) train the
 forest, with the same total weight for both labels; all others are only judged.
 
 Everything is DataFrame functions and MLlib on the JVM.
@@ -33,17 +36,41 @@ from pyspark.sql import functions as F
 
 from covera.session import cut_lineage
 
-LEAST, SIDE = 16, 48
+LEAST, SIDE, SHORT = 16, 48, 4
 DICTIONARY, TRAIN = 20_000, 20_000
-KEY = r"A-Za-z0-9_+/=.\-"
-#: A run of key characters, long enough, with a digit in it.
-CANDIDATE = rf"(?<![{KEY}])(?=[A-Za-z_+/=.\-]*[0-9])[{KEY}]{{{LEAST},}}"
-#: Words that name a credential, and words that name a harmless digest or id.
-CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+KEY, PLAIN = r"A-Za-z0-9_+/=.\-", r"A-Za-z0-9_+/.\-"
+#: Words that name a credential (not "author", "tokens", "secretary").
+_NAMES = (r"(?:token(?!s\b|iz)|secret(?!ar)|passw(?:or)?d|passphrase|pwd|api[ _-]?key|access[ _-]?key|auth(?!or(?!i[sz]))"
+          r"|bearer|credential|private[ _-]?key)")
+CREDENTIAL = "(?i)" + _NAMES
+#: From a credential's name to its value; a lookbehind needs bounds.
+_ASSIGN = (rf"(?i:{_NAMES})[\w\-]{{0,32}}[\"'`]?[ \t]{{0,4}}(?::=|=>|={{1,3}}|:)[ \t]{{0,4}}"
+           r"(?:(?i:bearer|basic)[ \t]{1,4})?")
+#: Values of a credential's name, short or without digits as well: quoted, bare, or after the word bearer.
+_NAMED = "|".join([
+    *[rf"(?<={q})(?<={_ASSIGN}{q})[^{q}\r\n]{{{SHORT},256}}+(?={q})" for q in "\"'`"],
+    rf"(?<=[:=> \t\"'`])(?<=(?:[:=>]|[cCrR][ \t])[ \t]{{0,4}}[\"'`]?)(?<={_ASSIGN}[\"'`]?)(?!(?i:bearer|basic)[ \t])"
+    rf"(?![:=>])[^\s\"'`,;&<>()\[\]{{}}|]{{{SHORT},}}(?<![.!?:])",
+    rf"(?<=[ \t])(?<=(?i:bearer)[ \t]{{1,4}})(?=[{KEY}]{{0,256}}[0-9]|[{KEY}]{{{LEAST}}})[{KEY}]{{{SHORT},}}(?<![.])"])
+#: Fixed forms of issued tokens.
+TOKEN_FORM = (r"(?:A(?:KI|SI)A[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_\w{22,}|glpat-[\w\-]{20,}|xox[abprs]-[\w\-]{10,}"
+              r"|[sr]k_(?:live|test)_[0-9a-zA-Z]{16,}|AIza[\w\-]{35}|npm_[A-Za-z0-9]{36}|eyJ[\w\-]{8,}\.eyJ[\w\-]+\.[\w\-]+)")
+#: A run of key characters, long enough, with a digit in it or of a known form.  What stands before the run's
+#: first '=' is apart from what follows, unless that is padding.
+_RUN = (rf"(?<![{KEY}])(?=[A-Za-z_+/.\-]*[0-9]|{TOKEN_FORM})[{PLAIN}]{{{LEAST},}}+(?:=+(?![{KEY}]))?"
+        rf"|(?<==)(?!=)(?=[A-Za-z_+/=.\-]*[0-9]|{TOKEN_FORM})[{KEY}]{{{LEAST},}}")
+CANDIDATE = rf"(?:{_NAMED}|{_RUN})"
+#: A name and what assigns to it, up to the value.
+ASSIGNED = CREDENTIAL + r"[\w-]*[\"'`]?\s*(:=|=>|={1,3}|:)\s*((bearer|basic)\s+)?[\"'`]?$"
+#: Values known to be harmless by their form: no letters, uuid, host or file name, path; values that stand for others.
+_NO_SECRET = (r"^[^A-Za-z]*$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^([A-Za-z0-9_-]+\.)+[a-z]{2,6}$"
+              r"|^[~.]{0,2}(/[\w.\-]+){2,}/?$")
+_STAND_IN = r"(?i)^(true|false|null|none|nil|undefined|required|optional|string|x+|\*+|\.+|\$.*|%\w+%|your[_-].*)$"
+#: Words that name a harmless digest or id.
 HARMLESS = r"(?i)(commit|sha\d*|md5|checksum|digest|uuid|guid|hash|version|isbn|order|invoice)"
 FEATURES = ["length", "digits", "uppers", "marks", "class_changes", "vowel_changes", "distinct", "hex", "coverage",
-            "slashes", "dots", "after_at", "in_url", "quoted", "assigned", "credential", "harmless", "left_word",
-            "right_word"]
+            "slashes", "dots", "after_at", "in_url", "quoted", "assigned", "credential", "harmless", "known_form",
+            "left_word", "right_word"]
 
 
 def pieces(text: Column) -> tuple[Column, Column]:
@@ -60,8 +87,16 @@ def scan(docs: DataFrame, key: list[str]) -> DataFrame:
     ends = F.transform("_between", lambda g: F.struct(F.right(g, F.lit(SIDE)).alias("last"), F.left(g, F.lit(SIDE)).alias("first"),
                                                       F.length(g).alias("n")))
     rows = rows.select(*key, "_found", ends.alias("_ends"))
+    # A candidate that is the name of the next one ("name=value") belongs to the next one's context.
+    joint = r"^[\"'`]?\s{0,4}(:=|=>|={1,3}|:)\s{0,4}[\"'`]?$"
+
+    def left(i):
+        last = F.get("_ends", i)["last"]
+        named = (i > 0) & last.rlike(joint)
+        return F.when(named, F.right(F.concat(F.get("_found", i - 1), last), F.lit(SIDE))).otherwise(last)
+
     each = F.transform("_found", lambda c, i: F.struct(
-        c.alias("candidate"), F.get("_ends", i)["last"].alias("left"), F.get("_ends", i + 1)["first"].alias("right"),
+        c.alias("candidate"), left(i).alias("left"), F.get("_ends", i + 1)["first"].alias("right"),
         F.get("_ends", i)["n"].alias("skipped")))
     return rows.select(*key, F.posexplode(each).alias("nth", "c")).select(*key, "nth", "c.*")
 
@@ -97,7 +132,8 @@ def describe(findings: DataFrame, words: DataFrame) -> DataFrame:
         count(r"\.").cast("double").alias("dots"), one(left.endswith("@") | c.contains("@")).alias("after_at"),
         one(left.rlike(r"(https?:/{0,2}|www\.|[/\\])$") | right.rlike(r"^[/\\:@]")).alias("in_url"),
         one(left.rlike("[\"'`]$") & right.rlike("^[\"'`]")).alias("quoted"),
-        one(left.rlike("[:=]\\s*[\"'`]?$")).alias("assigned"),
+        one(left.rlike("([:=]>?\\s*|[:=\\s](?i:bearer|basic)\\s+|^(?i:bearer)\\s+)[\"'`]?$")).alias("assigned"),
+        one(c.rlike(rf"^{TOKEN_FORM}[.]?$")).alias("known_form"),
         one(F.regexp_extract(left, r"(\S+\s+)?\S+\W*$", 0).rlike(CREDENTIAL)).alias("credential"),
         one(F.regexp_extract(left, r"(\S+\s+)?\S+\W*$", 0).rlike(HARMLESS)).alias("harmless"),
         F.lower(F.regexp_extract(left, r"([A-Za-zÀ-ɏ]+)[^A-Za-zÀ-ɏ]*$", 1)).alias("_lw"),
@@ -120,9 +156,21 @@ def describe(findings: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def rule_findings(findings: DataFrame) -> DataFrame:
-    """(candidate, left, right, label): 1 where a credential's name is assigned the candidate, else 0."""
-    assigned = F.col("left").rlike(CREDENTIAL + "[\\w-]*[\"']?\\s*(:=|=>|[:=])\\s*[\"'`]?$") | F.col("left").rlike(r"(?i)bearer\s+$")
-    return findings.select("candidate", "left", "right", assigned.cast("double").alias("label")).distinct()
+    """(candidate, left, right, label): 1 for a credential, 0 for what is known to be none, null where neither is known.
+
+    A credential is a token of a known form, or what a credential's name is
+    assigned; a bare word or short number there (prose, a count) is unknown.
+    """
+    c, left, right = F.col("candidate"), F.col("left"), F.col("right")
+    named = left.rlike(ASSIGNED) | left.rlike(r"(?i)bearer\s+$")
+    number = c.rlike("^[0-9.,+-]*$") & (F.length(c) < LEAST)
+    word = ~c.rlike("[0-9]") & (F.length(c) < LEAST) & ~left.rlike("([\"'`]|\\S=)$")
+    code = ~c.rlike("[0-9]") & right.rlike(r"^[(\[{]")
+    harmless = (left.rlike(HARMLESS + r"\w{0,8}\W{0,4}$") | left.rlike(r"(@|https?:/{0,2}|www\.)$") | right.startswith("@")
+                | c.rlike(_NO_SECRET))
+    label = (F.when(c.rlike(rf"^{TOKEN_FORM}[.]?$"), 1.0).when(named & (c.rlike(_STAND_IN) | code), 0.0)
+             .when(named & (number | word), None).when(named, 1.0).when(harmless, 0.0))
+    return findings.select("candidate", "left", "right", label.cast("double").alias("label")).distinct()
 
 
 def train(labelled: DataFrame, features: DataFrame, most: int = TRAIN, trees: int = 20, depth: int = 6,
@@ -131,7 +179,7 @@ def train(labelled: DataFrame, features: DataFrame, most: int = TRAIN, trees: in
 
     Both labels weigh the same in total, so that few secrets among many other findings still count.
     """
-    label = cut_lineage(labelled.groupBy("candidate", "left", "right").agg(F.max("label").alias("label")))
+    label = cut_lineage(labelled.where("label IS NOT NULL").groupBy("candidate", "left", "right").agg(F.max("label").alias("label")))
     totals = {r["label"]: r["n"] for r in label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not {0.0, 1.0} <= set(totals):
         return None
