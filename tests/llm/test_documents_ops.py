@@ -418,6 +418,14 @@ def test_order_minhash_is_sensitive_to_order(spark):
     assert same(0, 1) < 0.75 < same(0, 2)
 
 
+def test_half_edited_texts_rank_above_unrelated_ones(spark):
+    rng = np.random.default_rng(11)
+    text = lambda: " ".join(f"w{n}" for n in rng.integers(0, 100_000, 120))
+    rows = order_minhash.edited_fingerprints(documents(spark, [(i, text(), "en", "s") for i in range(200)])).collect()
+    assert len(rows) == 200 and all(len(r["fingerprint"]) == 8 * order_minhash.SLOTS for r in rows)
+    assert min(r["near_edited"] for r in rows) > max(r["near_next"] for r in rows)
+
+
 def test_repeated_kmers_are_numbered(spark):
     docs = spark.createDataFrame([(1, "a b " * 40, "a b " * 4)], "id long, a string, b string")
     sig = {r["side"]: r["sig"] for r in order_minhash.signatures(docs, ["id"], ["a", "b"]).collect()}
