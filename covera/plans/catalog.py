@@ -670,10 +670,7 @@ QUERIES = {
 
 
 # --- M: models (rows-only checks) ----------------------------------------------------------------
-# The registered model queries search a small grid of two points per model, so that they end
-# within a check; the estimators' defaults are the full grids in covera.plans.models.
-CHECK_GRID = {"maxIter": [10, 20], "maxDepth": [4], "stepSize": [0.1], "subsamplingRate": [0.8]}
-CHECK_NEURAL_GRID = {"learningRate": [0.01, 0.001], "maxIter": [15], "hidden": [[50, 100, 50]], "alpha": [0.01]}
+# The registered model queries search the estimators' default grids (covera.plans.models).
 # One fitted model per session and input: the model queries share it.
 _FITTED: dict = {}
 
@@ -681,7 +678,7 @@ _FITTED: dict = {}
 def _predictor(spark):
     from covera.plans.predictor import PremiumPredictor
     from covera.plans.processor import PolicyProcessor
-    return PremiumPredictor(PolicyProcessor(make_map_table(spark), TIE), KEYS, CHECK_GRID, CHECK_NEURAL_GRID)
+    return PremiumPredictor(PolicyProcessor(make_map_table(spark), TIE), KEYS)
 
 
 def _fitted(spark, sf):
