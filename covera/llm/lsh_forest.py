@@ -23,7 +23,8 @@ sets are one point, named by one of their rows.
    block come from products of its membership matrix.
 5. Connected components of the confirmed links.
 
-Every step keeps links as a forest: a group of n near copies gives about n
+Joins whose sides grow with the input are merge joins at every size.  Every
+step keeps links as a forest: a group of n near copies gives about n
 rows, not n * n.  Blocks hold ``BLOCK`` points and an eighth more.
 
 Defined cases: a null text is an empty one; texts without words have the empty
@@ -49,7 +50,7 @@ from covera.session import cut_lineage
 
 ORDERS, DEPTH, DEEP = 16, 4, 8
 HASHES = ORDERS * DEEP
-BLOCK = 1024
+BLOCK = 512
 #: Shingles whose hash columns are worked on at once, and cells of a membership matrix.
 PIECE, CELLS = 1 << 16, 1 << 22
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -221,7 +222,7 @@ def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     Small groups are numbered without a sort; large ones by a range-partitioned scan, so none is gathered.
     """
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = cut_lineage(rows.join(sizes, "grp"))
+    sized = cut_lineage(rows.join(sizes.hint("merge"), "grp"))
     small = sized.where(F.col("size") <= block).select("grp", "id", F.lit(0).cast("long").alias("part"),
                                                       F.lit(1).cast("long").alias("parts"))
     placed = ordered_scan(sized.where(F.col("size") > block), [F.col("grp"), F.col("place"), F.col("id")], index="_at")
@@ -286,7 +287,9 @@ def compare_blocks(rows: DataFrame, alike, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
 
     names = ["grp", "part", "side", "id", "n", "payload"]
-    return (rows.select(*names).repartition("grp", "part").sortWithinPartitions(*keys)
+    # A stated number of partitions: these rows are few bytes and much work.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.select(*names).repartition(tasks, *keys).sortWithinPartitions(*keys)
             .mapInArrow(run, "a long, b long"))
 
 
@@ -318,7 +321,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 3, percen
     prefixes = points.select("id", F.posexplode(F.slice("orders", 1, ORDERS)).alias("_t", "grp"), "orders").select(
         "grp", F.element_at("orders", F.col("_t") + (ORDERS + 1)).alias("place"), "id")
     signature = points.select("id", "n", F.col("sig").alias("payload"))
-    near = resolve(prefixes, lambda d: d.join(signature, "id"), alike_by_signature, percent, block)
+    near = resolve(prefixes, lambda d: d.join(signature.hint("merge"), "id"), alike_by_signature, percent, block)
     stars = star_components(near)
     member = stars.select(F.col("node").alias("id"), F.col("root").alias("grp")).unionByName(
         stars.select(F.col("root").alias("id"), F.col("root").alias("grp")).distinct())
@@ -334,7 +337,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 3, percen
             "id", "n", "_to", F.col("first._key").alias("_k"), F.col("first._hash").alias("_h"))
         same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))
         # Rows repeated in id and text are one point still: blocks take each id once.
-        found = texts.join(named, same).select("id", "n", F.explode("_to").alias("_t"), "_text").select(
+        found = texts.join(named.hint("merge"), same).select("id", "n", F.explode("_to").alias("_t"), "_text").select(
             "id", "n", "_t.*", "_text")
 
         def run(batches):
@@ -353,6 +356,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 3, percen
         "d1", "d2", F.coalesce("root", "id").alias("root"), "first")
     names = classes.groupBy("root").agg(F.min("first").alias("least"))
     named = classes.join(names, "root").select("d1", "d2", F.col("least._key").alias("component_id"))
-    out = full.join(named, ["d1", "d2"]).select(key, F.col("n").alias("n_shingles"), "component_id").unionByName(
+    out = full.join(named.hint("merge"), ["d1", "d2"]).select(key, F.col("n").alias("n_shingles"), "component_id").unionByName(
         rows.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))

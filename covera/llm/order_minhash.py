@@ -2,24 +2,24 @@
 
 A text is its sequence of words; its k-mers are all runs of ``K`` words, each
 numbered by how often it has occurred before (so a repeated k-mer is another
-element each time).  For every one of ``SLOTS`` signature slots ``ORDER``
-independent hash orders pick their minimal numbered k-mer; the picks are put
-in the order in which they stand in the text, and the tuple is hashed.  Two
-texts agree in a slot if they share the picked k-mers *in the same order*, so
-the likeness (share of equal slots) falls with edits and with moved passages.
-A likeness whose slots agree with chance p has the standard error
+element each time).  One hash order serves all ``SLOTS`` slots: a numbered
+k-mer's first hash bits name its slot, the others its rank there.  Every slot
+takes its ``ORDER`` minimal numbered k-mers, puts them in the order in which
+they stand in the text, and hashes the tuple.  Two texts agree in a slot if
+they pick the same k-mers *in the same order*, so the likeness (share of equal
+slots among those that either text fills) falls with edits and with moved
+passages.  A likeness whose slots agree with chance p has the standard error
 sqrt(p (1 - p) / SLOTS), 0.063 at most; of two texts that share a third of
 their k-mers (p near 1/9) no slot agrees in (8/9) ** SLOTS = 0.05% of cases.
 
-All on DataFrame functions: the k-mers of a text are one array of hashes,
-exploded to narrow rows of integers.  The rows stay in the partition of their
-document, where a window numbers the occurrences and a hash aggregate keeps,
-per document, one long per slot and order: hash in the high bits, position in
-the low ones.  Neither k-mers nor words are shuffled; the text is, once for the
-signatures and once for the hashes of the edited texts.
+All on DataFrame functions, and all inside one row: the k-mers are an array of
+longs (hash in the high bits, place in the low ones).  Sorted by hash, a
+repeated k-mer stands beside its earlier occurrences, which number it; sorted
+by slot and rank, the minimal k-mers of a slot stand first.  Nothing is
+exploded or grouped.  The text is shuffled once to meet the next document.
 
 Defined cases: a null text is an empty one; a text without words has the
-fingerprint of zeros and is like other such texts only; one with fewer than
+fingerprint "0" and is like other such texts only; one with fewer than
 ``K`` words is a single k-mer; rows are ordered by doc_id (descending, null
 last), then by a hash of the text; repeated rows stand at one place of that
 order and share the next document; the only document is its own next; no rows
@@ -31,12 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covera.llm.common import ordered_scan
+from covera.llm.common import let, ordered_scan
 from covera.session import cut_lineage
 
 K, SLOTS, ORDER = 2, 64, 2
-#: Low bits of a pick that hold the k-mer's position.
-PLACE_BITS = 30
+#: Low bits of an element that hold the k-mer's place, and high bits of a hash that name its slot.
+PLACE_BITS, SLOT_BITS = 30, 6
+LOW = (1 << PLACE_BITS) - 1
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -54,53 +55,68 @@ def kmer_hashes(text: Column, k: int = K) -> Column:
     return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(one)
 
 
-def signatures(texts: DataFrame, key: list[str], sides: list[str], k: int = K, slots: int = SLOTS,
-               order: int = ORDER) -> DataFrame:
-    """The ``key`` columns, ``side`` (0, 1, ...) and ``sig`` (array of ints) of the named text columns.
+def _high(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(~LOW))
+
+
+def _placed(hashes: Column) -> Column:
+    """Hash and place in one long, sorted."""
+    return F.sort_array(F.transform(hashes, lambda h, i: _high(h).bitwiseOR(i.cast("long"))))
+
+
+def _numbered(placed: Column) -> Column:
+    """Hash of k-mer and occurrence, with the place, sorted: by slot, then by rank in the slot."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(PLACE_BITS - 1))])
+
+    def occurrence(s, x, i):
+        same = lambda back: F.coalesce(_high(F.get(s, i - back)) == _high(x), F.lit(False))
+        # The earlier occurrences are the elements just before: as many as still have the same hash.
+        count = F.aggregate(steps, F.lit(0), lambda r, b: F.when((r + b <= i) & same(r + b), r + b).otherwise(r))
+        return F.when(same(F.lit(1)), count).otherwise(F.lit(0))
+
+    return let(placed, lambda s: F.sort_array(F.transform(
+        s, lambda x, i: _high(F.xxhash64(_high(x), occurrence(s, x, i))).bitwiseOR(x.bitwiseAND(F.lit(LOW))))))
+
+
+def _slot_of(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 64 - SLOT_BITS)
 
-    Texts without words have no row.  If ``texts`` is partitioned by ``key``, nothing is shuffled.
-    """
-    bits = max(1, (len(sides) - 1).bit_length())
 
-    def mark(side):
-        return lambda h: F.shiftleft(h, bits).bitwiseOR(F.lit(side).cast("long"))
+def _tuples(numbered: Column, order: int = ORDER) -> Column:
+    """One long per filled slot: its number, and 32 bits of the hash of its least k-mers in text order."""
+    def new_slot(s, x, i, back):
+        return F.coalesce(_slot_of(F.get(s, i - back)) != _slot_of(x), F.lit(True))
 
-    marked = F.concat(*[F.transform(kmer_hashes(F.col(c), k), mark(s)) for s, c in enumerate(sides)])
-    rows = texts.select(*key, F.posexplode(marked).alias("place", "kmer"))
-    # The k-mer comes first: its bits decide nearly all comparisons of the sort.
-    occurrence = F.row_number().over(_window(["kmer", *key], "place"))
-    rows = rows.select(*key, "place", F.col("kmer").bitwiseAND(F.lit((1 << bits) - 1)).alias("side"),
-                       F.xxhash64(F.shiftright("kmer", bits), occurrence).alias("item"))
-    low = (1 << PLACE_BITS) - 1
-    picks = [F.min(F.xxhash64("item", F.lit(i)).bitwiseAND(F.lit(~low)).bitwiseOR(F.col("place").cast("long"))).alias(f"p{i}")
-             for i in range(slots * order)]
-    best = rows.groupBy(*key, "side").agg(*picks)
+    least = let(numbered, lambda s: F.filter(s, lambda x, i: new_slot(s, x, i, order)))
 
-    def slot(i):
-        mine = [F.col(f"p{i * order + j}") for j in range(order)]
-        placed = F.array_sort(F.array(*[
-            F.struct(p.bitwiseAND(F.lit(low)).alias("place"), F.shiftright(p, PLACE_BITS).alias("pick")) for p in mine]))
-        # 32 bits a slot.
-        return F.shiftright(F.xxhash64(placed["pick"]), 32).cast("int")
+    def tuple_at(s, x, i):
+        picks = F.filter(F.array(x, *[F.get(s, i + j) for j in range(1, order)]),
+                         lambda y: y.isNotNull() & (_slot_of(y) == _slot_of(x)))
+        by_place = F.array_sort(F.transform(picks, lambda y: F.struct(y.bitwiseAND(F.lit(LOW)).alias("at"), _high(y).alias("pick"))))
+        word = F.xxhash64(by_place["pick"])
+        return F.shiftleft(_slot_of(x), 32).bitwiseOR(F.shiftrightunsigned(word, 32))
 
-    return best.select(*key, "side", F.array(*[slot(i) for i in range(slots)]).alias("sig"))
+    # A slot's first element stands for it.
+    return let(least, lambda s: F.filter(F.transform(
+        s, lambda x, i: F.when(new_slot(s, x, i, 1), tuple_at(s, x, i))), lambda t: t.isNotNull()))
 
 
-def _window(keys, order):
-    from pyspark.sql import Window
-    return Window.partitionBy(*keys).orderBy(order)
+def signature(text: Column, k: int = K) -> Column:
+    """The filled slots of a text as longs, in slot order; empty for a text without words."""
+    return _tuples(_numbered(_placed(kmer_hashes(text, k))))
 
 
-def fingerprint(sig: Column, slots: int = SLOTS) -> Column:
-    """Eight hex digits a slot; a text without words is all zeros."""
-    return F.coalesce(F.lower(F.array_join(F.transform(sig, lambda s: F.lpad(F.hex(s.cast("long").bitwiseAND(F.lit((1 << 32) - 1))), 8, "0")), "")),
-                      F.lit("0" * (8 * slots)))
+def fingerprint(sig: Column) -> Column:
+    """Ten hex digits a filled slot; "0" for a text without words."""
+    return F.when(F.size(sig) == 0, "0").otherwise(
+        F.lower(F.array_join(F.transform(sig, lambda s: F.lpad(F.hex(s), 10, "0")), "")))
 
 
-def likeness(a: Column, b: Column, slots: int = SLOTS) -> Column:
-    """Share of equal slots; two texts without words are alike, one without words is like no other."""
-    same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same / F.lit(float(slots)))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of equal slots among the filled ones; two texts without words are alike, one without words is like no other."""
+    slots = lambda s: F.transform(s, lambda x: F.shiftright(x, 32))
+    filled = F.size(F.array_union(slots(a), slots(b)))
+    return F.when(filled == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / filled)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -130,13 +146,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     both = once.join(heads, ["k", "h"]).select(
         "k", "h", "text",
         F.concat(F.expr("substring(text, 1, cast(length(text) - half AS int))"), F.col("head")).alias("edited"))
-    hashes = both.select("k", "h", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
-    sigs = cut_lineage(signatures(both, ["k", "h"], ["text", "edited"]))
-    own = sigs.where("side = 0").select("k", "h", F.col("sig").alias("own"))
-    changed = sigs.where("side = 1").select("k", "h", F.col("sig").alias("changed"))
-    following = own.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("own").alias("following"))
-    out = (names.join(hashes, ["k", "h"]).join(own, ["k", "h"], "left").join(changed, ["k", "h"], "left")
-           .join(following, ["nk", "nh"], "left"))
+    # One pass over the texts leaves narrow rows.
+    signed = cut_lineage(both.select("k", "h", F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text")).alias("own"),
+                                     signature(F.col("edited")).alias("changed")))
+    following = signed.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("own").alias("following"))
+    out = names.join(signed, ["k", "h"]).join(following, ["nk", "nh"])
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
                       fingerprint(F.col("changed")).alias("edited_fingerprint"),

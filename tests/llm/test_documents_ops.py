@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
 from llm_fixture import TOKEN, documents, empty, labels  # noqa: E402
@@ -394,44 +395,76 @@ def test_order_minhash_contract(spark):
     assert one[0]["near_next"] == 1.0 and one[0]["edited_sha256"] == join("a b c d", "a b c d")
 
 
-def plain_signature(spark, text):
-    """The picks of the operator, by hand, with Spark's own hash values."""
-    words = WORDS.findall(text)
-    k, seen, items = order_minhash.K, {}, []
-    for i in range(len(words) - k + 1):
-        run = tuple(words[i:i + k])
-        seen[run] = seen.get(run, 0) + 1
-        items.append((run, seen[run]))
-    return items
+def spark_xxhash(*values, seed=42):
+    """Spark's xxhash64: every value's hash is the next one's seed."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+def plain_signature(text, k=2, slots=64, order=2):
+    """The operator by hand: slot -> 32 bits of the hash of its least numbered k-mers in text order."""
+    words, low = WORDS.findall(text), (1 << 30) - 1
+    runs = [tuple(words[i:i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else [tuple(words)] * bool(words)
+    seen, of = {}, {}
+    for at, run in enumerate(runs):
+        kmer = spark_xxhash(*run) & ~low
+        item = spark_xxhash(struct.pack("<Q", kmer), struct.pack("<i", seen.get(kmer, 0)))
+        seen[kmer] = seen.get(kmer, 0) + 1
+        of.setdefault(item * slots >> 64, []).append(((item & ~low & ((1 << 64) - 1)), at))
+    out = {}
+    for slot, items in of.items():
+        least = sorted(items)[:order]
+        picks = [struct.pack("<Q", item) for item, at in sorted(least, key=lambda x: x[1])]
+        out[slot] = spark_xxhash(*picks) >> 32
+    return out
+
+
+def signatures(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = rows.select("id", order_minhash.signature(F.col("text")).alias("sig")).collect()
+    return [{x >> 32: x & 0xFFFFFFFF for x in r["sig"]} for r in sorted(got, key=lambda r: r["id"])]
+
+
+def test_order_minhash_signatures_equal_plain_python(spark):
+    rng = np.random.default_rng(3)
+    texts = ["", "one", "one two", "a b " * 40, "x x x x x", "Äpfel öl ▁ mark  two  spaces \n\U0001f600 end", "y " * 3000]
+    for n in (2, 10, 100, 1000, 4000):
+        texts += [" ".join(f"w{i}" for i in rng.integers(0, top, n)) for top in (3, 50, 100_000)]
+    assert signatures(spark, texts) == [plain_signature(t) for t in texts]
+
+
+def agreement(a, b):
+    return sum(a.get(s) == b.get(s) for s in {*a, *b}) / len({*a, *b})
 
 
 def test_order_minhash_is_sensitive_to_order(spark):
-    a = " ".join(f"w{i}" for i in range(200))
-    parts = [" ".join(f"w{i}" for i in range(s, s + 20)) for s in range(0, 200, 20)]
+    a = " ".join(f"w{i}" for i in range(2000))
+    parts = [" ".join(f"w{i}" for i in range(s, s + 20)) for s in range(0, 2000, 20)]
     moved = " ".join(reversed(parts))  # nearly the same set of k-mers in another order
-    edit = a.replace("w50 ", "x ").replace("w150 ", "y ")
-    docs = spark.createDataFrame([(1, a, moved, edit, a)], "id long, a string, b string, c string, d string")
-    sig = {r["side"]: r["sig"] for r in order_minhash.signatures(docs, ["id"], ["a", "b", "c", "d"], slots=64).collect()}
-    same = lambda x, y: sum(p == q for p, q in zip(sig[x], sig[y])) / 64
-    assert same(0, 3) == 1.0
-    assert same(0, 2) > 0.8           # two words replaced
-    assert same(0, 1) < 0.75 < same(0, 2)
+    edit = a.replace("w50 ", "x ").replace("w1500 ", "y ")
+    own, other, edited, again = signatures(spark, [a, moved, edit, a])
+    assert agreement(own, again) == 1.0
+    assert agreement(own, edited) > 0.9           # two words replaced
+    assert agreement(own, other) < 0.75
+    order = lambda x, y: spark.createDataFrame([(x, y)], "a string, b string").select(
+        order_minhash.likeness(order_minhash.signature(F.col("a")), order_minhash.signature(F.col("b")))).first()[0]
+    assert abs(order(a, moved) - agreement(own, other)) < 1e-12
 
 
 def test_half_edited_texts_rank_above_unrelated_ones(spark):
     rng = np.random.default_rng(11)
-    text = lambda: " ".join(f"w{n}" for n in rng.integers(0, 100_000, 120))
+    text = lambda: " ".join(f"w{n}" for n in rng.integers(0, 100_000, 300))
     rows = order_minhash.edited_fingerprints(documents(spark, [(i, text(), "en", "s") for i in range(200)])).collect()
-    assert len(rows) == 200 and all(len(r["fingerprint"]) == 8 * order_minhash.SLOTS for r in rows)
+    assert len(rows) == 200 and all(len(r["fingerprint"]) <= 10 * order_minhash.SLOTS for r in rows)
     assert min(r["near_edited"] for r in rows) > max(r["near_next"] for r in rows)
 
 
 def test_repeated_kmers_are_numbered(spark):
-    docs = spark.createDataFrame([(1, "a b " * 40, "a b " * 4)], "id long, a string, b string")
-    sig = {r["side"]: r["sig"] for r in order_minhash.signatures(docs, ["id"], ["a", "b"]).collect()}
     # The same two k-mers, but ten times as many numbered ones.
-    assert sig[0] != sig[1]
-    assert len(set(plain_signature(spark, "a b " * 4))) == 7
+    many, few = signatures(spark, ["a b " * 40, "a b " * 4])
+    assert many != few and len(many) > 10
 
 
 # --- token packing ---------------------------------------------------------
