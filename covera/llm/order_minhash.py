@@ -106,6 +106,24 @@ def signature(text: Column, k: int = K) -> Column:
     return _tuples(_numbered(_placed(kmer_hashes(text, k))))
 
 
+_SLOT_ORDER = [*range(SLOTS // 2, SLOTS), *range(SLOTS // 2)]
+
+
+def packed(sig: Column) -> Column:
+    """A signature in half the bytes: a bit per filled slot, and the 32 bits of each in slot order."""
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 32).cast("int"))
+    mask = F.aggregate(sig, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x)))
+    low = F.transform(sig, lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    return F.struct(mask.alias("mask"), low.alias("low"))
+
+
+def unpacked(sig: Column) -> Column:
+    # As longs, slots sort with the upper half first: their top bit is a sign.
+    slots = F.filter(F.array(*[F.lit(i) for i in _SLOT_ORDER]), lambda i: F.getbit(sig["mask"], i) == 1)
+    whole = lambda i, v: F.shiftleft(i.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+    return F.zip_with(slots, sig["low"], whole)
+
+
 def fingerprint(sig: Column) -> Column:
     """Ten hex digits a filled slot; "0" for a text without words."""
     return F.when(F.size(sig) == 0, "0").otherwise(
@@ -140,19 +158,26 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     names = cut_lineage(names.withColumn("_next", (F.col("_g") + 1) % total).join(after, "_next").drop("_g", "_next"))
     # Each document once, in the partition of its name; repeated rows are merged before the shuffle.
     once = rows.groupBy("k", "h").agg(F.any_value("text").alias("text"))
-    ask = names.select(F.col("nk").alias("_k"), F.col("nh").alias("_h"), "k", "h", F.expr("n div 2").alias("half"))
+    # What a row asks of the next text goes along with it, so that later steps need no join for it.
+    ask = names.select(F.col("nk").alias("_k"), F.col("nh").alias("_h"), "k", "h", F.expr("n div 2").alias("half"),
+                       "doc_id", "n", "copies")
     heads = once.select(F.col("k").alias("_k"), F.col("h").alias("_h"), "text").join(ask, ["_k", "_h"]).select(
-        "k", "h", "half", F.substring("text", F.lit(1), F.col("half").cast("int")).alias("head"))
+        "k", "h", "_k", "_h", "half", "doc_id", "n", "copies", F.substring("text", F.lit(1), F.col("half").cast("int")).alias("head"))
     both = once.join(heads, ["k", "h"]).select(
-        "k", "h", "text",
+        "k", "h", "_k", "_h", "doc_id", "n", "copies", "text",
         F.concat(F.expr("substring(text, 1, cast(length(text) - half AS int))"), F.col("head")).alias("edited"))
     # One pass over the texts leaves narrow rows.
-    signed = cut_lineage(both.select("k", "h", F.sha2("edited", 256).alias("edited_sha256"), signature(F.col("text")).alias("own"),
-                                     signature(F.col("edited")).alias("changed")))
-    following = signed.select(F.col("k").alias("nk"), F.col("h").alias("nh"), F.col("own").alias("following"))
-    out = names.join(signed, ["k", "h"]).join(following, ["nk", "nh"])
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"),
-                      fingerprint(F.col("changed")).alias("edited_fingerprint"),
-                      likeness(F.col("own"), F.col("changed")).alias("near_edited"),
-                      likeness(F.col("own"), F.col("following")).alias("near_next"))
+    signed = both.select("k", "h", "_k", "_h", "doc_id", "n", "copies", F.sha2("edited", 256).alias("edited_sha256"),
+                         signature(F.col("text")).alias("own"), signature(F.col("edited")).alias("changed"))
+    signed = cut_lineage(signed.select(
+        "k", "h", "_k", "_h", "doc_id", "n", "copies", F.unhex("edited_sha256").alias("sha"), packed(F.col("own")).alias("own"),
+        packed(F.col("changed")).alias("changed"), likeness(F.col("own"), F.col("changed")).alias("near_edited")))
+    following = signed.select(F.col("k").alias("_k"), F.col("h").alias("_h"), F.col("own").alias("following"))
+    out = signed.join(following, ["_k", "_h"]).select(
+        "*", unpacked(F.col("own")).alias("_own"), unpacked(F.col("changed")).alias("_changed"),
+        unpacked(F.col("following")).alias("_following"),
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+    return out.select("doc_id", F.col("n").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"),
+                      fingerprint(F.col("_own")).alias("fingerprint"),
+                      fingerprint(F.col("_changed")).alias("edited_fingerprint"), "near_edited",
+                      likeness(F.col("_own"), F.col("_following")).alias("near_next"))

@@ -172,6 +172,23 @@ def test_vantage_point_links_equal_brute_force(spark):
     assert all(len(v) == 1 for v in pairs.values()) and len({next(iter(v)) for v in pairs.values()}) == len(pairs)
 
 
+def test_a_leaf_over_the_bound_is_dealt_to_several_tasks(spark):
+    """No vantage point tells these points apart well; with small blocks every pair still meets."""
+    dense = sorted({0xABCDEF ^ (1 << i) ^ (1 << j) for i in range(0, 24) for j in range(24, 40)} | {(1 << (3 * i)) - 1 for i in range(21)})
+    signed = np.array(dense, np.uint64).view(np.int64).tolist()
+    frame = spark.createDataFrame([(p,) for p in signed], "_fp long")
+    sent = frame.select(F.lit(1).cast("long").alias("leaf"), "_fp", (F.col("_fp") % 5 != 0).alias("home"))
+    met, sizes = set(), []
+    for r in simhash.deal(sent, 40).groupBy("leaf", "a", "b").agg(F.collect_list(F.struct("_fp", "home")).alias("p")).collect():
+        sizes.append(len(r["p"]))
+        met |= {(x["_fp"], y["_fp"]) for x in r["p"] for y in r["p"] if x["home"]}
+    home = {p for p in signed if p % 5 != 0}
+    assert met >= {(x, y) for x in home for y in signed} and max(sizes) < 140 < len(signed) and len(sizes) > 30
+    want = {r["_fp"]: r["root"] for r in simhash.group_of(frame).collect()}
+    got = {r["_fp"]: r["root"] for r in simhash.group_of(frame, sample=1, leaf=16, most=40).collect()}
+    assert got == want
+
+
 def test_keep_one_keeps_one_row_of_each_group(spark):
     docs = documents(spark)
     out = simhash.keep_one(docs)
@@ -187,49 +204,86 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
 # --- Kneser-Ney ------------------------------------------------------------
 
 def plain_model(texts):
-    """Interpolated modified Kneser-Ney by the textbook, on symbols."""
+    """Interpolated modified Kneser-Ney by the textbook: p(n-gram as a number) of the highest order."""
+    bits, order = kn_quality.BITS, kn_quality.ORDER
     counts = {}
     for t in texts:
-        for c in kn_quality.trigrams(t).tolist():
-            counts[c] = counts.get(c, 0) + 1
-    second, first = {}, {}
-    for g in counts:
-        second[g & 0x3FFF] = second.get(g & 0x3FFF, 0) + 1
-    for g in second:
-        first[g & 127] = first.get(g & 127, 0) + 1
-
-    def order(c, lower):
+        for g in kn_quality.grams(t).tolist():
+            counts[g] = counts.get(g, 0) + 1
+    levels = [counts]
+    for k in range(order - 1, 0, -1):
+        shorter = {}
+        for g in levels[-1]:
+            g &= (1 << (bits * k)) - 1
+            shorter[g] = shorter.get(g, 0) + 1
+        levels.append(shorter)
+    found = []
+    for c in reversed(levels):
         d = kn_quality.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])
         total, back = {}, {}
         for g, v in c.items():
-            total[g >> 7] = total.get(g >> 7, 0) + v
-            back[g >> 7] = back.get(g >> 7, 0) + min(v, d[min(v, 3) - 1])
+            total[g >> bits] = total.get(g >> bits, 0) + v
+            back[g >> bits] = back.get(g >> bits, 0) + min(v, d[min(v, 3) - 1])
+        found.append((c, d, total, back))
+
+    def p(gram, k=order):
+        if k == 0:
+            return 1 / kn_quality.SYMBOLS
+        c, d, total, back = found[k - 1]
+        lower = p(gram & ((1 << (bits * (k - 1))) - 1), k - 1)
+        context = gram >> bits
+        if context not in total:
+            return lower
+        v = c.get(gram, 0)
+        return ((v - min(v, d[min(v, 3) - 1])) if v else 0) / total[context] + back[context] / total[context] * lower
 
-        def p(context, w):
-            if context not in total:
-                return lower(context & 127, w)
-            v = c.get(context << 7 | w, 0)
-            return (v - min(v, d[min(v, 3) - 1]) if v else 0) / total[context] + \
-                back[context] / total[context] * lower(context & 127, w)
-        return p
+    return p
 
-    one = order(first, lambda c, w: 1 / 128)
-    two = order(second, lambda c, w: one(0, w))
-    return order(counts, two)
+
+def test_grams_are_four_characters_of_any_alphabet():
+    assert kn_quality.grams("").tolist() == []
+    a, b = ord("ж"), ord("é")
+    assert kn_quality.grams("жé").tolist() == [a, a << 16 | b]
+    assert len(set(kn_quality.grams("абвгд").tolist())) == 5
+    assert kn_quality.grams("x\x00")[1] & 0xFFFF == 0xFFFF
 
 
 def test_kneser_ney_equals_the_textbook(spark):
-    texts = ["the cat sat on the mat", "a cat is a cat", "Äpfel\tund Öl", "the end"]
+    texts = ["the cat sat on the mat", "a cat is a cat", "Äpfel\tund Öl", "the end", "кот и кошка", "один кот"]
     rows = [(i, t, "en", "s") for i, t in enumerate(texts)]
-    got = kn_quality.model_table(kn_quality.gram_counts(documents(spark, rows)))
+    model = kn_quality.kneser_ney(kn_quality.gram_counts(documents(spark, rows)))
     p = plain_model(texts)
-    rng = np.random.default_rng(2)
-    codes = [*kn_quality.trigrams("the mat zz").tolist(), *rng.integers(0, kn_quality.GRAMS, 300).tolist()]
-    for c in codes:
-        assert got[c] == pytest.approx(-np.log2(p(c >> 7, c & 127)), abs=1e-3)
-    # The distribution after a seen context sums to one.
-    context = kn_quality.trigrams("the")[-1] >> 7
-    assert sum(2.0 ** -got[context << 7 | w] for w in range(128)) == pytest.approx(1, abs=1e-4)
+    asked = {g for t in (*texts, "the mat zz кошки", "unseen Ω") for g in kn_quality.grams(t).tolist()}
+    # Every symbol after one context: the distribution sums to one.
+    context = int(kn_quality.grams("the")[-1]) & ((1 << 48) - 1)
+    asked |= {context << 16 | w for w in range(1, 300)}
+    signed = np.array(sorted(asked), np.uint64).view(np.int64).tolist()
+    got = {r["gram"]: r["p"] for r in kn_quality.priced(spark.createDataFrame([(g,) for g in signed], "gram long"), model).collect()}
+    assert set(got) == set(signed)
+    for g in asked:
+        assert got[int(np.uint64(g).view(np.int64))] == pytest.approx(p(g), rel=1e-9)
+    seen = sum(p(context << 16 | w) for w in range(1, 1200))
+    assert seen + (kn_quality.SYMBOLS - 1199) * p(context << 16 | 60_000) == pytest.approx(1, abs=1e-9)
+
+
+def test_blocks_of_any_size_give_the_same_surprise(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice(["кот", "house", "of", "été", "x"], 30)), "en", "s") for i in range(80)] + [(90, None, "en", "s")]
+    path = str(tmp_path / "docs")
+    documents(spark, rows).repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    model = kn_quality.kneser_ney(kn_quality.gram_counts(docs.where("doc_id < 40")))
+    wide = {r["doc_id"]: (r["_n"], r["_bits"]) for r in kn_quality.with_surprise(docs, model, [docs["doc_id"]]).collect()}
+    p = plain_model([t for i, t, *_ in rows if i < 40])
+    for i, t, *_ in rows:
+        own = kn_quality.grams(t).tolist()
+        assert wide[i][0] == len(own) and wide[i][1] == pytest.approx(-sum(np.log2(p(g)) for g in own), abs=1e-3)
+    count = lambda n: len({r[0] for r in docs.select(kn_quality.blocks(docs, n)).collect()})
+    assert count(1 << 20) <= 5 < count(200)
+    monkeypatch.setattr(kn_quality, "PART", 200)
+    monkeypatch.setattr(kn_quality.blocks, "__defaults__", (200,))
+    small = {r["doc_id"]: (r["_n"], r["_bits"]) for r in kn_quality.with_surprise(docs, model, [docs["doc_id"]]).collect()}
+    assert small == wide
 
 
 def test_classifier_rejects_junk_and_keeps_clean(spark):
@@ -435,6 +489,13 @@ def test_order_minhash_signatures_equal_plain_python(spark):
     assert signatures(spark, texts) == [plain_signature(t) for t in texts]
 
 
+def test_packed_signatures_come_back(spark):
+    texts = ["", "one", "a b " * 9, " ".join(f"w{i}" for i in range(40)), " ".join(f"w{i}" for i in range(3000))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(order_minhash.signature(F.col("text")).alias("s"))
+    back = rows.select("s", order_minhash.packed(F.col("s")).alias("p")).select("s", order_minhash.unpacked(F.col("p")).alias("b"))
+    assert all(r["s"] == r["b"] for r in back.collect()) and max(len(r["s"]) for r in back.collect()) == 64
+
+
 def agreement(a, b):
     return sum(a.get(s) == b.get(s) for s in {*a, *b}) / len({*a, *b})
 
