@@ -18,7 +18,7 @@ sets are one point, named by one of their rows.
    are not yet in one component, those outside its largest component are held
    against all of the region, blocks against blocks, one task each.
 4. Components of the passing pairs are clusters.  Their texts are read again,
-   once, and every cluster is resolved in the same two steps on the full sets:
+   once, as sets, and every cluster is resolved in the same two steps on them:
    blocks along one order first, the rest afterwards.  Intersections of a
    block come from products of its membership matrix.
 5. Connected components of the confirmed links.
@@ -50,7 +50,7 @@ from covera.session import cut_lineage
 
 ORDERS, DEPTH, DEEP = 16, 4, 8
 HASHES = ORDERS * DEEP
-BLOCK = 512
+BLOCK = 2048
 #: Shingles whose hash columns are worked on at once, and cells of a membership matrix.
 PIECE, CELLS = 1 << 16, 1 << 22
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -222,9 +222,11 @@ def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     Small groups are numbered without a sort; large ones by a range-partitioned scan, so none is gathered.
     """
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = cut_lineage(rows.join(sizes.hint("merge"), "grp"))
+    sized = cut_lineage(rows.join(sizes, "grp"))
     small = sized.where(F.col("size") <= block).select("grp", "id", F.lit(0).cast("long").alias("part"),
                                                       F.lit(1).cast("long").alias("parts"))
+    if sized.where(F.col("size") > block).isEmpty():
+        return small
     placed = ordered_scan(sized.where(F.col("size") > block), [F.col("grp"), F.col("place"), F.col("id")], index="_at")
     # Global positions: a group's own begin at its least one.
     start = placed.groupBy("grp").agg(F.min("_at").alias("_start"))
@@ -238,12 +240,12 @@ def blocks(rows: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def rest(dealt: DataFrame, stars: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(grp, id, part, side): what the blocks of large groups leave open, as blocks against blocks.
+    """(grp, id, part, side): what the blocks of large groups (rows of :func:`blocks`) leave open, blocks against blocks.
 
     In a group whose points are not all in one component, side 1 are the points outside its largest
     component and side 0 all its points; every block of the one meets every block of the other.
     """
-    many = dealt.where("parts > 1").select("grp", "id", "parts").distinct()
+    many = dealt.select("grp", "id", "parts").distinct()
     named = cut_lineage(many.join(stars, many["id"] == stars["node"], "left").select(
         "grp", "id", "parts", F.coalesce("root", "id").alias("_in")))
     sizes = named.groupBy("grp", "_in").agg(F.count(F.lit(1)).alias("_c"))
@@ -260,7 +262,7 @@ def rest(dealt: DataFrame, stars: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def compare_blocks(rows: DataFrame, alike, percent: int) -> DataFrame:
-    """Links (a, b), as a forest per block, of ``rows`` (grp, part, side, id, n, payload).
+    """Links (grp, a, b), as a forest per block, of ``rows`` (grp, part, side, id, n, payload).
 
     Side -1: all pairs of the block; otherwise the points of side 1 against all.
     """
@@ -284,27 +286,43 @@ def compare_blocks(rows: DataFrame, alike, percent: int) -> DataFrame:
             apart = a != b
             x, y = forest(len(ids), a[apart], b[apart])
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), table["grp"][0].as_py())), pa.array(ids[x]),
+                                                  pa.array(ids[y])], names=["grp", "a", "b"])
 
     names = ["grp", "part", "side", "id", "n", "payload"]
     # A stated number of partitions: these rows are few bytes and much work.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.select(*names).repartition(tasks, *keys).sortWithinPartitions(*keys)
-            .mapInArrow(run, "a long, b long"))
+            .mapInArrow(run, "grp long, a long, b long"))
 
 
 def resolve(rows: DataFrame, payload_of, alike, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links of every group of ``rows`` (grp, place, id), whatever its size.
+    """Links (a, b) of every group of ``rows`` (grp, place, id), whatever its size.
 
     ``payload_of`` gives (grp, part, side, id, n, payload) for (grp, id, part, side).
     """
     dealt = cut_lineage(blocks(rows, block))
-    none = F.lit(-1)
-    links = cut_lineage(compare_blocks(payload_of(dealt.select("grp", "id", "part", none.alias("side"))), alike, percent))
-    if dealt.where("parts > 1").isEmpty():
-        return links
-    open_ = cut_lineage(rest(dealt, star_components(links), block))
-    return links.unionByName(cut_lineage(compare_blocks(payload_of(open_), alike, percent)))
+    first = payload_of(dealt.select("grp", "id", "part", F.lit(-1).alias("side")))
+    links = cut_lineage(compare_blocks(first, alike, percent))
+    large = dealt.where("parts > 1")
+    if large.isEmpty():
+        return links.select("a", "b")
+    # The links of large groups say what is still open there.
+    known = links.join(large.select("grp").distinct(), "grp", "left_semi").select("a", "b")
+    open_ = cut_lineage(rest(large, star_components(known), block))
+    return links.select("a", "b").unionByName(cut_lineage(compare_blocks(payload_of(open_), alike, percent)).select("a", "b"))
+
+
+def set_table(rows: DataFrame, width: int) -> DataFrame:
+    """(id, n, payload): the sets of ``rows`` (id, n, _text)."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, width).tobytes() for t in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.array(sets, pa.binary())],
+                                             names=["id", "n", "payload"])
+
+    return rows.mapInArrow(run, "id long, n long, payload binary")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 3, percent: int = 85,
@@ -328,34 +346,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", width: int = 3, percen
     place = F.struct(F.element_at("orders", 1).alias("p"), F.element_at("orders", ORDERS + 1).alias("q")).alias("place")
     clustered = cut_lineage(member.join(points.select("id", "n", "first", place), "id"))
 
+    # The texts of the clusters are read once and kept as sets.
     texts = docs.select(F.col(key).alias("_key"), F.xxhash64("text").alias("_hash"), F.col("text").cast("string").alias("_text"))
-
-    def with_sets(dealt):
-        """The texts of the dealt points, read once, become sets; a point of several blocks is sent to each."""
-        wanted = dealt.groupBy("id").agg(F.collect_list(F.struct("grp", "part", "side")).alias("_to"))
-        named = wanted.join(clustered.select("id", "n", "first"), "id").select(
-            "id", "n", "_to", F.col("first._key").alias("_k"), F.col("first._hash").alias("_h"))
-        same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))
-        # Rows repeated in id and text are one point still: blocks take each id once.
-        found = texts.join(named.hint("merge"), same).select("id", "n", F.explode("_to").alias("_t"), "_text").select(
-            "id", "n", "_t.*", "_text")
-
-        def run(batches):
-            for batch in batches:
-                sets = [shingle_set(t, width).tobytes() for t in batch.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c) for c in ("grp", "part", "side", "id", "n")], pa.array(sets, pa.binary())],
-                    names=["grp", "part", "side", "id", "n", "payload"])
-
-        return found.mapInArrow(run, "grp long, part long, side int, id long, n long, payload binary")
-
+    named = clustered.select("id", "n", F.col("first._key").alias("_k"), F.col("first._hash").alias("_h"))
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h"))
+    found = texts.join(named.hint("merge"), same).groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("_text").alias("_text"))
+    sets = cut_lineage(set_table(found, width))
     order = clustered.select("grp", "place", "id")
-    links = resolve(order, with_sets, alike_by_set, percent, block)
+    links = resolve(order, lambda d: d.join(sets, "id"), alike_by_set, percent, block)
     linked = star_components(links)
     classes = points.join(linked, points["id"] == linked["node"], "left").select(
         "d1", "d2", F.coalesce("root", "id").alias("root"), "first")
     names = classes.groupBy("root").agg(F.min("first").alias("least"))
     named = classes.join(names, "root").select("d1", "d2", F.col("least._key").alias("component_id"))
-    out = full.join(named.hint("merge"), ["d1", "d2"]).select(key, F.col("n").alias("n_shingles"), "component_id").unionByName(
+    out = full.join(named, ["d1", "d2"]).select(key, F.col("n").alias("n_shingles"), "component_id").unionByName(
         rows.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id")))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
