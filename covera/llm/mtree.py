@@ -5,20 +5,27 @@ asked for, the k + 1 smallest ids of a vector are all that any query can want
 (it may be one of them itself).  Pivots from a bounded sample (``PIVOTS`` at
 most) are the routing objects of the top level; every entry goes to its
 nearest pivot, and a pivot with many entries is cut into shards of about
-``SHARD``.  A shard is built into pages: routing object, covering radius,
-distance to the parent (the pivot), greatest norm, and the entries with their
-distances to the routing object.  The pages are a table in the checkpoint
-folder.
+``SHARD``.  A shard is built into nodes of several levels, at most ``FAN``
+children each: routing object, covering radius, distance to the parent's
+routing object, greatest norm; a leaf is a page of at most ``PAGE`` entries
+with their distances to its routing object.  The nodes are a table in the
+checkpoint folder, one row each.
 
 Search.  By the triangle inequality d(q, x) >= |d(q, p) - d(p, x)|, and
 q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2 turns a least distance into a greatest
-score.  A block of queries reads the pages of a shard best first; a page is
-passed over by its parent distance and radius before its routing object is
-measured, then by the measured distance, and entries are passed over by
-their stored distances.  Every query first reads the shard that promises most;
-its k-th score there is the mark that the other shards have to reach.
+score; q.x <= q.p + |q| r is a second bound of a node with radius r.  Every
+query goes best first: a priority queue holds the nodes by the score that they
+may still reach.  A child is passed over by its stored parent distance before
+its routing object is measured, then by the measured distance; entries of a
+page are passed over by their stored distances before they are scored.  Every
+query first reads the shard that promises most; its k-th score there is the
+mark that the other shards have to reach.
 
-Scores are integers and exact while they stay below 2 ** 53.
+Vectors without structure cannot be told apart by distance: on such data
+nearly all pairs are scored.  :func:`search_tree` returns the number it scored.
+
+Scores are integers; they are exact while the sums of the products' absolute
+values stay below 2 ** 53, and vectors for which they might not fail the job.
 
 Defined cases: vectors that are null or hold null or non-finite components
 take no part, nor do rows without vec_id; shorter vectors count as padded with
@@ -29,6 +36,9 @@ candidates all are returned; no rows give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,9 +47,11 @@ from pyspark.sql import functions as F
 
 from covera.session import cut_lineage
 
-PIVOTS, SHARD, PAGE, BLOCK = 4_096, 16_384, 128, 2_048
-_PAGE_SCHEMA = ("shard long, page int, radius double, parent double, norm double, routing binary, "
+PIVOTS, SHARD, PAGE, FAN, BLOCK = 4_096, 16_384, 128, 16, 2_048
+#: A node: its children are the rows from ``child`` on; a leaf has none and holds entries.
+_NODE_SCHEMA = ("shard long, node int, child int, children int, radius double, parent double, norm double, routing binary, "
                 "ids array<array<bigint>>, vectors binary, distances binary")
+_NODE_NAMES = [c.split()[0] for c in _NODE_SCHEMA.split(", ")]
 
 
 def quantised(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -64,78 +76,114 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def build_pages(vectors: np.ndarray, pivot: np.ndarray, size: int, seed: int):
-    """(routing, members, distances): groups of at most ``size`` entries around sampled routing objects."""
-    rng, todo = np.random.default_rng(seed), [np.arange(len(vectors))]
-    while todo:
-        rows = todo.pop()
-        if len(rows) <= size:
-            # The member nearest to the mean is the routing object.
-            near = np.argmin(((vectors[rows] - vectors[rows].mean(0)) ** 2).sum(1))
-            routing = vectors[rows[near]]
-            yield routing, rows, np.sqrt(((vectors[rows] - routing) ** 2).sum(1))
-            continue
-        seeds = vectors[rng.choice(rows, min(64, -(-2 * len(rows) // size)), replace=False)]
-        nearest = _far(vectors[rows], seeds).argmin(1)
-        parts = [rows[nearest == s] for s in range(len(seeds)) if (nearest == s).any()]
-        if len(parts) == 1:  # they cannot be told apart by distance
-            parts = np.array_split(rows, -(-len(rows) // size))
-        todo += parts
-
-
-def search_block(pages: list[dict], pivot: np.ndarray, queries: np.ndarray, marks: np.ndarray, k: int):
-    """Best entries of each query, at most k: lists of (score, ids); entries below ``marks`` may be left out."""
-    n = len(queries)
-    if not pages or not n:
-        return [[] for _ in range(n)]
-    qq, parent = (queries * queries).sum(1), np.sqrt(((queries - pivot) ** 2).sum(1))
-    radius, up, norm = (np.array([p[c] for p in pages]) for c in ("radius", "parent", "norm"))
-
-    def most(low, square):
-        return (qq[:, None] + square - np.maximum(low, 0.0) ** 2) / 2.0
-
-    promise = most(np.abs(parent[:, None] - up[None, :]) - radius[None, :], (norm ** 2)[None, :])
-    top = np.full((n, k), -np.inf)          # scores, and which entry they are of
-    first = np.full((n, k), np.iinfo(np.int64).max)
-    who = np.full((n, k), -1, np.int64)
-    entries, base = [], 0
-    for at in np.argsort(-promise.max(0)):
-        page = pages[at]
-        # The mark, or the k-th score so far.  Scores are whole, half a unit absorbs rounding.
-        floor = np.maximum(marks, top[:, -1]) - 0.5
-        rows = np.nonzero(promise[:, at] >= floor)[0]
-        if not len(rows):
+def _split(vectors: np.ndarray, rows: np.ndarray, size: int, fan: int, rng) -> list[np.ndarray]:
+    """At most ``fan`` parts of ``rows``, by the nearest of some sampled members; halves where distance tells nothing apart."""
+    seeds = vectors[rng.choice(rows, min(fan, max(2, -(-2 * len(rows) // size))), replace=False)]
+    nearest = _far(vectors[rows], seeds).argmin(1)
+    parts = [rows[nearest == s] for s in range(len(seeds)) if (nearest == s).any()]
+    return parts if len(parts) > 1 else np.array_split(rows, 2)
+
+
+def build_tree(vectors: np.ndarray, pivot: np.ndarray, size: int, fan: int, seed: int) -> list[dict]:
+    """The nodes of a shard, the root (around ``pivot``) first; the children of a node are consecutive."""
+    rng = np.random.default_rng(seed)
+    nodes = [{"rows": np.arange(len(vectors)), "routing": pivot, "parent": 0.0}]
+    at = 0
+    while at < len(nodes):
+        node = nodes[at]
+        rows, routing = node.pop("rows"), node["routing"]
+        far = np.sqrt(((vectors[rows] - routing) ** 2).sum(1))
+        node |= {"node": at, "radius": far.max(), "norm": np.sqrt((vectors[rows] ** 2).sum(1).max()), "child": len(nodes),
+                 "children": 0, "members": rows, "distances": far}
+        if len(rows) > size:
+            node |= {"members": rows[:0], "distances": far[:0]}
+            for part in _split(vectors, rows, size, fan, rng):
+                # The member nearest to the mean is the routing object.
+                near = vectors[part[np.argmin(((vectors[part] - vectors[part].mean(0)) ** 2).sum(1))]]
+                nodes.append({"rows": part, "routing": near, "parent": np.sqrt(((near - routing) ** 2).sum())})
+                node["children"] += 1
+        at += 1
+    return nodes
+
+
+@dataclass
+class Tree:
+    """The nodes of one shard as arrays."""
+
+    routing: np.ndarray
+    radius: np.ndarray
+    parent: np.ndarray
+    norm: np.ndarray
+    child: np.ndarray
+    children: np.ndarray
+    pages: list            # per node: None, or (vectors, squares, distances, ids, first id)
+
+
+def read_tree(frame: pd.DataFrame, dim: int) -> Tree:
+    frame = frame.sort_values("node")
+    pages = []
+    for ids, raw, far in zip(frame["ids"], frame["vectors"], frame["distances"]):
+        if not len(ids):
+            pages.append(None)
             continue
-        reach = np.sqrt(((queries[rows] - page["routing"]) ** 2).sum(1))
-        bound = (qq[rows] + page["norm"] ** 2 - np.maximum(reach - page["radius"], 0.0) ** 2) / 2.0
-        rows, reach = rows[bound >= floor[rows]], reach[bound >= floor[rows]]
-        if not len(rows):
+        vectors = np.frombuffer(raw, np.int64).reshape(-1, dim).astype(float)
+        pages.append((vectors, (vectors * vectors).sum(1), np.frombuffer(far, np.float64), [list(i) for i in ids],
+                      np.array([i[0] for i in ids], np.int64)))
+    column = lambda c: frame[c].to_numpy()
+    return Tree(np.stack([np.frombuffer(r, np.float64) for r in frame["routing"]]), column("radius"), column("parent"),
+                column("norm"), column("child"), column("children"), pages)
+
+
+def _most(qq, norm, low):
+    """The greatest score at a distance of at least ``low``, for vectors of at most ``norm``."""
+    low = np.maximum(low, 0.0)
+    return (qq + norm * norm - low * low) / 2.0
+
+
+def search_one(tree: Tree, query: np.ndarray, mark: float, k: int) -> tuple[list, int]:
+    """(the best k entries as (score, ids), scored entries); entries below ``mark`` may be left out."""
+    qq = float(query @ query)
+    size = qq ** 0.5
+    top, scored = [], 0                   # a heap of (score, -first id, ids): the worst entry first
+    root = float(np.sqrt(((query - tree.routing[0]) ** 2).sum()))
+    waiting = [(-np.inf, 0, root)]        # by the score that a node may reach, greatest first
+    while waiting:
+        promise, at, reach = heapq.heappop(waiting)
+        # Scores are whole: half a unit absorbs rounding.
+        floor = max(mark, top[0][0] if len(top) == k else -np.inf) - 0.5
+        if -promise < floor:
+            break
+        page = tree.pages[at]
+        if page is not None:
+            vectors, squares, distances, ids, first = page
+            low = reach - distances
+            alive = np.flatnonzero((qq + squares - low * low) / 2.0 >= floor)
+            scored += len(alive)
+            score = vectors[alive] @ query
+            for j in np.flatnonzero(score >= floor).tolist():
+                entry = (float(score[j]), -int(first[alive[j]]), ids[alive[j]])
+                if len(top) < k:
+                    heapq.heappush(top, entry)
+                elif entry[:2] > top[0][:2]:
+                    heapq.heapreplace(top, entry)
             continue
-        low = reach[:, None] - page["distances"][None, :]
-        alive = ((qq[rows][:, None] + page["squares"][None, :] - low * low) / 2.0 >= floor[rows][:, None]).any(0)
-        members = np.nonzero(alive)[0]
-        if not len(members):
+        kids = np.arange(tree.child[at], tree.child[at] + tree.children[at])
+        # By the distance to the parent, without a look at the routing objects.
+        kids = kids[_most(qq, tree.norm[kids], np.abs(reach - tree.parent[kids]) - tree.radius[kids]) >= floor]
+        if not len(kids):
             continue
-        score = queries[rows] @ page["vectors"][members].T
-        all_score = np.concatenate([top[rows], score], 1)
-        all_first = np.concatenate([first[rows], np.broadcast_to(page["first"][members], score.shape)], 1)
-        all_who = np.concatenate([who[rows], np.broadcast_to(base + members, score.shape)], 1)
-        order = np.lexsort((all_first, -all_score), axis=1)[:, :k]
-        top[rows], first[rows], who[rows] = (np.take_along_axis(x, order, 1) for x in (all_score, all_first, all_who))
-        entries += page["ids"]
-        base += len(page["ids"])
-    return [[(int(s), entries[w]) for s, w in zip(top[i], who[i]) if w >= 0] for i in range(n)]
-
-
-def _pages(frame: pd.DataFrame, dim: int) -> list[dict]:
-    out = []
-    for r in frame.itertuples():
-        vectors = np.frombuffer(r.vectors, np.int64).reshape(-1, dim).astype(float)
-        out.append({"radius": r.radius, "parent": r.parent, "norm": r.norm, "vectors": vectors,
-                    "routing": np.frombuffer(r.routing, np.float64), "distances": np.frombuffer(r.distances, np.float64),
-                    "squares": (vectors * vectors).sum(1), "ids": [list(i) for i in r.ids],
-                    "first": np.array([i[0] for i in r.ids], np.int64)})
-    return out
+        inner = tree.routing[kids] @ query
+        far = np.sqrt(np.maximum(qq + (tree.routing[kids] ** 2).sum(1) - 2.0 * inner, 0.0))
+        bound = np.minimum(_most(qq, tree.norm[kids], far - tree.radius[kids]), inner + size * tree.radius[kids])
+        for j in np.flatnonzero(bound >= floor).tolist():
+            heapq.heappush(waiting, (-float(bound[j]), int(kids[j]), float(far[j])))
+    return [(int(score), ids) for score, _, ids in sorted(top, key=lambda e: (-e[0], -e[1]))], scored
+
+
+def search_tree(tree: Tree | None, queries: np.ndarray, marks: np.ndarray, k: int) -> tuple[list[list], int]:
+    """(best entries of every query, scored pairs)."""
+    found = [search_one(tree, q, float(m), k) if tree is not None else ([], 0) for q, m in zip(queries, marks)]
+    return [best for best, _ in found], sum(n for _, n in found)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, seed: int = 3) -> DataFrame:
@@ -170,15 +218,18 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, seed:
     def build(key, group):
         pivot, x, ids = pivots[shards[key[0]][0]], _matrix(group["v"].tolist(), dim), [list(map(int, i)) for i in group["ids"]]
         out = []
-        for number, (routing, members, far) in enumerate(build_pages(x, pivot, PAGE, seed)):
-            out.append((key[0], number, far.max(), np.sqrt(((routing - pivot) ** 2).sum()),
-                        np.sqrt((x[members] ** 2).sum(1).max()), routing.tobytes(), [ids[m] for m in members],
-                        x[members].astype(np.int64).tobytes(), far.tobytes()))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _PAGE_SCHEMA.split(", ")])
-
-    pages = cut_lineage(placed.groupBy("shard").applyInPandas(build, _PAGE_SCHEMA))
-    # Of a shard: the greatest distance of an entry to the pivot (through its page) and the greatest norm.
-    spans = pages.groupBy("shard").agg(F.max(F.col("parent") + F.col("radius")).alias("r"), F.max("norm").alias("m")).collect()
+        for n in build_tree(x, pivot, PAGE, FAN, seed):
+            members = n["members"]
+            out.append((key[0], n["node"], n["child"], n["children"], n["radius"], n["parent"], n["norm"],
+                        np.asarray(n["routing"], float).tobytes(), [ids[m] for m in members],
+                        x[members].astype(np.int64).tobytes(), n["distances"].tobytes()))
+        return pd.DataFrame(out, columns=_NODE_NAMES)
+
+    pages = cut_lineage(placed.groupBy("shard").applyInPandas(build, _NODE_SCHEMA))
+    # Of a shard: the greatest distance of an entry to the pivot and the greatest norm, from its root.
+    spans = pages.where("node = 0").select("shard", F.col("radius").alias("r"), F.col("norm").alias("m")).collect()
+    if max(s["m"] for s in spans) ** 2 >= 2.0 ** 53:
+        raise ValueError("scores may be too large for exact integers")
     reach, norm = np.zeros(len(shards)), np.zeros(len(shards))
     for s in spans:
         reach[s["shard"]], norm[s["shard"]] = s["r"], s["m"]
@@ -212,23 +263,24 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, seed:
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.astype(np.int64))], names=["query_id", "v", "mark", "shard"])
 
     def meet(key, queries, group):
-        found, groups = [], _pages(group, dim)
-        best = search_block(groups, pivots[pivot_of[key[0]]], _matrix(queries["v"].tolist(), dim),
-                            queries["mark"].to_numpy(float), k + 1)
+        found = []
+        if not len(queries) or not len(group):
+            return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+        best, _ = search_tree(read_tree(group, dim), _matrix(queries["v"].tolist(), dim), queries["mark"].to_numpy(float), k + 1)
         for q, entries_of in zip(queries["query_id"], best):
             mine = sorted((-s, i) for s, ids in entries_of for i in ids if i != q)[:k]
             found += [(q, i, -s) for s, i in mine]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     def search(asked):
-        """Queries meet the pages of their shard in blocks."""
+        """Queries meet the nodes of their shard in blocks."""
         asked = cut_lineage(asked)
         blocks = asked.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
         blocks = blocks.withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         left = asked.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), "blocks"))
         right = pages.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         return left.select("query_id", "v", "mark", "shard", "block").groupBy("shard", "block").cogroup(
-            right.select(*[c.split()[0] for c in _PAGE_SCHEMA.split(", ")], "block").groupBy("shard", "block")).applyInPandas(
+            right.select(*_NODE_NAMES, "block").groupBy("shard", "block")).applyInPandas(
             meet, "query_id long, vec_id long, score long")
 
     kinds = "query_id long, v array<bigint>, mark double, shard long"

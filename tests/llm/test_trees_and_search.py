@@ -3,6 +3,7 @@ import os
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,6 +55,43 @@ def test_top_k_few_candidates_and_empty(spark):
     assert mtree.top_k(spark.createDataFrame([], EMB), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def as_tree(vectors, page=32, fan=8):
+    nodes = mtree.build_tree(vectors, vectors.mean(0), page, fan, 1)
+    frame = pd.DataFrame([(n["node"], n["child"], n["children"], n["radius"], n["parent"], n["norm"],
+                           np.asarray(n["routing"], float).tobytes(), [[int(m)] for m in n["members"]],
+                           vectors[n["members"]].astype(np.int64).tobytes(), n["distances"].tobytes()) for n in nodes],
+                         columns=["node", "child", "children", "radius", "parent", "norm", "routing", "ids", "vectors", "distances"])
+    return mtree.read_tree(frame, vectors.shape[1]), nodes
+
+
+def test_tree_has_levels_and_prunes_clustered_vectors():
+    """Clustered vectors: a query scores few of them; vectors without structure: nearly all, with the same exact result."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 24)) * 60
+    clustered = np.floor(centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 24)))
+    loose = np.floor(64 * rng.normal(size=(3000, 24)))
+    for vectors, low, high in ((clustered, 0.0, 0.1), (loose, 0.2, 1.0)):
+        tree, nodes = as_tree(vectors)
+        depth = {0: 0}
+        for n in nodes:
+            for c in range(n["child"], n["child"] + n["children"]):
+                depth[c] = depth[n["node"]] + 1
+        assert max(depth.values()) >= 3 and sorted(m for n in nodes for m in n["members"]) == list(range(len(vectors)))
+        queries = vectors[::100]
+        best, scored = mtree.search_tree(tree, queries, np.full(len(queries), -np.inf), 21)
+        assert low <= scored / (len(queries) * len(vectors)) <= high
+        for q, found in zip(queries, best):
+            score = vectors @ q
+            want = sorted(range(len(vectors)), key=lambda i: (-score[i], i))[:21]
+            assert [(s, ids[0]) for s, ids in found] == [(int(score[i]), i) for i in want]
+
+
+def test_scores_beyond_exact_integers_fail(spark):
+    rows = [(i, [float(1 << 24)] * 4, 0, "x", 1) for i in range(3)]
+    with pytest.raises(ValueError, match="too large"):
+        mtree.top_k(spark.createDataFrame(rows, EMB), F.col("vec_id") % 20 == 0)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", "x\\", None, ""]),
                           st.one_of(st.none(), st.text(alphabet="\\<>/s[]INST|im_endSYS \nab", max_size=30)),), max_size=6))
