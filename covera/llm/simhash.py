@@ -12,8 +12,10 @@
    radius 3.
 3. The routing trees are fitted on a bounded sample of points (at most
    ``SAMPLE``, and at most a quarter of them) and route every point to the
-   leaves where its links may be.  A leaf goes on splitting its own points in
-   the same way and compares exactly what is left.  It returns the links as a
+   leaves where its links may be.  A leaf of more than ``MOST`` points is dealt
+   to several tasks, every block of its points against every other.  A task
+   goes on splitting its points in the same way and compares exactly what is
+   left.  It returns the links as a
    forest, at most one row per point, so a group of n near copies does not
    turn into n * n rows.
 4. Connected components come from alternating large-star and small-star
@@ -42,6 +44,8 @@ LOW, HIGH, ALL = 0x00000000FFFFFFFF, 0xFFFFFFFF00000000, 0xFFFFFFFFFFFFFFFF
 #: Points in the sample that fits the routing trees, and points that a leaf should hold.
 SAMPLE, LEAF = 65_536, 1_024
 BLOCK = 32_768
+#: Points of a leaf that meet in one task; larger leaves are dealt out as blocks against blocks.
+MOST = 65_536
 
 
 def simhash(text: str | None, shingle: int = 3) -> int:
@@ -192,7 +196,32 @@ def leaf_links(home: np.ndarray, visit: np.ndarray, mask: int, reach: int, least
     return names[label[rest]], names[rest]
 
 
-def links(points: DataFrame, reach: int = 3, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+def deal(sent: DataFrame, most: int = MOST) -> DataFrame:
+    """(leaf, a, b, _fp, home) of ``sent`` (leaf, _fp, home): the tasks of every leaf, none with more than two blocks.
+
+    A leaf's points at home are cut into blocks of about ``most`` by hash, and
+    so are its visitors.  Task (a, b) has the home blocks a and b, or with b
+    beyond the home blocks the home block a and a block of visitors; so every
+    pair at home and every home point with every visitor meet.  A leaf of one
+    block each is one task.
+    """
+    sizes = sent.groupBy("leaf").agg(F.ceil(F.count_if("home") / most).alias("_homes"),
+                                     F.ceil(F.count_if(~F.col("home")) / most).alias("_visits"))
+    rows = sent.join(sizes, "leaf").where("_homes > 0")
+    small = rows.where("_homes = 1 AND _visits <= 1").select("leaf", F.lit(0).cast("long").alias("a"),
+                                                            F.lit(0).cast("long").alias("b"), "_fp", "home")
+    large = rows.where("_homes > 1 OR _visits > 1").withColumn(
+        "_own", F.pmod(F.xxhash64(F.lit(8), "_fp"), F.when(F.col("home"), F.col("_homes")).otherwise(F.col("_visits"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    task = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    at_home = F.transform(upto(F.col("_homes") + F.col("_visits")), lambda x: F.when(
+        x < F.col("_own"), task(x, F.col("_own"))).otherwise(task(F.col("_own"), x)))
+    visiting = F.transform(upto(F.col("_homes")), lambda x: task(x, F.col("_homes") + F.col("_own")))
+    return small.unionByName(large.select("leaf", F.explode(F.when(F.col("home"), at_home).otherwise(visiting)).alias("_t"), "_fp", "home")
+                             .select("leaf", "_t.a", "_t.b", "_fp", "home"))
+
+
+def links(points: DataFrame, reach: int = 3, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST) -> DataFrame:
     """(a, b): links among the distinct ``_fp`` of ``points`` whose closure is that of all pairs within ``reach``.
 
     ``points`` has one row per fingerprint.  ``reach`` is at most 3: beyond
@@ -225,8 +254,8 @@ def links(points: DataFrame, reach: int = 3, sample: int = SAMPLE, leaf: int = L
         a, b = leaf_links(fps[at_home], fps[~at_home], LOW if key[0] < firsts[1] else HIGH, reach)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    sent = points.select("_fp").mapInPandas(send, "leaf long, _fp long, home boolean")
-    return sent.groupBy("leaf").applyInPandas(meet, "a long, b long")
+    sent = cut_lineage(points.select("_fp").mapInPandas(send, "leaf long, _fp long, home boolean"))
+    return deal(sent, most).groupBy("leaf", "a", "b").applyInPandas(meet, "a long, b long")
 
 
 def star_components(edges: DataFrame) -> DataFrame:
@@ -242,8 +271,7 @@ def star_components(edges: DataFrame) -> DataFrame:
         # Large star: every larger neighbour is linked to the least neighbour.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut_lineage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                            .where("u != v").distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # Small star: all smaller neighbours and the node itself are linked to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
