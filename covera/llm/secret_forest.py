@@ -9,8 +9,8 @@ between vowel and consonant), its coverage by dictionary words, whether it
 stands in a path, address or host name, and the words next to it.  A random
 forest trained on labelled findings gives the probability of a secret.
 
-The dictionary is the ``DICTIONARY`` most frequent words of all documents,
-which bounds its broadcast.  Labelled findings are a table (candidate, left,
+The dictionary are the words that occur at least once in ``DICTIONARY``
+documents on average, counted over all of them.  Labelled findings are a table (candidate, left,
 right, label); :func:`rule_findings` makes one from the documents themselves
 where no reviewed findings exist: a token of a known form and a value that a
 credential's name is assigned are secrets; numbers, ids, paths, addresses,
@@ -34,10 +34,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covera.operators.joins import checked_broadcast
 from covera.session import cut_lineage
 
 LEAST, SIDE, SHORT = 16, 48, 4
-DICTIONARY, TRAIN = 20_000, 20_000
+TRAIN = 20_000
+#: A word is in the dictionary if it occurs at least once in so many documents, on average.
+DICTIONARY = 1_000
 KEY, PLAIN = r"A-Za-z0-9_+/=.\-", r"A-Za-z0-9_+/.\-"
 #: Words that name a credential (not "author", "tokens", "secretary").
 _NAMES = (r"(?:token(?!s\b|iz)|secret(?!ar)|passw(?:or)?d|passphrase|pwd|api[ _-]?key|access[ _-]?key|auth(?!or(?!i[sz]))"
@@ -48,7 +51,7 @@ _ASSIGN = (rf"(?i:{_NAMES})[\w\-]{{0,32}}[\"'`]?[ \t]{{0,4}}(?::=|=>|={{1,3}}|:)
            r"(?:(?i:bearer|basic)[ \t]{1,4})?")
 #: Values of a credential's name, short or without digits as well: quoted, bare, or after the word bearer.
 _NAMED = "|".join([
-    *[rf"(?<={q})(?<={_ASSIGN}{q})[^{q}\r\n]{{{SHORT},256}}+(?={q})" for q in "\"'`"],
+    *[rf"(?<={q})(?<={_ASSIGN}{q})[^{q}\r\n]{{{SHORT},}}+(?={q})" for q in "\"'`"],
     rf"(?<=[:=> \t\"'`])(?<=(?:[:=>]|[cCrR][ \t])[ \t]{{0,4}}[\"'`]?)(?<={_ASSIGN}[\"'`]?)(?!(?i:bearer|basic)[ \t])"
     rf"(?![:=>])[^\s\"'`,;&<>()\[\]{{}}|]{{{SHORT},}}(?<![.!?:])",
     rf"(?<=[ \t])(?<=(?i:bearer)[ \t]{{1,4}})(?=[{KEY}]{{0,256}}[0-9]|[{KEY}]{{{LEAST}}})[{KEY}]{{{SHORT},}}(?<![.])"])
@@ -101,12 +104,16 @@ def scan(docs: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, F.posexplode(each).alias("nth", "c")).select(*key, "nth", "c.*")
 
 
-def frequent_words(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
-    """(word): the most frequent alphabetic words of three or more letters, in lower case."""
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^a-zß-ɏ]+")).alias("word"))
+def frequent_words(docs: DataFrame, every: int = DICTIONARY) -> DataFrame:
+    """(word): the alphabetic words of three or more letters that occur at least once in ``every`` documents on average.
+
+    There are at most ``every`` times as many as a document has words on average, whatever the number of documents.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    words = texts.select(F.explode(F.split(F.lower("text"), r"[^a-zß-ɏ]+")).alias("word"))
     words = words.where((F.length("word") >= 3) & (F.length("word") <= 24))
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return cut_lineage(counts.orderBy(F.desc("n"), "word").limit(most).select("word"))
+    return cut_lineage(counts.where(F.col("n") * every >= texts.count()).select("word"))
 
 
 def _share(count: Column, of: Column) -> Column:
@@ -138,7 +145,7 @@ def describe(findings: DataFrame, words: DataFrame) -> DataFrame:
         one(F.regexp_extract(left, r"(\S+\s+)?\S+\W*$", 0).rlike(HARMLESS)).alias("harmless"),
         F.lower(F.regexp_extract(left, r"([A-Za-zÀ-ɏ]+)[^A-Za-zÀ-ɏ]*$", 1)).alias("_lw"),
         F.lower(F.regexp_extract(right, r"^[^A-Za-zÀ-ɏ]*([A-Za-zÀ-ɏ]+)", 1)).alias("_rw")))
-    known = F.broadcast(words.withColumn("_known", F.lit(1.0)))
+    known = checked_broadcast(words.withColumn("_known", F.lit(1.0)), words.count())
 
     def in_words(df, column, name):
         side = known.select(F.col("word").alias(f"_w_{name}"), F.col("_known").alias(name))
@@ -174,8 +181,8 @@ def rule_findings(findings: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, features: DataFrame, most: int = TRAIN, trees: int = 20, depth: int = 6,
-          seed: int = 13) -> RandomForestClassificationModel | None:
-    """The forest, from at most ``most`` findings of each label; None unless both labels occur in ``labelled``.
+          seed: int = 13, names: list[str] = FEATURES) -> RandomForestClassificationModel | None:
+    """The forest on the features ``names``, from at most ``most`` findings of each label; None unless both labels occur in ``labelled``.
 
     Both labels weigh the same in total, so that few secrets among many other findings still count.
     """
@@ -185,28 +192,35 @@ def train(labelled: DataFrame, features: DataFrame, most: int = TRAIN, trees: in
         return None
     taken = {k: min(totals[k], most) for k in (0.0, 1.0)}
     order = F.xxhash64(F.lit(seed), "candidate", "left", "right")
-    # Bounded rows of each label, least hashes first.
-    first, second = (label.where(F.col("label") == k).withColumn("weight", F.lit(sum(taken.values()) / (2 * n)))
-                     .orderBy(order, "candidate", "left", "right").limit(most) for k, n in taken.items())
+    # Bounded rows of each label, least hashes first: a share of the hashes is taken before the rows are sorted,
+    # so that the one task that cuts the list reads about as many as it keeps.
+    spread = F.pmod(order, F.lit(1 << 30))
+
+    def least(k):
+        some = label.where(F.col("label") == k).withColumn("weight", F.lit(sum(taken.values()) / (2 * taken[k])))
+        share = min(1.0, (most + 8 * most ** 0.5) / totals[k])
+        return some.where(spread < int(share * (1 << 30))).orderBy(spread, "candidate", "left", "right").limit(most)
+
+    first, second = least(0.0), least(1.0)
     rows = features.join(first.unionByName(second), ["candidate", "left", "right"])
     # The limit cuts nothing: it brings the bounded sample into one partition, in the same order in every run.
-    rows = cut_lineage(rows.orderBy(order, "candidate", "left", "right").limit(2 * most).select("label", "weight", *FEATURES))
+    rows = cut_lineage(rows.orderBy(order, "candidate", "left", "right").limit(2 * most).select("label", "weight", *names))
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label",
                                     weightCol="weight")
-    return forest.fit(_vectors(rows).select("label", "weight", "features"))
+    return forest.fit(_vectors(rows, names).select("label", "weight", "features"))
 
 
-def _vectors(rows: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
+def _vectors(rows: DataFrame, names: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=names, outputCol="features").transform(rows)
 
 
-def judge(features: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
+def judge(features: DataFrame, model: RandomForestClassificationModel | None, names: list[str] = FEATURES) -> DataFrame:
     """(candidate, left, right, probability, is_secret)."""
     if model is None:
         return features.select("candidate", "left", "right", F.lit(None).cast("double").alias("probability"),
                                F.lit(False).alias("is_secret"))
     p = vector_to_array("probability")[1]
-    return model.transform(_vectors(features)).select("candidate", "left", "right", p.alias("probability"),
+    return model.transform(_vectors(features, names)).select("candidate", "left", "right", p.alias("probability"),
                                                       (p >= 0.5).alias("is_secret"))
 
 

@@ -48,9 +48,9 @@ def kept_by_hand(docs, marks):
     p = plain_model([t for i, t, _ in docs if i in trusted])
     known, bits, n = {}, {}, {}
     for i, t, _ in docs:
-        codes = kn_quality.trigrams(t).tolist()
+        codes = kn_quality.grams(t).tolist()
         for c in set(codes) - set(known):
-            known[c] = -math.log2(max(p(c >> 7, c & 127), 1e-30))
+            known[c] = round(-math.log2(max(p(c), 1e-30)), 6)
         bits[i], n[i] = sum(known[c] for c in codes), len(codes)
     mean = lambda ids: sum(bits[i] for i in ids) / max(1, sum(n[i] for i in ids))
     of = {}
