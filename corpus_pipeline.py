@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from covera.llm import kn_quality, mixing, secret_forest, simhash, unigram_pieces
 from covera.llm.common import table
-from covera.session import ensure_checkpoint_dir
+from covera.session import ensure_checkpoint_dir, lineage_scope, release
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to `documents` of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        # A stage's own tables go when its output is written, and so does the output it has read.
+        with lineage_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            release(spark, [before])
+        docs, before = spark.read.parquet(path), path
     return docs
