@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covera.functions.columns import is_zero
-from covera.operators.joins import lookup_join
-from covera.operators.quantiles import exact_quantiles
+from covera.operators.joins import checked_broadcast, lookup_join
+from covera.operators.quantiles import exact_quantiles, sketch_quantiles
+from covera.schema import NUMERIC_DEFAULT_COLS
+from covera.session import cut_lineage
 
 SEG = "is_zero"
 TYPE_CAPPED = ["SEATS_NUM", "CCM_TON"]
@@ -28,7 +30,7 @@ def with_segment(df: DataFrame) -> DataFrame:
 
 
 def learn_caps(k1: DataFrame, q: float = 0.99, caps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """E5 + E6 in one stacked exact-quantile pass.
+    """E5 + E6 in one stacked exact-quantile pass (``caps`` may come from a shared one).
 
     Returns (caps_scalar(is_zero, col, cap), caps_by_type(is_zero, TYPE_VEHICLE,
     SEATS_NUM_cap, CCM_TON_cap)).
@@ -42,8 +44,12 @@ def learn_caps(k1: DataFrame, q: float = 0.99, caps: DataFrame | None = None) ->
     stacked = seg.select(SEG, F.explode(F.array(*items)).alias("s")).select(SEG, "s.*")
     if caps is None:  # (is_zero, col, vt, cap) may come from a shared quantile pass
         caps = exact_quantiles(stacked, "v", [SEG, "col", "vt"], [q], "cap").drop("q")
+    return cap_tables(caps, seg.where(F.col("TYPE_VEHICLE").isNotNull()).select(SEG, "TYPE_VEHICLE").distinct())
+
+
+def cap_tables(caps: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The caps (is_zero, col, vt, cap) as a scalar table and one by the ``types`` of each segment."""
     scalar = caps.where(F.col("col").isin("PREMIUM", "INSURED_VALUE")).select(SEG, "col", "cap")
-    types = seg.where(F.col("TYPE_VEHICLE").isNotNull()).select(SEG, "TYPE_VEHICLE").distinct()
     by_type = (caps.where(F.col("col").isin(*TYPE_CAPPED))
                .groupBy(SEG, F.col("vt").alias("TYPE_VEHICLE"))
                .pivot("col", TYPE_CAPPED).agg(F.first("cap")))
@@ -112,68 +118,63 @@ def cap_metrics(df: DataFrame, scalar: dict, by_type: DataFrame, by_type_rows: i
     ).select("segment", "s.metric", "s.value")
 
 
-def resolve_merges(merges: list[tuple]) -> dict:
-    """Final value of every replaced category, per (segment, column).
+MERGE_SCHEMA = "is_zero boolean, col string, seq int, old string, new string"
+
+
+def as_table(spark, merges) -> DataFrame:
+    """Merges (is_zero, col, seq, old, new) as a table; a list holds hand-set ones."""
+    if isinstance(merges, DataFrame):
+        return merges
+    return spark.createDataFrame([(bool(z), c, int(s), str(o), str(n)) for z, c, s, o, n in merges], MERGE_SCHEMA)
+
+
+def resolve_merges(merges: DataFrame) -> DataFrame:
+    """(is_zero, col, old, final): what every replaced category becomes in the end.
 
     Replacements run in seq order and see earlier ones, so A -> B then B -> C
-    sends A to C.  Resolved on the merge list itself (pairs of categories),
-    which keeps the column expression one flat CASE whatever the chain length.
+    sends A to C.  A value meets the steps as one array per segment and column
+    (pairs of that column's categories, not rows of data), folded by ``aggregate``.
     """
-    chains: dict = {}
-    for seg_flag, col, seq, old, new in merges:
-        chains.setdefault((bool(seg_flag), col), []).append((seq, str(old), str(new)))
-    resolved = {}
-    for key, steps in chains.items():
-        steps.sort()
-        values = {v for _, o, n in steps for v in (o, n)}
-        final = {}
-        for v in values:
-            cur = v
-            for _, o, n in steps:
-                if cur == o:
-                    cur = n
-            if cur != v:
-                final[v] = cur
-        resolved[key] = final
-    return resolved
-
-
-def merge_expressions(df: DataFrame, merges: list[tuple]) -> dict:
-    """Merges as (is_zero, column, seq, old, new) -> one CASE per column."""
-    types = dict(df.dtypes)
-    exprs = {}
-    for (seg_flag, col), final in sorted(resolve_merges(merges).items()):
-        if col not in types or not final:
-            continue
-        cur = exprs.get(col)
-        text = F.col(col).cast("string")
-        for old, new in sorted(final.items()):
-            hit = (F.col(SEG) == F.lit(seg_flag)) & (text == F.lit(old))
-            cur = (cur if cur is not None else F).when(hit, F.lit(new).cast(types[col]))
-        exprs[col] = cur
-    return {c: e.otherwise(F.col(c)) for c, e in exprs.items()}
-
-
-def apply_merges(df: DataFrame, merges: list[tuple]) -> DataFrame:
-    seg = with_segment(df)
-    return seg.withColumns(merge_expressions(seg, merges))
+    key = [SEG, "col"]
+    steps = merges.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("seq").cast("int").alias("seq"), F.col("old").cast("string").alias("old"),
+        F.col("new").cast("string").alias("new")))).alias("_steps"))
+    values = merges.select(*key, F.col("old").cast("string").alias("old")).distinct()
+    final = F.aggregate("_steps", F.col("old"), lambda cur, s: F.when(cur == s["old"], s["new"]).otherwise(cur))
+    return values.join(steps, key).select(*key, "old", final.alias("final")).where("final != old")
 
 
-def outlier_stage(df: DataFrame, scalar: dict, by_type: DataFrame, merges: list[tuple],
+def apply_merges(df: DataFrame, merges) -> DataFrame:
+    """Every column's merges as one join with its resolved categories; the plan does not grow with them."""
+    seg = with_segment(df)
+    table = as_table(df.sparkSession, merges)
+    cols = [r["col"] for r in table.select("col").distinct().collect() if r["col"] in seg.columns]
+    if not cols:
+        return seg
+    resolved = cut_lineage(resolve_merges(table))
+    sizes = {r["col"]: r["count"] for r in resolved.groupBy("col").count().collect()}
+    out, types = seg, dict(seg.dtypes)
+    for c in sorted(cols):
+        side = resolved.where(F.col("col") == c).select(F.col(SEG).alias("_seg"), F.col("old").alias("_old"),
+                                                       F.col("final").alias("_final"))
+        side = checked_broadcast(side, sizes.get(c, 0))
+        out = out.join(side, (out[SEG] == side["_seg"]) & (out[c].cast("string") == side["_old"]), "left").select(*[
+            F.coalesce(F.col("_final").cast(types[c]), F.col(c)).alias(c) if n == c else F.col(n) for n in out.columns])
+    return out
+
+
+def outlier_stage(df: DataFrame, scalar: dict, by_type: DataFrame, merges,
                   by_type_rows: int | None = None, inclusive: bool = False) -> DataFrame:
     """K4: caps first (on unmerged types), then merges."""
     return apply_merges(apply_caps(df, scalar, by_type, by_type_rows, inclusive), merges)
 
 
-def fit_quantiles(k1: DataFrame, cap_q: float = 0.99) -> dict:
-    """Every quantile the fit needs, in one stacked exact pass.
+#: What one quantile is asked of: the use it has, and up to three names.
+QUANTILE_KEY = ["kind", "a", "b", "c"]
 
-    Impute medians (PROD_YEAR per type and make), default medians (numeric
-    columns) and caps (per segment, column and type) share one value/count
-    table, one materialisation and one ranking scan.  Returns the three
-    tables in the shapes learn_impute_table, learn_defaults and learn_caps take.
-    """
-    from covera.schema import NUMERIC_DEFAULT_COLS
+
+def quantile_items(k1: DataFrame) -> DataFrame:
+    """(kind, a, b, c, v): the values of every quantile the fit needs, stacked."""
     seg = with_segment(k1)
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(None).cast("string"))
     items = [F.struct(F.lit("impute").alias("kind"), s("TYPE_VEHICLE").alias("a"), s("MAKE").alias("b"),
@@ -187,9 +188,25 @@ def fit_quantiles(k1: DataFrame, cap_q: float = 0.99) -> dict:
                        F.when(~F.col(SEG), F.col("INSURED_VALUE")).cast("double").alias("v"))]
     items += [F.struct(F.lit("cap").alias("kind"), F.col(SEG).cast("string").alias("a"), F.lit(c).alias("b"),
                        F.col("TYPE_VEHICLE").alias("c"), F.col(c).cast("double").alias("v")) for c in TYPE_CAPPED]
-    stacked = seg.select(F.explode(F.array(*items)).alias("x")).select("x.*")
-    from covera.session import cut_lineage
-    qs = cut_lineage(exact_quantiles(stacked, "v", ["kind", "a", "b", "c"], [0.5, cap_q], "value"))
+    return seg.select(F.explode(F.array(*items)).alias("x")).select("x.*")
+
+
+def fit_quantiles(k1: DataFrame, cap_q: float = 0.99, sketch_k: int | None = None) -> dict:
+    """Every quantile the fit needs, in one stacked pass: exact, or by sketches of size ``sketch_k``.
+
+    Impute medians (PROD_YEAR per type and make), default medians (numeric
+    columns) and caps (per segment, column and type) share one value/count
+    table, one materialisation and one ranking scan.  Returns the three
+    tables in the shapes learn_impute_table, learn_defaults and learn_caps take.
+    """
+    stacked, asked = quantile_items(k1), [0.5, cap_q]
+    qs = (exact_quantiles(stacked, "v", QUANTILE_KEY, asked, "value") if sketch_k is None else
+          sketch_quantiles(stacked, "v", QUANTILE_KEY, asked, "value", sketch_k))
+    return quantile_tables(cut_lineage(qs), cap_q)
+
+
+def quantile_tables(qs: DataFrame, cap_q: float) -> dict:
+    """The quantiles (kind, a, b, c, q, value) by their use."""
     impute_med = qs.where((F.col("kind") == "impute") & (F.col("q") == 0.5)).select(
         F.col("a").alias("TYPE_VEHICLE"), F.col("b").alias("MAKE"), F.col("value").alias("PROD_YEAR_fill"))
     default_med = qs.where((F.col("kind") == "default") & (F.col("q") == 0.5)).select(

@@ -17,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from covera.operators.joins import checked_broadcast
 from covera.operators.outliers import SEG, with_segment
+from covera.session import cut_lineage
 
 # The item columns, in the order items are listed.
 ITEM_COLS = ["USAGE", "TYPE_VEHICLE", "MAKE", "SEX", "INSR_TYPE"]
@@ -45,7 +47,11 @@ def transactions(df: DataFrame) -> DataFrame:
 
 def frequent_itemsets(df: DataFrame, min_support: float = 0.1) -> DataFrame:
     """(is_zero, mask, five values (null = column not in set), cnt, support, size)."""
-    baskets = transactions(df)
+    return itemsets_of(transactions(df), min_support)
+
+
+def itemsets_of(baskets: DataFrame, min_support: float) -> DataFrame:
+    """J2 from the distinct baskets with their counts."""
     n_seg = baskets.groupBy(SEG).agg(F.sum("cnt").alias("_n"))
     expanded = baskets.select(SEG, "cnt", F.explode(F.array(*[
         F.struct(F.lit(m).alias("mask"), *[
@@ -117,58 +123,150 @@ def perfect_rules(rules: DataFrame) -> DataFrame:
     return rules.where(F.col("confidence") == 1.0)
 
 
-def rules_list(rules: DataFrame) -> list[tuple]:
-    """Rules as (is_zero, seq, antecedents dict, consequent dict, confidence).
+RULE_SCHEMA = "is_zero boolean, seq int, antecedents map<string,string>, consequent map<string,string>, confidence double"
+
+
+def rules_frame(spark, rules: list[tuple]) -> DataFrame:
+    """Hand-set rules (is_zero, seq, antecedents, consequent, confidence) as a rule table."""
+    text = lambda items: {c: str(v) for c, v in items.items()}
+    return spark.createDataFrame([(bool(z), int(s), text(a), text(c), float(p)) for z, s, a, c, p in rules], RULE_SCHEMA)
 
-    Rule tables are short (bounded by the frequent itemsets); safe to collect.
+
+def _programs(rules: DataFrame, min_confidence: float, cols: list[str]) -> DataFrame:
+    """One row per segment: its rules in order, as an array.
+
+    Q8: a multi-item consequent uses its first item in column order.  The list
+    is bounded by the frequent itemsets (at most 1 / support of every choice of
+    columns), not by the rows.
     """
-    rows = rules.select(SEG, "seq", "antecedents", "consequent", "confidence").collect()
-    return sorted([(r[SEG], r["seq"], dict(r["antecedents"]), dict(r["consequent"]), r["confidence"]) for r in rows],
-                  key=lambda r: (r[0], r[1]))
+    places = F.array(*[F.struct(F.lit(i).alias("at"), F.element_at("consequent", F.lit(c)).alias("value"))
+                       for i, c in enumerate(cols)])
+    target = F.get(F.filter(places, lambda x: x["value"].isNotNull()), F.lit(0))
+    step = F.struct(F.col("seq").cast("int").alias("seq"), F.array(*[F.element_at("antecedents", F.lit(c)) for c in cols]).alias("when"),
+                    target["at"].alias("at"), target["value"].alias("value"),
+                    (F.col("confidence") >= F.lit(min_confidence)).alias("corrects"))
+    return (rules.withColumn("_step", step).where(F.col("_step.at").isNotNull())
+            .groupBy(F.col(SEG).alias("_rule_seg")).agg(F.sort_array(F.collect_list("_step")).alias("_rules")))
+
 
+def _fold(values, rules, width: int):
+    """The values after all rules, and the rules that were missed: one pass over the array of rules."""
+    empty = F.array().cast("array<int>")
 
-def _first_consequent(consequent: dict) -> tuple[str, str]:
-    """Q8: a multi-item consequent uses its first item in column order."""
-    for c in ITEM_COLS + sorted(consequent):
-        if c in consequent:
-            return c, consequent[c]
-    raise ValueError("empty consequent")
+    def step(state, rule):
+        match = F.lit(True)
+        for i in range(width):
+            wanted = F.get(rule["when"], F.lit(i))
+            match = match & (wanted.isNull() | F.coalesce(F.get(state["v"], F.lit(i)) == wanted, F.lit(False)))
+        miss = match & ~F.get(state["v"], rule["at"]).eqNullSafe(rule["value"])
+        put = F.transform(state["v"], lambda x, i: F.when(i == rule["at"], rule["value"]).otherwise(x))
+        return F.struct(F.when(miss & rule["corrects"], put).otherwise(state["v"]).alias("v"),
+                        F.when(miss, F.concat(state["missed"], F.array(rule["seq"]))).otherwise(state["missed"]).alias("missed"))
 
+    start = F.struct(values.alias("v"), empty.alias("missed"))
+    return F.aggregate(F.coalesce(rules, F.array().cast("array<struct<seq:int,when:array<string>,at:int,value:string,corrects:boolean>>")),
+                       start, step)
 
-def rule_stage(df: DataFrame, rules: list[tuple], min_confidence: float = 0.9975,
-               keep_flags: bool = False) -> DataFrame:
-    """J5 + J6 (K5): match and miss per rule; correct the misses of confident rules.
 
-    Rules run in sequence (each sees the corrections of the ones before) and
-    compare values as text on both sides (Q7).  A null consequent cell counts
-    as a miss.  With ``keep_flags`` a boolean ``_miss_<segment>_<seq>`` column
-    per rule is kept for counting.
+def folded_baskets(df: DataFrame, rules: DataFrame, min_confidence: float, cols: list[str] = ITEM_COLS) -> DataFrame:
+    """(is_zero, given, cnt, v, missed): every distinct basket, what the rules make of it, and the rules it misses."""
+    texts = F.array(*[F.col(c).cast("string") for c in cols])
+    baskets = with_segment(df).groupBy(SEG, texts.alias("given")).agg(F.count(F.lit(1)).alias("cnt"))
+    # At most one row per segment.
+    programs = F.broadcast(_programs(rules, min_confidence, cols))
+    rows = baskets.join(programs, baskets[SEG] == programs["_rule_seg"], "left")
+    return rows.select(SEG, "given", "cnt", _fold(F.col("given"), F.col("_rules"), len(cols)).alias("_f")).select(
+        SEG, "given", "cnt", "_f.v", "_f.missed")
+
+
+def as_table(spark, rules) -> DataFrame:
+    return rules if isinstance(rules, DataFrame) else rules_frame(spark, rules)
+
+
+def rule_stage(df: DataFrame, rules, min_confidence: float = 0.9975, cols: list[str] = ITEM_COLS) -> DataFrame:
+    """J5 + J6 (K5): correct the misses of confident rules.
+
+    ``rules`` is a rule table (or a list of hand-set rules).  Rules run in
+    sequence (each sees the corrections of the ones before) and compare values
+    as text on both sides (Q7); a null consequent cell counts as a miss.  They
+    run over the distinct baskets; rows of a changed basket take its values by
+    a join.  Neither the plan nor its columns grow with the rules.
     """
     out = with_segment(df)
+    table = as_table(df.sparkSession, rules)
+    if table.isEmpty():
+        return out
+    # Read twice: for the baskets, and for the rows.
+    out = cut_lineage(out)
     types = dict(out.dtypes)
-    flags = []
-    for seg_flag, seq, ante, cons, conf in rules:
-        match = F.col(SEG) == F.lit(bool(seg_flag))
-        for c, v in ante.items():
-            match = match & F.coalesce(F.col(c).cast("string") == F.lit(str(v)), F.lit(False))
-        ccol, cval = _first_consequent(cons)
-        miss = match & ~F.col(ccol).cast("string").eqNullSafe(F.lit(str(cval)))
-        name = f"_miss_{'INSR_ZERO' if seg_flag else 'ELSE'}_{seq}"
-        out = out.withColumn(name, miss)
-        flags.append(name)
-        if conf >= min_confidence:
-            out = out.withColumn(ccol, F.when(F.col(name), F.lit(str(cval)).cast(types[ccol])).otherwise(F.col(ccol)))
-    return out if keep_flags else out.drop(*flags)
-
-
-def rule_misses(df: DataFrame, rules: list[tuple], min_confidence: float = 0.9975) -> DataFrame:
-    """J5 counts: (segment, seq, misses) for every rule, in one aggregate."""
-    flagged = rule_stage(df, rules, min_confidence, keep_flags=True)
-    names = [c for c in flagged.columns if c.startswith("_miss_")]
-    if not names:
-        return df.sparkSession.createDataFrame([], "segment string, seq int, misses long")
-    counts = flagged.agg(*[F.count_if(F.col(n)).alias(n) for n in names])
-    return counts.select(F.explode(F.array(*[
-        F.struct(F.lit(n.split("_")[2] if "INSR_ZERO" not in n else "INSR_ZERO").alias("segment"),
-                 F.lit(int(n.rsplit("_", 1)[1])).alias("seq"), F.col(n).cast("long").alias("misses"))
-        for n in names])).alias("s")).select("s.*")
+    changed = cut_lineage(folded_baskets(out, table, min_confidence, cols).where("v != given").select(
+        F.col(SEG).alias("_seg"), F.col("given").alias("_given"), F.col("v").alias("_v")))
+    changed = checked_broadcast(changed, changed.count())
+    key = F.array(*[F.col(c).cast("string") for c in cols])
+    joined = out.withColumn("_key", key).join(changed, (F.col(SEG) == F.col("_seg")) & (F.col("_key") == F.col("_given")), "left")
+
+    def value(i, c):
+        new = F.get(F.col("_v"), F.lit(i))
+        return F.when(~new.eqNullSafe(F.get(F.col("_given"), F.lit(i))), new.cast(types[c])).otherwise(F.col(c)).alias(c)
+
+    at = {c: i for i, c in enumerate(cols)}
+    return joined.select(*[value(at[c], c) if c in at else F.col(c) for c in out.columns])
+
+
+def rule_misses(df: DataFrame, rules, min_confidence: float = 0.9975, cols: list[str] = ITEM_COLS) -> DataFrame:
+    """J5 counts: (segment, seq, misses) for every rule."""
+    table = as_table(df.sparkSession, rules)
+    missed = (folded_baskets(df, table, min_confidence, cols).select(SEG, "cnt", F.explode("missed").alias("seq"))
+              .groupBy(F.col(SEG).alias("_seg"), F.col("seq").alias("_seq")).agg(F.sum("cnt").alias("_n")))
+    every = table.select(SEG, F.col("seq").cast("int").alias("seq"))
+    joined = every.join(missed, (F.col(SEG) == F.col("_seg")) & (F.col("seq") == F.col("_seq")), "left")
+    return joined.select(F.when(F.col(SEG), "INSR_ZERO").otherwise("ELSE").alias("segment"), "seq",
+                         F.coalesce("_n", F.lit(0)).cast("long").alias("misses"))
+
+
+# --- Itemsets over any columns -------------------------------------------------------------------
+
+def wide_baskets(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(is_zero, items): every row's items ``column=value``, sorted; a null gives none."""
+    items = F.array_compact(F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in cols]))
+    return with_segment(df).select(SEG, F.array_sort(items).alias("items"))
+
+
+def wide_itemsets(df: DataFrame, cols: list[str], min_support: float) -> DataFrame:
+    """J2 for wide data: (is_zero, items, cnt, support) of all frequent itemsets over any columns.
+
+    The five columns of :func:`frequent_itemsets` have 31 choices, which one
+    expansion counts; over many columns only what is frequent may be extended.
+    MLlib's FP-growth does that on prefix trees, dealt out by item, one run per
+    segment.
+    """
+    from pyspark.ml.fpm import FPGrowth
+    baskets = cut_lineage(wide_baskets(df, cols))
+    sizes = baskets.groupBy(SEG).agg(F.count(F.lit(1)).alias("n")).collect()
+    out = None
+    for r in sorted(sizes, key=lambda r: r[SEG]):
+        model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets.where(F.col(SEG) == F.lit(r[SEG])))
+        found = model.freqItemsets.select(F.lit(r[SEG]).alias(SEG), F.array_sort("items").alias("items"),
+                                          F.col("freq").alias("cnt"), (F.col("freq") / F.lit(r["n"])).alias("support"))
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return df.sparkSession.createDataFrame([], f"{SEG} boolean, items array<string>, cnt long, support double")
+    return cut_lineage(out)
+
+
+def wide_rules(itemsets: DataFrame, min_confidence: float) -> DataFrame:
+    """J3 + J4 for :func:`wide_itemsets`: every split of an itemset, consequents of several items included."""
+    # Bit i of the mask sends item i to the antecedent; neither side is empty.
+    splits = itemsets.where(F.size("items") >= 2).withColumn(
+        "_mask", F.explode(F.expr("sequence(1L, shiftleft(1L, size(items)) - 2)")))
+    part = lambda bit: F.expr(f"filter(items, (x, i) -> getbit(_mask, i) = {bit})")
+    splits = splits.select(SEG, part(1).alias("antecedents"), part(0).alias("consequent"), "cnt", "support")
+    side = lambda name: itemsets.select(SEG, F.col("items").alias(name), F.col("cnt").alias(f"_{name}_cnt"),
+                                        F.col("support").alias(f"_{name}_support"))
+    # Every subset of a frequent itemset is frequent, so both sides are found.
+    joined = splits.join(side("antecedents"), [SEG, "antecedents"]).join(side("consequent"), [SEG, "consequent"])
+    confidence = F.col("cnt") / F.col("_antecedents_cnt")
+    return joined.withColumn("confidence", confidence).where(F.col("confidence") >= F.lit(min_confidence)).select(
+        SEG, "antecedents", "consequent", F.col("_antecedents_support").alias("antecedent_support"),
+        F.col("_consequent_support").alias("consequent_support"), "support", "confidence",
+        (F.col("confidence") / F.col("_consequent_support")).alias("lift"))
