@@ -1,20 +1,25 @@
 """Policy sources and sinks: A1-A5, A7, A9.
 
 Batches are read by column *name* (a CSV's column order does not matter),
-each file by its own header, typed with try_cast (a junk cell becomes null;
-:func:`cast_failures` counts them), and numbered in file order (``_row_id``) so that every later sort has a
-deterministic last tie-breaker.  Stores are parquet; every overwrite goes to
+each file by its own header, its first line; one scan serves all files of one
+header.  Cells are typed with try_cast (a junk cell becomes null;
+:func:`cast_failures` counts them) and rows numbered in file order
+(``_row_id``), so that every later sort has a deterministic last tie-breaker.  Stores are parquet; every overwrite goes to
 a new version folder, so no job ever reads and overwrites the same path.
 """
 
 from __future__ import annotations
 
+import csv
 import time
 import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from covera.operators.joins import checked_broadcast
 from covera.schema import CORE_TYPES, ROW_ID
 from covera.session import cut_lineage
 
@@ -26,50 +31,88 @@ def type_policies(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).try_cast(t) for c, t in CORE_TYPES.items() if c in df.columns})
 
 
-#: Cells that a raw CSV line may have; files with more columns fail the width check.
-MAX_COLUMNS = 64
-RAW_SCHEMA = ", ".join(f"_c{i} string" for i in range(MAX_COLUMNS + 1))
+def file_heads(lines: DataFrame) -> DataFrame:
+    """(file, head): the first line with any text of every file of ``lines`` (:func:`text_lines`).
+
+    Only the first block of a file is looked at.
+    """
+    first = lines.where((F.col("_block") == 0) & (F.trim("value") != ""))
+    return first.groupBy(F.col("_file").alias("file")).agg(F.min_by("value", "_at").alias("head"))
+
+
+def text_lines(spark: SparkSession, path) -> DataFrame:
+    """Every line of the files, with its file, the block it is read in and its place in the scan."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"),
+                                        F.col("_metadata.file_block_start").alias("_block"),
+                                        F.monotonically_increasing_id().alias("_at"))
 
 
-def by_header(raw: DataFrame, file_col: str = "_file") -> DataFrame:
-    """Cells of raw lines (``_c0``, ``_c1`` ..., and the file they are from) by the names of their file's header.
+def header_names(head: str, file: str) -> list[str]:
+    names = [n.strip() for n in next(csv.reader([head.lstrip("\ufeff")]))]
+    if "OBJECT_ID" not in names:
+        raise ValueError(f"{file} is without header")
+    if len({n for n in names if n}) < len(names):
+        raise ValueError(f"{file} has columns without a name of their own")
+    return names
 
-    A header is a line with the cell OBJECT_ID.  Every file has its own, so
-    column order and extra columns may differ from file to file.  A column
-    that a file lacks is null; a line of a file without header, or of more
-    than MAX_COLUMNS cells, fails the job.
+
+def scan_csv(spark: SparkSession, heads: list[tuple[str, str]]) -> DataFrame:
+    """The rows of CSV files, given as (file, head), by the names of their headers; all cells are text.
+
+    A header is the first line of its file, whatever any other line holds.
+    Files with the same header are one scan, so there are as many scans as
+    headers.  A column that a file lacks is null, and so are the last cells of
+    a short line; a line with more cells than its header fails the job.
     """
-    spark = raw.sparkSession
-    cells = F.array(*[F.trim(F.col(f"_c{i}")) for i in range(MAX_COLUMNS + 1)])
-    lines = raw.select("*", cells.alias("_cells"))
-    is_header = F.array_contains(F.col("_cells"), "OBJECT_ID")
-    # One row per file.
-    heads = lines.where(is_header).groupBy(F.col(file_col).alias("_head_file")).agg(F.max("_cells").alias("_names"))
-    names = sorted({n for r in heads.select(F.explode(F.array_distinct("_names")).alias("n")).distinct().collect()
-                    if (n := r["n"])})
-    if not names:
-        return spark.createDataFrame([], "OBJECT_ID string")
-    rows = lines.where(~F.coalesce(is_header, F.lit(False))).join(heads, F.col(file_col) == F.col("_head_file"), "left")
-    sound = F.col("_names").isNotNull() & F.col(f"_c{MAX_COLUMNS}").isNull()
-    cell = lambda n: F.get("_cells", F.array_position("_names", n).cast("int") - 1)
-    checked = rows.where(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(
-        F.lit("line without header or with too many cells in "), F.col(file_col))).cast("boolean")))
-    rest = [c for c in raw.columns if not c.startswith("_c") and c != file_col]
-    return checked.select(*rest, *[F.when(F.array_contains("_names", n), F.nullif(cell(n), F.lit(""))).alias(n) for n in names])
-
-
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line of the CSV files as raw cells, with its file and a file-order row id."""
-    return (spark.read.option("header", False).schema(RAW_SCHEMA).csv(path)
-            .withColumn("_file", F.col("_metadata.file_path")).withColumn(ROW_ID, F.monotonically_increasing_id()))
-
-
-def read_policies_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A1: header CSVs -> typed policy rows by name, with a file-order row id.
-
-    The rows are written once: row ids of a scan would not be the same in a later scan.
+    groups: dict = {}
+    for file, head in sorted(heads):
+        groups.setdefault(tuple(header_names(head, file)), []).append(unquote(file))
+    out = None
+    for names, files in groups.items():
+        more = "_more"
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, more)])
+        rows = (spark.read.schema(schema).csv(files, header=True, enforceSchema=True, ignoreLeadingWhiteSpace=True,
+                                              ignoreTrailingWhiteSpace=True)
+                .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+                .withColumn("_at", F.monotonically_increasing_id()))
+        sound = F.when(F.col(more).isNull(), F.lit(True)).otherwise(F.raise_error(F.concat(
+            F.lit("a line with more cells than its header in "), F.col("_file"))).cast("boolean"))
+        rows = rows.where(sound).select("_file", "_block", "_at", *[F.nullif(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def number_rows(rows: DataFrame) -> DataFrame:
+    """``_row_id`` from 0 in the order of file name and line, for written ``rows`` of :func:`scan_csv`.
+
+    A block of a file is read by one task, in order; one row per block tells
+    how many rows come before it.
     """
-    return type_policies(cut_lineage(by_header(raw_lines(spark, path))))
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offset = cut_lineage(blocks.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), "_first",
+                                       F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    side = checked_broadcast(offset, offset.count())
+    at = F.col("_before") + F.col("_at") - F.col("_first")
+    joined = rows.join(side, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return joined.withColumn(ROW_ID, at).drop("_file", "_block", "_at", "_f", "_b", "_first", "_before")
+
+
+def read_files(spark: SparkSession, heads: list[tuple[str, str]]) -> DataFrame:
+    """Text cells of the files by name, numbered in file order; written once, so that the numbers stay."""
+    if not heads:
+        return spark.createDataFrame([], f"OBJECT_ID string, {ROW_ID} long")
+    return number_rows(cut_lineage(scan_csv(spark, heads)))
+
+
+def read_csv_text(spark: SparkSession, path) -> DataFrame:
+    """Header CSVs as text cells by name, with a file-order row id."""
+    return read_files(spark, [tuple(r) for r in file_heads(text_lines(spark, path)).collect()])
+
+
+def read_policies_csv(spark: SparkSession, path) -> DataFrame:
+    """A1: header CSVs -> typed policy rows by name, with a file-order row id."""
+    return type_policies(read_csv_text(spark, path))
 
 
 def cast_failures(raw: DataFrame) -> DataFrame:

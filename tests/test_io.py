@@ -56,7 +56,7 @@ def test_files_of_different_column_order(spark, tmp_path):
     assert rows[3]["EFFECTIVE_YR"] == "11" and rows[1]["EFFECTIVE_YR"] is None and rows[3]["CLAIM_PAID"] == "7"
     assert rows[4]["CCM_TON"] is None and rows[4]["MAKE"] is None and rows[3]["TYPE_VEHICLE"] == "Truck"
     assert len({r["_row_id"] for r in rows.values()}) == 4
-    failures = policy_io.cast_failures(policy_io.by_header(policy_io.raw_lines(spark, str(tmp_path))))
+    failures = policy_io.cast_failures(policy_io.read_csv_text(spark, str(tmp_path)))
     assert {r["col"]: r["value"] for r in failures.collect() if r["value"]} == {"CCM_TON": 1}
 
 
@@ -65,3 +65,52 @@ def test_a_file_without_header_fails(spark, tmp_path):
     (tmp_path / "b.csv").write_text("1,2,3\n")
     with pytest.raises(Exception, match="without header"):
         policy_io.read_policies_csv(spark, str(tmp_path)).collect()
+
+
+def test_cells_that_look_like_a_header_are_data(spark, tmp_path):
+    """A make OBJECT_ID, a row equal to the header's names, a header that sorts before and after the rows."""
+    write_csv(tmp_path / "a b.csv", NAMES, [policy(1, MAKE="OBJECT_ID"), policy(2, USAGE="OBJECT_ID", MAKE="zzz")])
+    write_csv(tmp_path / "c.csv", [*NAMES, "aaa"], [policy(3, aaa="OBJECT_ID"), policy(4, MAKE="a, quoted".join('""'))])
+    rows = {r["OBJECT_ID"]: r for r in policy_io.read_policies_csv(spark, str(tmp_path)).collect()}
+    assert set(rows) == {1, 2, 3, 4}
+    assert rows[1]["MAKE"] == rows[2]["USAGE"] == rows[3]["aaa"] == "OBJECT_ID" and rows[4]["MAKE"] == "a, quoted"
+    write_csv(tmp_path / "c.csv", NAMES, [dict(zip(NAMES, NAMES)), policy(5)])
+    rows = policy_io.read_policies_csv(spark, str(tmp_path / "c.csv")).orderBy("_row_id").collect()
+    assert [(r["OBJECT_ID"], r["MAKE"]) for r in rows] == [(None, "MAKE"), (5, "vw")]
+
+
+def test_row_ids_follow_files_and_lines(spark, tmp_path):
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for f, n in (("a.csv", 30), ("b.csv", 400), ("c.csv", 1), ("d.csv", 90)):
+            names = NAMES if f < "c" else list(reversed(NAMES))
+            write_csv(tmp_path / f, names, [policy(i, MAKE=f) for i in range(n)])
+        (tmp_path / "e.csv").write_text("")
+        df = policy_io.read_policies_csv(spark, str(tmp_path))
+        rows = df.orderBy("_row_id").select("_row_id", "MAKE", "OBJECT_ID").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["_row_id"] for r in rows] == list(range(521))
+    assert [(r["MAKE"], r["OBJECT_ID"]) for r in rows] == [(f, i) for f, n in (("a.csv", 30), ("b.csv", 400), ("c.csv", 1), ("d.csv", 90))
+                                                           for i in range(n)]
+
+
+def test_one_scan_per_header_and_wide_files(spark, tmp_path):
+    wide = [*NAMES, *(f"x{i}" for i in range(200))]
+    for i in range(6):
+        write_csv(tmp_path / f"{i}.csv", wide if i % 2 else NAMES, [policy(i)])
+    heads = [tuple(r) for r in policy_io.file_heads(policy_io.text_lines(spark, str(tmp_path))).collect()]
+    scan = policy_io.scan_csv(spark, heads)
+    assert scan._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+    assert scan.count() == 6 and "x199" in scan.columns
+
+
+def test_a_line_longer_than_its_header_fails(spark, tmp_path):
+    write_csv(tmp_path / "a.csv", NAMES, [policy(1), policy(2)])
+    with open(tmp_path / "a.csv", "a") as f:
+        f.write("3" + ",1" * len(NAMES) + "\n")
+    with pytest.raises(Exception, match="more cells"):
+        policy_io.read_policies_csv(spark, str(tmp_path)).collect()
