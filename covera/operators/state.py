@@ -85,12 +85,14 @@ def split_by_state(batch: DataFrame, state: DataFrame) -> DataFrame:
              .drop("_st_pp", "_st_td"))
 
 
-def fold_predictions(state: DataFrame, predicted: DataFrame, tie: list[str], pred_col: str = "prediction") -> DataFrame:
+def fold_predictions(state: DataFrame, predicted: DataFrame, tie: list[str], pred_col: str = "prediction",
+                     touched_only: bool = False) -> DataFrame:
     """State after a predicted batch (a new version; the old one is untouched).
 
     New object: (last prediction, DURATION of that last row).
     Known object: (last prediction, state total + sum of the batch DURATIONs).
-    Objects absent from the batch keep their state.
+    Objects absent from the batch keep their state; with ``touched_only`` they
+    are left out, which is what a store of deltas writes.
     """
     seg = with_segment(predicted)
     o = _order_struct(tie)
@@ -98,7 +100,7 @@ def fold_predictions(state: DataFrame, predicted: DataFrame, tie: list[str], pre
         F.max_by(pred_col, o).cast("double").alias("_pp"),
         F.max_by("DURATION", o).cast("long").alias("_last_d"),
         F.sum("DURATION").cast("long").alias("_sum_d"))
-    j = state.select(*STATE_COLS, F.lit(True).alias("_in_state")).join(per_obj, KEY, "full_outer")
+    j = state.select(*STATE_COLS, F.lit(True).alias("_in_state")).join(per_obj, KEY, _side(touched_only))
     known = F.coalesce(F.col("_in_state"), F.lit(False))
     in_batch = F.col("_sum_d").isNotNull()
     return j.select(
@@ -108,17 +110,22 @@ def fold_predictions(state: DataFrame, predicted: DataFrame, tie: list[str], pre
          .when(in_batch, F.col("_last_d")).otherwise(F.col("TOTAL_DURATION")).cast("long").alias("TOTAL_DURATION"))
 
 
-def update_with_labels(state: DataFrame, labelled: DataFrame, tie: list[str]) -> DataFrame:
+def _side(touched_only: bool) -> str:
+    return "right_outer" if touched_only else "full_outer"
+
+
+def update_with_labels(state: DataFrame, labelled: DataFrame, tie: list[str], touched_only: bool = False) -> DataFrame:
     """Labelled rows overwrite the state with their last row (premium, duration).
 
-    The duration replaces the total (Q6); objects not in the batch keep theirs.
+    The duration replaces the total (Q6); objects not in the batch keep theirs
+    (with ``touched_only`` they are left out).
     """
     seg = with_segment(labelled)
     o = _order_struct(tie)
     per_obj = seg.groupBy(*KEY).agg(
         F.max_by("PREMIUM", o).cast("double").alias("_pp"), F.max_by("DURATION", o).cast("long").alias("_d"),
         F.lit(True).alias("_hit"))
-    j = state.select(*STATE_COLS).join(per_obj, KEY, "full_outer")
+    j = state.select(*STATE_COLS).join(per_obj, KEY, _side(touched_only))
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     return j.select(*KEY,
                     F.when(hit, F.col("_pp")).otherwise(F.col("PREVIOUS_PREMIUM")).alias("PREVIOUS_PREMIUM"),
