@@ -1,3 +1,4 @@
+import json
 import os
 import sys
 import tempfile
@@ -11,11 +12,31 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from covera.session import build_session
     s = build_session(master="local[8]", shuffle_partitions=8,
-                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="covera-test-ckpt-")})
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="covera-test-ckpt-"),
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="covera-test-warehouse-"),
+                             "spark.eventLog.enabled": "true", "spark.eventLog.compress": "false",
+                             "spark.eventLog.dir": "file://" + EVENTS})
     yield s
     s.stop()
 
 
+EVENTS = tempfile.mkdtemp(prefix="covera-test-events-")
+
+
+@pytest.fixture
+def event_log(spark):
+    """A function that reads the session's job events so far."""
+    def read():
+        out = []
+        for folder, _, files in os.walk(EVENTS):
+            for f in files:
+                if not f.startswith(("appstatus", ".")):
+                    with open(os.path.join(folder, f)) as lines:
+                        out += [json.loads(line) for line in lines if line.endswith("\n") and "SparkListenerJob" in line[:60]]
+        return out
+    return read
+
+
 def policy_rows(spark, rows, with_premium=True):
     """Hand-built raw policy rows (the columns of a raw batch plus a row id)."""
     cols = ["OBJECT_ID", "SEX", "INSR_BEGIN", "INSR_END", "INSR_TYPE", "INSURED_VALUE", "PREMIUM", "PROD_YEAR",
