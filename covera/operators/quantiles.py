@@ -37,15 +37,17 @@ def value_ranks(df: DataFrame, value: str, groups: list[str], counted: bool = Fa
 
 
 def exact_quantiles(df: DataFrame, value: str, groups: list[str], qs: list[float],
-                    out: str = "quantile") -> DataFrame:
+                    out: str = "quantile", counted: bool = False) -> DataFrame:
     """Linear-interpolated quantiles per group: long table (groups, q, out).
 
-    Nulls and NaN are skipped.  Position (n - 1) * q, value between the
+    ``counted``: the rows are (groups, value, cnt) already.  Nulls and NaN are skipped.  Position (n - 1) * q, value between the
     order statistics below and above it.
     """
     for g in groups:  # like a pandas group-by, a null group key forms no group
         df = df.where(F.col(g).isNotNull())
-    ranks = cut_lineage(value_ranks(df, value, groups))  # read twice below
+    if counted:
+        df = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*groups, value, "cnt")
+    ranks = cut_lineage(value_ranks(df, value, groups, counted))  # read twice below
     sizes = ranks.groupBy(*groups).agg(F.sum("cnt").alias("_n"))
     pos = (sizes.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
            .withColumn("_p", (F.col("_n") - 1) * F.col("q"))
@@ -66,3 +68,49 @@ def exact_quantiles(df: DataFrame, value: str, groups: list[str], qs: list[float
 
 def exact_quantile_wide(df: DataFrame, value: str, groups: list[str], q: float, out: str) -> DataFrame:
     return exact_quantiles(df, value, groups, [q], out).drop("q")
+
+
+# --- Sketches, where an error in rank is acceptable ------------------------------------------------
+#: Size of a sketch: accuracy grows with it, and so do the bytes of a group.
+SKETCH_K = 4096
+
+
+def rank_error(k: int = SKETCH_K) -> float:
+    """The error in rank, as a share of a group's rows, that a KLL sketch keeps to with 99% confidence."""
+    return 2.296 / k ** 0.9021
+
+
+def quantile_sketches(df: DataFrame, value: str, groups: list[str], k: int = SKETCH_K) -> DataFrame:
+    """(groups, n, sketch): one KLL sketch per group, in one partial aggregate.
+
+    What is shuffled is a sketch per task and group, whatever the rows, and
+    nothing is sorted or ranked.  Nulls and NaN are skipped; null group keys
+    form no group.  The table can be stored and merged with later ones.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    for g in groups:
+        rows = rows.where(F.col(g).isNotNull())
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"),
+                                     F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merge_sketches(parts: list[DataFrame], groups: list[str]) -> DataFrame:
+    """Sketch tables of several batches as one."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy(*groups).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def quantiles_of(sketches: DataFrame, groups: list[str], qs: list[float], out: str = "quantile") -> DataFrame:
+    """Long table (groups, q, out): a value whose rank is off by at most :func:`rank_error`, not interpolated."""
+    asked = F.array(*[F.lit(float(q)) for q in qs])
+    found = sketches.select(*groups, F.explode(F.arrays_zip(
+        asked.alias("q"), F.kll_sketch_get_quantile_double("sketch", asked).alias("x"))).alias("_s"))
+    return found.select(*groups, F.col("_s.q").alias("q"), F.col("_s.x").alias(out))
+
+
+def sketch_quantiles(df: DataFrame, value: str, groups: list[str], qs: list[float], out: str = "quantile",
+                     k: int = SKETCH_K) -> DataFrame:
+    """:func:`exact_quantiles` by sketches."""
+    return quantiles_of(quantile_sketches(df, value, groups, k), groups, qs, out)
