@@ -49,6 +49,11 @@ def learn_impute_table(k1: DataFrame, medians: DataFrame | None = None) -> DataF
     if medians is None:
         medians = exact_quantiles(keyed.select(*GROUP, "PROD_YEAR"), "PROD_YEAR", GROUP, [0.5],
                                   "PROD_YEAR_fill").drop("q")
+    return impute_table_of(means, medians)
+
+
+def impute_table_of(means: DataFrame, medians: DataFrame) -> DataFrame:
+    """The lookup from means and counts (<col>_n, <col>_fill) and the medians of PROD_YEAR."""
     table = means.join(medians, GROUP, "left")
     return table.select(*GROUP, *[x for col in IMPUTED for x in (
         (F.col(f"{col}_n") > 0).alias(f"{col}_hit"), F.col(f"{col}_fill"))])
@@ -94,11 +99,16 @@ def learn_defaults(k1: DataFrame, medians: DataFrame | None = None) -> DataFrame
     if medians is None:
         medians = exact_quantiles(stacked, "v", ["col"], [0.5], "num_value")
     med = medians.select("col", "num_value", F.lit(None).cast("string").alias("text_value"))
-    modes = k1.agg(*[F.mode(F.col(c), True).alias(c) for c in MODE_DEFAULT_COLS])
-    modes_long = modes.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("col"), F.lit(None).cast("double").alias("num_value"), F.col(c).alias("text_value"))
-        for c in MODE_DEFAULT_COLS])).alias("s")).select("s.*")
-    return med.unionByName(modes_long)
+    # Counted by value first, so that no task holds all values of a column; nulls count as nothing.
+    texts = k1.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("v")) for c in MODE_DEFAULT_COLS])).alias("s")).select("s.*")
+    return med.unionByName(modes_of(texts.groupBy("col", "v").agg(F.count("v").alias("n"))))
+
+
+def modes_of(counts: DataFrame) -> DataFrame:
+    """The most frequent value of every column, the smallest on a tie, from (col, v, n)."""
+    return counts.groupBy("col").agg(F.min(F.struct((-F.col("n")).alias("n"), "v")).alias("m")).select(
+        "col", F.lit(None).cast("double").alias("num_value"), F.col("m.v").alias("text_value"))
 
 
 def defaults_dict(defaults: DataFrame) -> dict:

@@ -77,11 +77,14 @@ def _k2_train(spark, sf, keep: bool = False, k1=None):
     return cut_lineage(out) if keep else out
 
 
-def _caps(spark, sf, k1=None):
-    k1 = k1 if k1 is not None else k1_train(spark, sf, keep=True)
-    scalar, by_type = outliers.learn_caps(k1)
+def _k2_and_caps(spark, sf):
+    """Full clean (train) and the learnt caps: medians and caps from one quantile pass."""
+    k1 = k1_train(spark, sf, keep=True)
+    qt = outliers.fit_quantiles(k1)
+    t = cut_lineage(impute.learn_impute_table(k1, qt["impute"]))
+    scalar, by_type = outliers.learn_caps(k1, 0.99, qt["caps"])
     by_type = cut_lineage(by_type)
-    return outliers.scalar_caps_dict(scalar), by_type, by_type.count()
+    return impute.full_clean(k1, t, True, table_rows=t.count()), outliers.scalar_caps_dict(scalar), by_type, by_type.count()
 
 
 def fixture_model(spark, sf) -> PolicyProcessorModel:
@@ -222,23 +225,17 @@ def e6_type_caps(spark, sf):
 
 
 def c6_capped_rows(spark, sf):
-    k1 = k1_train(spark, sf, keep=True)
-    scalar, by_type, n = _caps(spark, sf, k1)
-    out = outliers.apply_caps(_k2_train(spark, sf, k1=k1), scalar, by_type, n)
+    out = outliers.apply_caps(*_k2_and_caps(spark, sf))
     return out.select(*KEYS, SEG, "TYPE_VEHICLE", _r("PREMIUM"))
 
 
 def k4_outlier_stage(spark, sf):
-    k1 = k1_train(spark, sf, keep=True)
-    scalar, by_type, n = _caps(spark, sf, k1)
-    out = outliers.outlier_stage(_k2_train(spark, sf, k1=k1), scalar, by_type, FIXTURE_MERGES, n)
+    out = _k4_fixture(spark, sf)
     return out.select(*KEYS, SEG, "TYPE_VEHICLE", "USAGE", "SEX", "INSR_TYPE")
 
 
 def k4_cap_metrics(spark, sf):
-    k1 = k1_train(spark, sf, keep=True)
-    scalar, by_type, n = _caps(spark, sf, k1)
-    return outliers.cap_metrics(_k2_train(spark, sf, k1=k1), scalar, by_type, n)
+    return outliers.cap_metrics(*_k2_and_caps(spark, sf))
 
 
 # --- E8-E16 -----------------------------------------------------------------------------------
@@ -407,9 +404,8 @@ def j7_perfect_rules(spark, sf):
 
 
 def _k4_fixture(spark, sf):
-    k1 = k1_train(spark, sf, keep=True)
-    scalar, by_type, n = _caps(spark, sf, k1)
-    return outliers.outlier_stage(_k2_train(spark, sf, k1=k1), scalar, by_type, FIXTURE_MERGES, n)
+    k2, scalar, by_type, n = _k2_and_caps(spark, sf)
+    return outliers.outlier_stage(k2, scalar, by_type, FIXTURE_MERGES, n)
 
 
 def j5_rule_misses(spark, sf):
@@ -715,3 +711,9 @@ def m6_prediction_statistics(spark, sf):
 
 
 QUERIES.update({f.__name__: f for f in (m8_backtest, m9_model_metrics, m6_predictions, m6_prediction_statistics)})
+
+
+# --- Queries of covera/plans/catalog_stores.py ------------------------------------------------------
+from covera.plans.catalog_stores import STORE_QUERIES  # noqa: E402
+
+QUERIES.update(STORE_QUERIES)

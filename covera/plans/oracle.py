@@ -229,7 +229,7 @@ def _k1_select(src: str) -> str:
 
 _RULES_ON_MERGED, _RULES_LAST, _RULE_FLAGS = _rules_ctes("merged")
 _MERGED = f"merged AS ({_merge_sql('capped')}),"
-_SEG_K1 = "segk AS (SELECT *, coalesce(INSURED_VALUE = 0, false) AS is_zero FROM k1_train),"
+_SEG_K1 = "segk AS MATERIALIZED (SELECT *, coalesce(INSURED_VALUE = 0, false) AS is_zero FROM k1_train),"
 
 # Long table of (is_zero, col, grp, v) for the rank statistics.
 _LONG = """
@@ -277,9 +277,15 @@ _MASK = " + ".join(f"(CASE WHEN grouping({c}) = 0 THEN {1 << i} ELSE 0 END)" for
 _PRESENT = " AND ".join(f"(grouping({c}) = 1 OR {c} IS NOT NULL)" for c in _ITEMS)
 
 
+def _set_key(mask: str, side: str) -> str:
+    """An itemset as one text: the mask and the values of its columns."""
+    return f"concat_ws(chr(1), {mask}, " + ", ".join(
+        f"CASE WHEN ({mask} & {1 << i}) <> 0 THEN {side}{c} ELSE '' END" for i, c in enumerate(_ITEMS)) + ")"
+
+
 def _itemsets(min_support: float) -> str:
     return f"""
-baskets AS (
+baskets AS MATERIALIZED (
   SELECT is_zero, {", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in _ITEMS)}, count(*) AS cnt
   FROM segk GROUP BY ALL),
 seg_n AS (SELECT is_zero, sum(cnt) AS n FROM baskets GROUP BY is_zero),
@@ -287,22 +293,23 @@ cubed AS (
   SELECT is_zero, ({_MASK}) AS mask, {", ".join(_ITEMS)}, CAST(sum(cnt) AS BIGINT) AS cnt
   FROM baskets GROUP BY is_zero, CUBE ({", ".join(_ITEMS)})
   HAVING ({_MASK}) > 0 AND {_PRESENT}),
-itemsets AS (
+itemsets AS MATERIALIZED (
   SELECT c.is_zero, c.mask, {", ".join(f"c.{x}" for x in _ITEMS)}, c.cnt, c.cnt / s.n AS support,
-    CAST(bit_count(c.mask) AS INTEGER) AS size
+    CAST(bit_count(c.mask) AS INTEGER) AS size, {_set_key("c.mask", "c.")} AS set_key
   FROM cubed c JOIN seg_n s USING (is_zero) WHERE c.cnt / s.n >= {min_support}),
+splits AS MATERIALIZED (
+  SELECT w.*, m.a_mask, {_set_key("m.a_mask", "w.")} AS a_key, {_set_key("xor(w.mask, m.a_mask)", "w.")} AS c_key
+  FROM itemsets w JOIN (SELECT unnest(range(1, {1 << len(_ITEMS)})) AS a_mask) m ON (m.a_mask & w.mask) = m.a_mask AND m.a_mask <> w.mask
+  WHERE w.size >= 2),
 rules AS (
   SELECT w.is_zero,
-    concat_ws(', ', {", ".join(f"CASE WHEN a.{x} IS NOT NULL THEN '{x}=' || a.{x} END" for x in _ITEMS)}) AS antecedents,
-    concat_ws(', ', {", ".join(f"CASE WHEN a.{x} IS NULL THEN '{x}=' || w.{x} END" for x in _ITEMS)}) AS consequent,
+    concat_ws(', ', {", ".join(f"CASE WHEN (w.a_mask & {1 << i}) <> 0 THEN '{x}=' || w.{x} END" for i, x in enumerate(_ITEMS))}) AS antecedents,
+    concat_ws(', ', {", ".join(f"CASE WHEN (w.a_mask & {1 << i}) = 0 THEN '{x}=' || w.{x} END" for i, x in enumerate(_ITEMS))}) AS consequent,
     a.support AS antecedent_support, c.support AS consequent_support, w.support AS support,
     w.cnt / a.cnt AS confidence, (w.cnt / a.cnt) / c.support AS lift
-  FROM itemsets w
-  JOIN itemsets a ON a.is_zero = w.is_zero AND (a.mask & w.mask) = a.mask AND a.mask <> w.mask
-    AND {" AND ".join(f"(a.{x} IS NULL OR a.{x} = w.{x})" for x in _ITEMS)}
-  JOIN itemsets c ON c.is_zero = w.is_zero AND c.mask = xor(w.mask, a.mask)
-    AND {" AND ".join(f"(c.{x} IS NULL OR c.{x} = w.{x})" for x in _ITEMS)}
-  WHERE w.size >= 2),
+  FROM splits w
+  JOIN itemsets a ON a.is_zero = w.is_zero AND a.set_key = w.a_key
+  JOIN itemsets c ON c.is_zero = w.is_zero AND c.set_key = w.c_key),
 """
 
 
@@ -630,3 +637,95 @@ _RULES_I_LAST = _RULES_I_LAST.replace("rule_", "rule_i_")
 _K7I_COLS = [c for c in _K7_COLS if c[0] != "PREMIUM"]
 ORACLE["k7_transform_inference"] = _sql(f"SELECT {_round_all(_K7I_COLS)} FROM {_RULES_I_LAST}",
                                         _INFER_CAPPED, _MERGED_I, _RULES_I)
+
+# --- Queries of covera/plans/catalog_stores.py -------------------------------------------------------
+ORACLE["a1_csv_clashing_cells"] = ORACLE["a1_policies"]
+ORACLE["a5_routes"] = _sql("""SELECT 'labelled' AS batch, 'store' AS route, count(*) AS n FROM policies
+  UNION ALL SELECT 'unlabelled', 'predict', count(*) FROM policies""")
+ORACLE["a6_saved_processor"] = ORACLE["k7_transform_train"]
+ORACLE["a8_saved_models"] = _sql(f"""SELECT {KEYS}, true AS same FROM policies
+  WHERE TRY_CAST(split_part(INSR_BEGIN, '-', 3) AS INTEGER) > 12""")
+ORACLE["a7_state_runs"] = ORACLE["n3_fold_predictions"]
+
+_NULLS = "NULL::VARCHAR AS text"
+_FIT_CONFIDENCE = 0.5
+ORACLE["k6_fit"] = _sql(" UNION ALL ".join([
+    *[f"SELECT 'impute' AS lookup, concat_ws('|', TYPE_VEHICLE, MAKE, '{c}') AS key, round({c}_fill, {R}) AS value, {_NULLS} FROM imp WHERE {c}_hit"
+      for c in IMPUTED],
+    f"SELECT 'cap', concat_ws('|', CAST(is_zero AS VARCHAR), col), round(cap, {R}), NULL FROM caps_scalar",
+    *[f"SELECT 'type_cap', concat_ws('|', CAST(is_zero AS VARCHAR), TYPE_VEHICLE, '{c}'), round({c}_cap, {R}), NULL FROM caps_by_type"
+      for c in ("SEATS_NUM", "CCM_TON")],
+    f"SELECT 'default', col, round(num_value, {R}), text_value FROM defaults",
+    """SELECT 'merge', concat_ws('|', CAST(is_zero AS VARCHAR), col, CAST(row_number() OVER (PARTITION BY is_zero, col
+    ORDER BY try_cast(CASE WHEN col = 'SEX' THEN a END AS DOUBLE), a, try_cast(CASE WHEN col = 'SEX' THEN b END AS DOUBLE), b) - 1 AS VARCHAR)),
+    NULL, a || ' > ' || b FROM dunn_p JOIN mwz m USING (is_zero, col, a, b) WHERE p_adj > 0.9 AND """ + f"{_UPPER('m.z')} > 0.5",
+    f"""SELECT 'rule', concat_ws('|', CAST(is_zero AS VARCHAR), antecedents, consequent), round(confidence, {R}), NULL
+  FROM rules WHERE confidence >= {_FIT_CONFIDENCE}"""]), _SEG_K1, _LONG, _DUNN_P, _MW_Z, _itemsets(0.1))
+ORACLE["k6_incremental_fit"] = ORACLE["k6_fit"]
+
+_WIDE = {"USAGE": "USAGE", "TYPE_VEHICLE": "TYPE_VEHICLE", "MAKE": "MAKE", "SEX": "CAST(SEX AS VARCHAR)",
+         "INSR_TYPE": "CAST(INSR_TYPE AS VARCHAR)", "SEATS": "CAST(CAST(SEATS_NUM AS INTEGER) AS VARCHAR)",
+         "MONTHS": "CAST(DURATION AS VARCHAR)", "LITRES": "CAST(CAST(floor(CCM_TON / 1000) AS INTEGER) AS VARCHAR)",
+         "DECADE": "CAST(CAST(floor(PROD_YEAR / 10) AS INTEGER) AS VARCHAR)", "MONTH": "CAST(START_MNTH % 12 AS VARCHAR)",
+         "THOUSANDS": "CAST(CAST(floor(PREMIUM / 1000) AS INTEGER) AS VARCHAR)",
+         "HALF": "CASE WHEN START_MNTH % 12 < 6 THEN '1' ELSE '2' END"}
+# Level by level: a set grows by items that come after its last one, and only if it is frequent.
+_WIDE_SETS = f"""
+wide_rows AS MATERIALIZED (
+  SELECT is_zero, row_number() OVER () AS rid, list_sort(list_filter([{", ".join(f"'{c}=' || {e}" for c, e in _WIDE.items())}], lambda x: x IS NOT NULL)) AS items
+  FROM segk),
+wide_n AS MATERIALIZED (SELECT is_zero, count(*) AS n FROM wide_rows GROUP BY is_zero),
+wide_frequent AS MATERIALIZED (
+  SELECT t.is_zero, t.item FROM (SELECT is_zero, unnest(items) AS item FROM wide_rows) t JOIN wide_n w USING (is_zero)
+  GROUP BY t.is_zero, t.item, w.n HAVING count(*) >= 0.1 * w.n),
+wide_baskets AS MATERIALIZED (
+  SELECT is_zero, items, count(*) AS c FROM (
+    SELECT r.is_zero, r.rid, list(f.item ORDER BY f.item) AS items FROM (SELECT is_zero, rid, unnest(items) AS item FROM wide_rows) r
+    JOIN wide_frequent f ON f.is_zero = r.is_zero AND f.item = r.item GROUP BY ALL) b GROUP BY ALL),
+wide_subsets AS MATERIALIZED (
+  SELECT is_zero, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS items, sum(c) AS cnt
+  FROM wide_baskets, unnest(range(1, CAST(power(2, len(items)) AS BIGINT))) AS s(m) GROUP BY ALL),
+wide_sets AS MATERIALIZED (
+  SELECT s.is_zero, s.items, CAST(s.cnt AS BIGINT) AS cnt, s.cnt / w.n AS support FROM wide_subsets s JOIN wide_n w USING (is_zero)
+  WHERE s.cnt >= 0.1 * w.n),
+"""
+ORACLE["j2_wide_itemsets"] = _sql(f"""SELECT is_zero, array_to_string(items, ', ') AS items, cnt, round(support, {R}) AS support
+FROM wide_sets""", _SEG_K1, _WIDE_SETS)
+ORACLE["j3_wide_rules"] = _sql(f"""SELECT w.is_zero, array_to_string(w.a_items, ', ') AS antecedents, array_to_string(w.c_items, ', ') AS consequent,
+  round(a.support, {R}) AS antecedent_support, round(c.support, {R}) AS consequent_support, round(w.support, {R}) AS support,
+  round(w.cnt / a.cnt, {R}) AS confidence, round(w.cnt / a.cnt / c.support, {R}) AS lift
+FROM (SELECT is_zero, cnt, support, list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS a_items,
+        list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 0) AS c_items
+      FROM wide_sets, unnest(range(1, CAST(power(2, len(items)) - 1 AS BIGINT))) AS s(m) WHERE len(items) >= 2) w
+JOIN wide_sets a ON a.is_zero = w.is_zero AND a.items = w.a_items
+JOIN wide_sets c ON c.is_zero = w.is_zero AND c.items = w.c_items
+WHERE w.cnt / a.cnt >= 0.6""", _SEG_K1, _WIDE_SETS)
+
+ORACLE["e6_sketch_quantiles"] = _sql("""SELECT is_zero, TYPE_VEHICLE, q, count(*) AS n, true AS "within"
+FROM segk, (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE, 0.99::DOUBLE]) AS q) asked WHERE TYPE_VEHICLE IS NOT NULL GROUP BY ALL""", _SEG_K1)
+
+# Ways to choose k of the ranks 1 to i with a given sum, by one rank more at a time.
+ORACLE["i4_mann_whitney_exact"] = "WITH RECURSIVE " + _sql(f"""
+SELECT month, a, b, n_a, n_b, round(U1, {R}) AS U1, exact, round(CASE WHEN exact THEN (
+    SELECT least(1.0, 2.0 * sum(w.ways) FILTER (WHERE w.s - m * (m + 1) / 2 >= most) / sum(w.ways)) FROM ways w
+    WHERE w.i = total AND w.k = m) END, {R}) AS p
+FROM (SELECT *, least(n_a, n_b) AS m, n_a + n_b AS total, greatest(U1, n_a * n_b - U1) AS most FROM tested) t""", """
+small AS MATERIALIZED (
+  SELECT START_MNTH AS month, TYPE_VEHICLE AS t, MAKE, PREMIUM AS v FROM k1_train
+  WHERE TYPE_VEHICLE IN ('Truck', 'Bus') AND PREMIUM IS NOT NULL),
+counted AS MATERIALIZED (
+  SELECT month, MAKE, count(*) FILTER (WHERE t = 'Truck') AS n_a, count(*) FILTER (WHERE t = 'Bus') AS n_b,
+    count(*) = count(DISTINCT v) AS untied FROM small GROUP BY ALL),
+wins AS MATERIALIZED (
+  SELECT x.month, x.MAKE, sum(CASE WHEN x.v > y.v THEN 1.0 WHEN x.v = y.v THEN 0.5 ELSE 0.0 END) AS U1
+  FROM small x JOIN small y ON x.month = y.month AND x.MAKE = y.MAKE AND x.t = 'Truck' AND y.t = 'Bus' GROUP BY ALL),
+tested AS MATERIALIZED (
+  SELECT month, 'Truck/' || MAKE AS a, 'Bus/' || MAKE AS b, n_a, n_b, CAST(U1 AS DOUBLE) AS U1, least(n_a, n_b) <= 8 AND untied AS exact
+  FROM counted JOIN wins USING (month, MAKE) WHERE n_a > 0 AND n_b > 0),
+most_ranks AS MATERIALIZED (SELECT coalesce(max(n_a + n_b) FILTER (WHERE exact), 0) AS n FROM tested),
+ways(i, k, s, ways) AS (
+  SELECT 0, 0, 0, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, k + taken, s + taken * (i + 1), sum(ways) FROM ways, (SELECT unnest([0, 1]) AS taken) c, most_ranks
+  WHERE i < n AND k + taken <= 8 GROUP BY i + 1, k + taken, s + taken * (i + 1)),
+""")[len("WITH "):]

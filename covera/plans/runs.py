@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import SparkSession
 from covera.plans.predictor import PremiumPredictor, PremiumPredictorModel
 from covera.session import cut_lineage
 from covera.sources import policy_io
+from covera.sources.state_store import StateStore
 
 
 def update_models(spark: SparkSession, store: str, model_base: str, predictor: PremiumPredictor) -> str:
@@ -29,9 +31,10 @@ def process_batch(spark: SparkSession, path: str, store: str, model_base: str, s
         return "store", store
     policy_io.check_batch(batch, labelled=False)
     model = PremiumPredictorModel.load(spark, model_base)
-    known = policy_io.latest_state(spark, state_base)
-    model = model if known is None else replace(model, state=known)
+    states = StateStore(spark, state_base)
+    known = states.latest()
+    model = model if known is None else replace(model, state=states.read(known))
     pred = cut_lineage(model.predict(batch))
     out = policy_io.write_predictions(model.with_predictions(batch, pred), path, fmt)
-    policy_io.save_state(model.fold(pred), state_base)
+    model.remember(pred, states, max(int(time.time() * 1000), (known or 0) + 1))
     return "predict", out

@@ -4,6 +4,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from covera.sources import policy_io
+from covera.sources.state_store import StateStore
 from covera.streaming.batches import infer_batch, start_collection, start_inference
 from test_io import NAMES, policy, write_csv
 
@@ -41,7 +42,8 @@ def stand_in(spark):
 
 
 def total(spark, base, object_id):
-    return policy_io.latest_state(spark, base).where(F.col("OBJECT_ID") == object_id).first()["TOTAL_DURATION"]
+    states = StateStore(spark, base)
+    return states.read(states.latest()).where(F.col("OBJECT_ID") == object_id).first()["TOTAL_DURATION"]
 
 
 def test_inference_goes_on_after_a_restart_and_a_replay(spark):
@@ -59,6 +61,6 @@ def test_inference_goes_on_after_a_restart_and_a_replay(spark):
     assert set(names) | {"predicted_premium"} <= set(got.columns) and "_row_id" not in got.columns
     assert sorted(r["predicted_premium"] for r in got.collect()) == [8.0, 8.0, 8.0]
     # Batch 1 once more: the same state, the same rows.
-    raw = policy_io.raw_lines(spark, os.path.join(inbox, "b1.csv")).drop("_row_id")
+    raw = policy_io.text_lines(spark, os.path.join(inbox, "b1.csv"))
     infer_batch(raw, 1, stand_in(spark), states, out)
     assert total(spark, states, 777) == 36 and spark.read.parquet(out).count() == 3
