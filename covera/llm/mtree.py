@@ -13,9 +13,9 @@ checkpoint folder, one row each.
 
 Search.  By the triangle inequality d(q, x) >= |d(q, p) - d(p, x)|, and
 q.x = (|q|^2 + |x|^2 - d(q, x)^2) / 2 turns a least distance into a greatest
-score; q.x <= q.p + |q| r is a second bound of a node with radius r.  Every
-query goes best first: a priority queue holds the nodes by the score that they
-may still reach.  A child is passed over by its stored parent distance before
+score; q.x <= q.p + |q| r is a second bound of a node with radius r.  The
+search is best first: a priority queue holds the nodes by the score that they
+may still reach, each with the queries that it may serve.  A child is passed over by its stored parent distance before
 its routing object is measured, then by the measured distance; entries of a
 page are passed over by their stored distances before they are scored.  Every
 query first reads the shard that promises most; its k-th score there is the
@@ -140,50 +140,66 @@ def _most(qq, norm, low):
     return (qq + norm * norm - low * low) / 2.0
 
 
-def search_one(tree: Tree, query: np.ndarray, mark: float, k: int) -> tuple[list, int]:
-    """(the best k entries as (score, ids), scored entries); entries below ``mark`` may be left out."""
-    qq = float(query @ query)
-    size = qq ** 0.5
-    top, scored = [], 0                   # a heap of (score, -first id, ids): the worst entry first
-    root = float(np.sqrt(((query - tree.routing[0]) ** 2).sum()))
-    waiting = [(-np.inf, 0, root)]        # by the score that a node may reach, greatest first
+def search_tree(tree: Tree | None, queries: np.ndarray, marks: np.ndarray, k: int) -> tuple[list[list], int]:
+    """(the best k entries of every query as (score, ids), scored pairs); entries below ``marks`` may be left out.
+
+    The queries share the queue: a node waits with the queries that it may still serve, and by the best promise
+    it makes to one of them.  What it does for a query depends on that query's own marks and bounds only.
+    """
+    count = len(queries)
+    if tree is None or not count:
+        return [[] for _ in range(count)], 0
+    qq = (queries * queries).sum(1)
+    size = np.sqrt(qq)
+    top = np.full((count, k), -np.inf)                 # scores, best first, and which entry they are of
+    first = np.full((count, k), np.iinfo(np.int64).max)
+    who = np.full((count, k), -1, np.int64)
+    entries, scored, turn = [], 0, 0
+    everyone = np.arange(count)
+    root = np.sqrt(((queries - tree.routing[0]) ** 2).sum(1))
+    waiting = [(-np.inf, turn, 0, everyone, root, np.full(count, np.inf))]
     while waiting:
-        promise, at, reach = heapq.heappop(waiting)
-        # Scores are whole: half a unit absorbs rounding.
-        floor = max(mark, top[0][0] if len(top) == k else -np.inf) - 0.5
-        if -promise < floor:
-            break
+        _, _, at, rows, reach, promise = heapq.heappop(waiting)
+        # The mark, or the k-th score so far.  Scores are whole: half a unit absorbs rounding.
+        floor = np.maximum(marks[rows], top[rows, -1]) - 0.5
+        still = promise >= floor
+        rows, reach, floor = rows[still], reach[still], floor[still]
+        if not len(rows):
+            continue
         page = tree.pages[at]
-        if page is not None:
-            vectors, squares, distances, ids, first = page
-            low = reach - distances
-            alive = np.flatnonzero((qq + squares - low * low) / 2.0 >= floor)
-            scored += len(alive)
-            score = vectors[alive] @ query
-            for j in np.flatnonzero(score >= floor).tolist():
-                entry = (float(score[j]), -int(first[alive[j]]), ids[alive[j]])
-                if len(top) < k:
-                    heapq.heappush(top, entry)
-                elif entry[:2] > top[0][:2]:
-                    heapq.heapreplace(top, entry)
+        if page is None:
+            kids = np.arange(tree.child[at], tree.child[at] + tree.children[at])
+            # By the distance to the parent, without a look at the routing objects.
+            low = np.abs(reach[:, None] - tree.parent[kids][None, :]) - tree.radius[kids][None, :]
+            kids = kids[(_most(qq[rows][:, None], tree.norm[kids][None, :], low) >= floor[:, None]).any(0)]
+            if not len(kids):
+                continue
+            inner = queries[rows] @ tree.routing[kids].T
+            far = np.sqrt(np.maximum(qq[rows][:, None] + (tree.routing[kids] ** 2).sum(1)[None, :] - 2.0 * inner, 0.0))
+            bound = np.minimum(_most(qq[rows][:, None], tree.norm[kids][None, :], far - tree.radius[kids][None, :]),
+                               inner + size[rows][:, None] * tree.radius[kids][None, :])
+            serves = bound >= floor[:, None]
+            for j in np.flatnonzero(serves.any(0)).tolist():
+                mine, turn = serves[:, j], turn + 1
+                heapq.heappush(waiting, (-float(bound[mine, j].max()), turn, int(kids[j]), rows[mine], far[mine, j], bound[mine, j]))
             continue
-        kids = np.arange(tree.child[at], tree.child[at] + tree.children[at])
-        # By the distance to the parent, without a look at the routing objects.
-        kids = kids[_most(qq, tree.norm[kids], np.abs(reach - tree.parent[kids]) - tree.radius[kids]) >= floor]
-        if not len(kids):
+        vectors, squares, distances, ids, least = page
+        low = reach[:, None] - distances[None, :]
+        alive = (qq[rows][:, None] + squares[None, :] - low * low) / 2.0 >= floor[:, None]
+        scored += int(alive.sum())
+        score = np.where(alive, queries[rows] @ vectors.T, -np.inf)
+        better = (score >= floor[:, None]).any(1)
+        if not better.any():
             continue
-        inner = tree.routing[kids] @ query
-        far = np.sqrt(np.maximum(qq + (tree.routing[kids] ** 2).sum(1) - 2.0 * inner, 0.0))
-        bound = np.minimum(_most(qq, tree.norm[kids], far - tree.radius[kids]), inner + size * tree.radius[kids])
-        for j in np.flatnonzero(bound >= floor).tolist():
-            heapq.heappush(waiting, (-float(bound[j]), int(kids[j]), float(far[j])))
-    return [(int(score), ids) for score, _, ids in sorted(top, key=lambda e: (-e[0], -e[1]))], scored
-
-
-def search_tree(tree: Tree | None, queries: np.ndarray, marks: np.ndarray, k: int) -> tuple[list[list], int]:
-    """(best entries of every query, scored pairs)."""
-    found = [search_one(tree, q, float(m), k) if tree is not None else ([], 0) for q, m in zip(queries, marks)]
-    return [best for best, _ in found], sum(n for _, n in found)
+        rows, score = rows[better], score[better]
+        every = np.concatenate([top[rows], score], 1)
+        name = np.concatenate([first[rows], np.broadcast_to(least, score.shape)], 1)
+        order = np.lexsort((name, -every), axis=1)[:, :k]
+        index = np.concatenate([who[rows], np.broadcast_to(len(entries) + np.arange(len(ids)), score.shape)], 1)
+        top[rows], first[rows], who[rows] = (np.take_along_axis(x, order, 1) for x in (every, name, index))
+        entries += ids
+    found = [[(int(s), entries[w]) for s, w in zip(top[i], who[i]) if s > -np.inf] for i in range(count)]
+    return found, scored
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, scale: float = 64.0, seed: int = 3) -> DataFrame:
