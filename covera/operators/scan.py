@@ -47,7 +47,7 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
     ends = ranged.groupBy(_PID).agg(F.min(_struct(keys)).alias("_first"), F.max(_struct(keys)).alias("_last"))
     bkeys = (ends.select(_PID, F.col("_first").alias("_k"))
              .unionByName(ends.select(_PID, F.col("_last").alias("_k"))).distinct()
-             .select(_PID, *[F.col(f"_k.{k}").alias(k) for k in keys]))
+             .select(F.col(_PID).alias("_b_pid"), *[F.col(f"_k.{k}").alias(f"_b_{k}") for k in keys]))
 
     # 3. Per (partition, boundary key): row count, sums, last lag values.
     last_by = F.struct(*[F.col(o) for o in order])
@@ -57,7 +57,7 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
     for c in firsts:
         aggs.append((F.max_by(c, last_by) if order_desc else F.min_by(c, last_by)).alias(f"_f_{c}"))
     # Null-safe keys: a null key is a key like any other.
-    cond = [ranged[_PID] == bkeys[_PID]] + [ranged[k].eqNullSafe(bkeys[k]) for k in keys]
+    cond = [F.col(_PID) == F.col("_b_pid")] + [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
     bstats = (ranged.join(F.broadcast(bkeys), cond, "left_semi")
               .groupBy(_PID, *keys).agg(*aggs))
 
@@ -65,7 +65,7 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
     wk = Window.partitionBy(*keys).orderBy(_PID)
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
     offs = bstats.select(
-        _PID, *keys,
+        F.col(_PID).alias("_o_pid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
         *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.lag(f"_l_{c}", 1).over(wk).alias(f"_lagin_{c}") for c in lags],
@@ -85,7 +85,7 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[str], sums=(), lags=
         *[F.lag(c, 1).over(wl).alias(f"_llag_{c}") for c in lags],
         *[F.first(c).over(run).alias(f"_lfirst_{c}") for c in firsts],
     )
-    ocond = [local[_PID] == offs[_PID]] + [local[k].eqNullSafe(offs[k]) for k in keys]
+    ocond = [F.col(_PID) == F.col("_o_pid")] + [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys]
     joined = local.join(F.broadcast(offs), ocond, "left")
     out_cols = [local[c] for c in df.columns]
     if index:
