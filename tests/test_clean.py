@@ -48,3 +48,11 @@ def test_make_closure_identity_wins(spark):
     got = {r.MAKE_KEY: r.MAKE_STD for r in clean.make_lookup(mm).collect()}
     assert got["HOWO"] == "HOWO"          # HOWO is also a canonical value: identity wins
     assert got["X"] == "HOWO" and got["SINOTRUK"] == "SINOTRUK"
+
+
+def test_filter_on_duration_does_not_parse_the_dates_again(spark):
+    rows = [row(OBJECT_ID=2, INSR_END="01-JAN-10"), row(OBJECT_ID=3, INSR_END="01-MAR-11")]
+    out = clean.keep_positive_duration(clean.with_months(policy_rows(spark, rows)))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "split(" in line]
+    assert [(r["OBJECT_ID"], r["START_MNTH"], r["END_MNTH"], r["DURATION"]) for r in out.collect()] == [(3, 132, 134, 2)]
