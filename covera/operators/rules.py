@@ -232,25 +232,49 @@ def wide_baskets(df: DataFrame, cols: list[str]) -> DataFrame:
     return with_segment(df).select(SEG, F.array_sort(items).alias("items"))
 
 
+def frequent_baskets(baskets: DataFrame, least: DataFrame) -> DataFrame:
+    """(is_zero, items, cnt): the distinct baskets once items below ``least`` (is_zero, _n, _least) are left out."""
+    single = baskets.select(SEG, F.explode("items").alias("x")).groupBy(SEG, "x").agg(F.count(F.lit(1)).alias("cnt"))
+    # At most columns / support items per segment, one row per segment.
+    kept = single.join(F.broadcast(least), SEG).where("cnt >= _least").groupBy(SEG).agg(F.collect_list("x").alias("_kept"))
+    return (baskets.join(F.broadcast(kept), SEG).select(SEG, F.array_intersect("items", "_kept").alias("items"))
+            .where(F.size("items") > 0).groupBy(SEG, "items").agg(F.count(F.lit(1)).alias("cnt")))
+
+
 def wide_itemsets(df: DataFrame, cols: list[str], min_support: float) -> DataFrame:
     """J2 for wide data: (is_zero, items, cnt, support) of all frequent itemsets over any columns.
 
     The five columns of :func:`frequent_itemsets` have 31 choices, which one
     expansion counts; over many columns only what is frequent may be extended.
-    MLlib's FP-growth does that on prefix trees, dealt out by item, one run per
-    segment.
+    Rows are first counted as distinct baskets of frequent items.  A frequent
+    set then has its tails, what its baskets hold after its last item, as
+    counted distinct rows; every level takes one item of the tail into the set.
+    All steps are sums that tasks add up before they shuffle, so what is
+    shuffled follows the distinct tails and not the rows, and no task holds the
+    tails of an item.
     """
-    from pyspark.ml.fpm import FPGrowth
     baskets = cut_lineage(wide_baskets(df, cols))
-    sizes = baskets.groupBy(SEG).agg(F.count(F.lit(1)).alias("n")).collect()
-    out = None
-    for r in sorted(sizes, key=lambda r: r[SEG]):
-        model = FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets.where(F.col(SEG) == F.lit(r[SEG])))
-        found = model.freqItemsets.select(F.lit(r[SEG]).alias(SEG), F.array_sort("items").alias("items"),
-                                          F.col("freq").alias("cnt"), (F.col("freq") / F.lit(r["n"])).alias("support"))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    least = cut_lineage(baskets.groupBy(SEG).agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_least", F.ceil(F.lit(float(min_support)) * F.col("_n"))))
+    rows = frequent_baskets(baskets, least).select(SEG, F.array().cast("array<string>").alias("items"), F.col("items").alias("_tail"), "cnt")
+    levels = []
+    while True:
+        grown = cut_lineage(rows.select(SEG, "items", "_tail", "cnt", F.posexplode("_tail").alias("_at", "_x")).select(
+            SEG, F.concat("items", F.array("_x")).alias("items"), F.expr("slice(_tail, _at + 2, size(_tail))").alias("_tail"),
+            "cnt").groupBy(SEG, "items", "_tail").agg(F.sum("cnt").alias("cnt")))
+        found = cut_lineage(grown.groupBy(SEG, "items").agg(F.sum("cnt").alias("cnt")).join(F.broadcast(least), SEG).where(
+            "cnt >= _least").select(SEG, "items", "cnt", (F.col("cnt") / F.col("_n")).alias("support")))
+        n = found.count()
+        if n == 0:
+            break
+        levels.append(found)
+        sets = checked_broadcast(found.select(SEG, "items"), n)
+        rows = grown.where(F.size("_tail") > 0).join(sets, [SEG, "items"], "left_semi")
+    if not levels:
         return df.sparkSession.createDataFrame([], f"{SEG} boolean, items array<string>, cnt long, support double")
+    out = levels[0]
+    for found in levels[1:]:
+        out = out.unionByName(found)
     return cut_lineage(out)
 
 

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from covera.operators import outliers, rules
 from covera.operators.rules import ITEM_COLS
@@ -140,3 +141,17 @@ def test_wide_itemsets_and_rules_match_brute_force(spark):
     mine = {(r["is_zero"], frozenset(r["antecedents"]), frozenset(r["consequent"])): r["lift"] for r in found}
     assert set(mine) == set(brute) and all(abs(mine[k] - brute[k]) < 1e-9 for k in mine)
     assert any(len(c) > 1 for _, _, c in mine)
+
+
+def test_wide_itemsets_extend_counted_baskets(spark):
+    """A column whose values are all rare adds nothing to what is extended: 600 rows are 4 counted baskets."""
+    rows = [(9.0, "a" if i % 2 else "b", "x" if i % 3 else None, f"n{i}") for i in range(600)]
+    df = spark.createDataFrame(rows + [(9.0, None, None, None)], "INSURED_VALUE double, p string, q string, noise string")
+    names = ["p", "q", "noise"]
+    least = spark.createDataFrame([(False, 601, 61)], "is_zero boolean, _n long, _least long")
+    kept = rules.frequent_baskets(rules.wide_baskets(df, names), least).collect()
+    assert {tuple(r["items"]): r["cnt"] for r in kept} == {("p=a", "q=x"): 200, ("p=b", "q=x"): 200, ("p=a",): 100, ("p=b",): 100}
+    got = rules.wide_itemsets(df, names, 0.1)
+    assert {tuple(r["items"]): (r["cnt"], r["support"]) for r in got.collect()} == {
+        k: (n, n / 601) for k, n in {("p=a",): 300, ("p=b",): 300, ("q=x",): 400, ("p=a", "q=x"): 200, ("p=b", "q=x"): 200}.items()}
+    assert rules.wide_itemsets(df.where(F.lit(False)), names, 0.1).count() == 0
