@@ -40,3 +40,14 @@ def test_same_rows_counts_repeats(spark):
     r = summaries.same_rows(a, b).first()
     assert (r["rows_a"], r["rows_b"], r["only_a"], r["only_b"], r["equal"]) == (3, 3, 1, 1, False)
     assert summaries.same_rows(a, a).first()["equal"] and summaries.same_rows(a.limit(0), b.limit(0)).first()["equal"]
+
+
+def test_the_quality_report_keeps_one_table_of_rows(spark):
+    """It kept the base clean of the fit and wrote the rows of every stage: five tables as long as the input."""
+    base = f"{ensure_checkpoint_dir(spark)}/covera-tables".removeprefix("file:")
+    before = set(os.listdir(base)) if os.path.exists(base) else set()
+    out = catalog.QUERIES["k8_quality_report"](spark, SF)
+    counts = {r["metric"]: r["value"] for r in out.collect()}
+    left = [spark.read.parquet(f"{base}/{t}").count() for t in set(os.listdir(base)) - before]
+    assert len([n for n in left if n > 0.2 * counts["rows_before_dedup"]]) == 1
+    assert max(left) >= counts["rows_after_dedup"] > counts["INSR_ZERO_records"] + counts["ELSE_records"] > 0
